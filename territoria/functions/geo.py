@@ -104,10 +104,7 @@ def fix_swapped(lat, lon) -> tuple[Column, Column]:
 
 def fix_scaled(v, limit: float = 90.0) -> Column:
     """Decimal comma accepted; |x| > limit means micro-degrees; 6 decimals (G-12)."""
-    x = F.expr("try_cast(translate(trim(cast({} as string)), ',', '.') as double)".format(
-        v if isinstance(v, str) else "__v__")) if isinstance(v, str) else None
-    if x is None:
-        raise TypeError("fix_scaled takes a column name")
+    x = F.translate(F.trim(_c(v).cast("string")), ",", ".").try_cast("double")
     return F.round(F.when(F.abs(x) > limit, x / F.lit(1e6)).otherwise(x), 6)
 
 

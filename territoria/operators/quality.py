@@ -120,3 +120,19 @@ def flag_outliers(points: DataFrame, z: float = 1.5, pid: str = "pdv_id", lat: s
     return j.select(pid, *by, F.col("d1_km").alias("dist_vizinho_km"),
                     F.col("dk_mean_km").alias("distancia_media_km"),
                     ((F.col("_n") >= 5) & (F.col("d1_km") > F.col("_lim"))).alias("is_outlier"))
+
+
+def cep_to_state(df: DataFrame, ranges: DataFrame, cep: str = "cep") -> DataFrame:
+    """J-06: state of a CEP by `lo <= cep <= hi`; the narrowest range wins (ties by uf).
+
+    Ranges are exploded into 4-digit prefixes (at most 10,000 rows, a bounded
+    broadcast); each prefix holds its candidate ranges sorted by width, and a
+    row takes the first one that contains it.  The big side is never grouped.
+    """
+    r = (ranges.withColumn("_w", F.col("hi").cast("long") - F.col("lo").cast("long"))
+         .withColumn("_p", F.explode(F.sequence(F.substring("lo", 1, 4).cast("int"),
+                                                F.substring("hi", 1, 4).cast("int")))))
+    dim = (r.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("_w", "uf", "lo", "hi"))).alias("_rs")))
+    j = df.join(F.broadcast(dim), F.substring(F.col(cep), 1, 4).try_cast("int") == F.col("_p"), "left")
+    hit = F.filter(F.coalesce(F.col("_rs"), F.array()), lambda e: (F.col(cep) >= e["lo"]) & (F.col(cep) <= e["hi"]))
+    return j.withColumn("uf_cep", F.try_element_at(hit, F.lit(1))["uf"]).drop("_p", "_rs")

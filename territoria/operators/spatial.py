@@ -182,7 +182,7 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
         need = F.least(F.lit(k), F.col("_total") - 1) if False else F.lit(k)
         final = i == len(levels) - 1
         guard = km_for_chord(s) * _SAFETY
-        ok = F.lit(True) if final else ((have >= need) & (F.element_at("_dk", -1) <= F.lit(guard)))
+        ok = F.lit(True) if final else ((have >= need) & (F.try_element_at("_dk", F.lit(-1)) <= F.lit(guard)))
         done = scored.filter(ok).select(*by, "_loc", "_lat", "_lon", "_dk")
         results.append(done)
         if final:
@@ -196,7 +196,7 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
         out = out.unionByName(r)
     res = members.join(out.drop("_loc"), on=[*by, "_lat", "_lon"])
     return res.select(pid, *by,
-                      F.when(F.size("_dk") > 0, F.element_at("_dk", 1)).alias("d1_km"),
+                      F.try_element_at("_dk", F.lit(1)).alias("d1_km"),
                       F.when(F.size("_dk") > 0, F.aggregate("_dk", F.lit(0.0), lambda a, x: a + x)
                              / F.size("_dk")).alias("dk_mean_km"),
                       F.size("_dk").alias("k_found"))
