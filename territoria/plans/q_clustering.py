@@ -44,3 +44,57 @@ def q_cluster_metrics(spark, sf_dir):
     cen = fx.centers(spark, sf_dir)
     assigned = nearest(pts, cen, "centro_id")
     return cluster_metrics(assigned, ["centro_id"], KMH)
+
+
+KNN_SQL = fx.with_fixtures("points") + f""",
+pairs as (
+  select a.pdv_id, a.tenant_id, {_hav('a', 'b')} as d, b.pdv_id as other
+  from points a join points b on b.tenant_id = a.tenant_id and b.pdv_id <> a.pdv_id),
+ranked as (
+  select *, row_number() over (partition by pdv_id order by d, other) as rn from pairs),
+nn as (
+  select pdv_id, tenant_id, min(d) as d1, avg(d) as dk from ranked where rn <= 5 group by pdv_id, tenant_id),
+st as (
+  select tenant_id, count(*) as n, avg(d1) + 1.5 * stddev_pop(d1) as lim from nn group by tenant_id)
+select nn.pdv_id, nn.tenant_id, round(nn.d1, 6) as dist_vizinho_km, round(nn.dk, 6) as distancia_media_km,
+       (st.n >= 5 and nn.d1 > st.lim) as is_outlier
+from nn join st on st.tenant_id = nn.tenant_id
+"""
+
+
+@register("outliers_knn", sql=KNN_SQL)
+def q_outliers_knn(spark, sf_dir):
+    """C-04 / J-09 / A-14: nearest-neighbour distance vs mean + 1.5 std per tenant; mean km to 5 neighbours."""
+    from ..operators.quality import flag_outliers
+    pts = fx.points(spark, sf_dir)
+    o = flag_outliers(pts, z=1.5, by=("tenant_id",))
+    return o.select("pdv_id", "tenant_id", F.round("dist_vizinho_km", 6).alias("dist_vizinho_km"),
+                    F.round("distancia_media_km", 6).alias("distancia_media_km"), "is_outlier")
+
+
+SWEEP_CAP = 25
+
+
+def _sweep_sql() -> str:
+    ang = ("atan2(sin(radians(p.lon - c.lon_ref)) * cos(radians(p.lat)), "
+           "cos(radians(c.lat_ref)) * sin(radians(p.lat)) - sin(radians(c.lat_ref)) * cos(radians(p.lat)) "
+           "* cos(radians(p.lon - c.lon_ref)))")
+    dist = haversine_sql("c.lat_ref", "c.lon_ref", "p.lat", "p.lon")
+    return fx.with_fixtures("points") + f""",
+cen as (select cidade, round(avg(lat), 9) as lat_ref, round(avg(lon), 9) as lon_ref from points group by cidade),
+o as (
+  select p.pdv_id, p.cidade,
+         case when {ang} >= 0 then {ang} else {ang} + 2 * pi() end as ang, {dist} as dist
+  from points p join cen c on c.cidade = p.cidade)
+select pdv_id, cidade,
+       cast(floor((row_number() over (partition by cidade order by ang, dist, pdv_id) - 1) / cast({SWEEP_CAP} as double)) as int) as setor
+from o
+"""
+
+
+@register("capacitated_sweep", sql=_sweep_sql())
+def q_capacitated_sweep(spark, sf_dir):
+    """C-11 / G-04 / W-06: per city, sweep by bearing round the centroid, cut every 25 points."""
+    from ..operators.sweep import capacitated_sweep
+    pts = fx.points(spark, sf_dir).select("pdv_id", "cidade", "lat", "lon")
+    return capacitated_sweep(pts, SWEEP_CAP, ["cidade"]).select("pdv_id", "cidade", "setor")
