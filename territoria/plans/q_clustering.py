@@ -98,3 +98,45 @@ def q_capacitated_sweep(spark, sf_dir):
     from ..operators.sweep import capacitated_sweep
     pts = fx.points(spark, sf_dir).select("pdv_id", "cidade", "lat", "lon")
     return capacitated_sweep(pts, SWEEP_CAP, ["cidade"]).select("pdv_id", "cidade", "setor")
+
+
+LLOYD_CAP = 20
+LLOYD_ITERS = 3
+
+
+def _lloyd_sql(iters: int) -> str:
+    parts = [f"""
+g as (select zona, pdv_id, lat, lon from points),
+n as (select zona, count(*) as n, cast(greatest(1, ceil(count(*) / cast({LLOYD_CAP} as double))) as int) as k
+      from g group by zona),
+r as (select g.*, row_number() over (partition by zona order by lon, lat, pdv_id) as rk from g),
+c0 as (select zona, c, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from (
+         select r.*, cast(floor((r.rk - 1) * n.k / cast(n.n as double)) as int) as c
+         from r join n on n.zona = r.zona) t group by zona, c)"""]
+
+    def assign(i: int) -> str:
+        return f"""
+a{i} as (select zona, pdv_id, lat, lon, c from (
+  select g.zona, g.pdv_id, g.lat, g.lon, c.c,
+         row_number() over (partition by g.pdv_id order by power(g.lat - c.lat, 2) + power(g.lon - c.lon, 2), c.c) as rn
+  from g join c{i} c on c.zona = g.zona) t where rn = 1)"""
+
+    for i in range(iters):
+        parts.append(assign(i))
+        parts.append(f"""
+c{i + 1} as (select o.zona, o.c, coalesce(m.lat, o.lat) as lat, coalesce(m.lon, o.lon) as lon
+  from c{i} o left join (select zona, c, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon
+                          from a{i} group by zona, c) m on m.zona = o.zona and m.c = o.c)""")
+    parts.append(assign(iters))
+    return (fx.with_fixtures("points").rstrip() + "," + ",".join(parts)
+            + f"\nselect pdv_id, zona, c as cluster_id from a{iters}")
+
+
+@register("kmeans_grouped", sql=_lloyd_sql(LLOYD_ITERS))
+def q_kmeans_grouped(spark, sf_dir):
+    """C-05 + C-06: k = ceil(n / 20) per zone, grouped Lloyd (3 fixed rounds) for all zones in one job."""
+    from ..operators.lloyd import k_for_capacity, kmeans
+    pts = fx.points(spark, sf_dir)
+    k = k_for_capacity(pts, ["zona"], LLOYD_CAP)
+    res, _ = kmeans(pts, k, ["zona"], max_iter=LLOYD_ITERS, fixed_iter=True)
+    return res.select("pdv_id", "zona", F.col("c").alias("cluster_id"))
