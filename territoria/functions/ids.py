@@ -13,14 +13,13 @@ def _c(x) -> Column:
 
 
 def clean_cnpj(c) -> Column:
-    """P-21: `1,23E+13` -> `12300000000000`; digits only; empty -> null."""
-    v = fix_encoding(strip_ws(_c(c)))
-    v = F.when(v.rlike(r"^\d+,\d+E\+\d+$"), F.regexp_replace(v, ",", ".")).otherwise(v)
-    sci = v.contains("E+") | v.contains("e+")
-    as_num = v.try_cast("double")
-    v = F.when(sci & as_num.isNotNull(), F.format_string("%.0f", as_num)).otherwise(v)
-    out = F.regexp_replace(v, r"[^0-9]", "")
-    return F.when(_c(c).isNull() | (strip_ws(_c(c)) == ""), F.lit(None).cast("string")).otherwise(out)
+    """P-21: `1,23E+13` -> `12300000000000`; digits only ('' when nothing is left).
+
+    Pass the stripped, encoding-fixed cell as a column reference.
+    """
+    v = F.regexp_replace(_c(c), r"^(\d+),(\d+E\+\d+)$", "$1.$2")
+    sci = F.when(v.rlike(r"[Ee]\+"), v.try_cast("double").cast("decimal(38,0)").cast("string"))
+    return F.regexp_replace(F.coalesce(sci, v), r"[^0-9]", "")
 
 
 def valid_cnpj14(c) -> Column:
@@ -53,12 +52,14 @@ def bad_cep(c) -> Column:
 
 
 def parse_money_br(c) -> Column:
-    """P-25: strip `R$`; `1.234,56` -> 1234.56; > 1e9 or unparsable -> null."""
-    v = strip_ws(fix_encoding(_c(c)))
-    v = strip_ws(F.replace(F.replace(v, F.lit("R$"), F.lit("")), F.lit("r$"), F.lit("")))
-    br = F.regexp_replace(F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit(".")), r"[^0-9.]", "")
-    num = F.when(v.contains(","), br.try_cast("double")).otherwise(v.try_cast("double"))
-    return F.when(num > 1e9, F.lit(None).cast("double")).otherwise(num)
+    """P-25: strip `R$`; `1.234,56` -> 1234.56; > 1e9 or unparsable -> null.
+
+    Pass the encoding-fixed cell as a column reference.
+    """
+    v = strip_ws(F.replace(F.replace(_c(c), F.lit("R$"), F.lit("")), F.lit("r$"), F.lit("")))
+    br = F.regexp_replace(F.translate(F.replace(v, F.lit("."), F.lit("")), ",", "."), r"[^0-9.]", "")
+    num = F.when(F.instr(v, ",") > 0, br).otherwise(v).try_cast("double")
+    return F.when(num <= 1e9, num)
 
 
 UUID_RE = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"

@@ -14,38 +14,44 @@ REQUIRED = ["cnpj", "logradouro", "cidade", "uf"]
 
 
 def clean_points_raw(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Clean a sheet of string cells into the point schema (one projection, no shuffle).
+    """Clean a sheet of string cells into the point schema (projections only, no shuffle).
 
+    Written as stages whose outputs are referenced by name, so every regular
+    expression is evaluated once per row and the generated code stays small.
     A missing CNPJ gets a surrogate `X` + 13-digit row id with `cnpj_gerado`
     set, so it can never be mistaken for a real identifier.
     """
-    def cell(c):
-        v = text.fix_encoding(text.strip_ws(F.coalesce(F.col(c), F.lit(""))))
-        return F.when(v.isin("nan", "None"), F.lit("")).otherwise(v)
-
-    cnpj = ids.clean_cnpj("cnpj")
-    gerado = cnpj.isNull() | (cnpj == "")
-    surrogate = F.concat(F.lit("X"), F.lpad(F.col(row_id).cast("string"), 13, "0"))
-    df = raw.select(
-        F.col(row_id),
-        F.when(gerado, surrogate).otherwise(cnpj).alias("cnpj"),
+    cells = ["cnpj", "logradouro", "numero", "bairro", "cidade", "uf"]
+    s1 = raw.select(F.col(row_id),
+                    *[text.fix_encoding(text.strip_ws(F.coalesce(F.col(c), F.lit("")))).alias("_" + c)
+                      for c in cells],
+                    text.fix_encoding(F.coalesce(F.col("cep"), F.lit(""))).alias("_cep"),
+                    text.fix_encoding(F.coalesce(F.col("pdv_vendas"), F.lit(""))).alias("_vendas"))
+    s2 = s1.select(row_id,
+                   ids.clean_cnpj("_cnpj").alias("_cnpj1"),
+                   *[F.when(F.col("_" + c).isin("nan", "None"), F.lit("")).otherwise(F.col("_" + c)).alias("_" + c)
+                     for c in cells[1:]],
+                   F.regexp_replace("_cep", r"[^0-9]", "").alias("cep"),
+                   ids.parse_money_br("_vendas").alias("pdv_vendas"))
+    street, number = text.split_trailing_number(F.col("_logradouro"))
+    s3 = s2.select(row_id, "_cnpj1", "_numero", "_bairro", "cep", "pdv_vendas",
+                   street.alias("_street"), number.alias("_num_tail"),
+                   F.upper(text.strip_ws("_cidade")).alias("cidade"),
+                   F.upper(text.strip_ws("_uf")).alias("uf"))
+    gerado = F.col("_cnpj1") == ""
+    numero_final = F.when(text.strip_ws("_numero") != "", F.col("_numero")).otherwise(F.col("_num_tail"))
+    s4 = s3.select(
+        row_id,
+        F.when(gerado, F.concat(F.lit("X"), F.lpad(F.col(row_id).cast("string"), 13, "0")))
+        .otherwise(F.col("_cnpj1")).alias("cnpj"),
         gerado.alias("cnpj_gerado"),
-        cell("logradouro").alias("_log"), cell("numero").alias("_num"), cell("bairro").alias("_bai"),
-        F.upper(text.strip_ws(cell("cidade"))).alias("cidade"),
-        F.upper(text.strip_ws(cell("uf"))).alias("uf"),
-        F.regexp_replace(text.fix_encoding(F.coalesce(F.col("cep"), F.lit(""))), r"[^0-9]", "").alias("cep"),
-        ids.parse_money_br("pdv_vendas").alias("pdv_vendas"))
-    street, number = text.split_trailing_number(F.col("_log"))
-    numero_final = F.when(text.strip_ws(F.col("_num")) != "", F.col("_num")).otherwise(number)
-    df = df.select(
-        row_id, "cnpj", "cnpj_gerado",
-        text.clean_street(street).alias("logradouro"),
+        text.clean_street("_street").alias("logradouro"),
         text.clean_number(numero_final).alias("numero"),
-        text.clean_district(F.col("_bai"), F.col("cidade")).alias("bairro"),
+        text.clean_district(F.col("_bairro"), F.col("cidade")).alias("bairro"),
         "cidade", "uf", "cep", "pdv_vendas")
-    addr = text.compose_address("logradouro", "numero", "bairro", "cidade", "uf", "cep")
-    return (df.withColumn("pdv_endereco_completo", addr)
-            .withColumn("endereco_cache_key", text.cache_key(F.col("pdv_endereco_completo"))))
+    s5 = s4.withColumn("pdv_endereco_completo",
+                       text.compose_address("logradouro", "numero", "bairro", "cidade", "uf", "cep"))
+    return s5.withColumn("endereco_cache_key", text.cache_key(F.col("pdv_endereco_completo")))
 
 
 def validate_points(df: DataFrame, existing: DataFrame | None = None, key: str = "cnpj") -> DataFrame:

@@ -145,18 +145,14 @@ def fix_encoding(e: str) -> str:
 
 
 def clean_cnpj(e: str) -> str:
-    v = fix_encoding(strip(e))
-    v = f"(case when regexp_matches({v}, '^\\d+,\\d+E\\+\\d+$') then replace({v}, ',', '.') else {v} end)"
-    sci = f"(contains({v}, 'E+') or contains({v}, 'e+'))"
-    num = f"try_cast({v} as double)"
-    v = f"(case when {sci} and {num} is not null then printf('%.0f', {num}) else {v} end)"
-    out = rr(v, "[^0-9]", "")
-    return f"(case when {e} is null or {strip(e)} = '' then null else {out} end)"
+    v = rr(e, r"^(\d+),(\d+E\+\d+)$", "\\1.\\2", "")
+    sci = (f"(case when regexp_matches({v}, {q('[Ee][+]')}) "
+           f"then cast(cast(try_cast({v} as double) as decimal(38,0)) as varchar) end)")
+    return rr(f"coalesce({sci}, {v})", "[^0-9]", "")
 
 
 def parse_money_br(e: str) -> str:
-    v = strip(fix_encoding(e))
-    v = strip(f"replace(replace({v}, 'R$', ''), 'r$', '')")
+    v = strip(f"replace(replace({e}, 'R$', ''), 'r$', '')")
     br = rr(f"replace(replace({v}, '.', ''), ',', '.')", r"[^0-9.]", "")
-    num = f"(case when contains({v}, ',') then try_cast({br} as double) else try_cast({v} as double) end)"
-    return f"(case when {num} > 1e9 then null else {num} end)"
+    num = f"try_cast((case when contains({v}, ',') then {br} else {v} end) as double)"
+    return f"(case when {num} <= 1e9 then {num} end)"

@@ -16,8 +16,8 @@ def _clean_sql() -> str:
         v = D.fix_encoding(D.strip(f"coalesce({c}, '')"))
         return f"(case when {v} in ('nan', 'None') then '' else {v} end)"
 
-    cnpj = D.clean_cnpj("cnpj")
-    gerado = f"({cnpj} is null or {cnpj} = '')"
+    cnpj = D.clean_cnpj(D.fix_encoding(D.strip("coalesce(cnpj, '')")))
+    gerado = f"({cnpj} = '')"
     street, number = D.split_trailing_number("_log")
     numero_final = f"(case when {D.strip('_num')} <> '' then _num else {number} end)"
     return f"""
@@ -29,7 +29,7 @@ s1 as (
          upper({D.strip(cell('cidade'))}) as cidade,
          upper({D.strip(cell('uf'))}) as uf,
          {D.rr(D.fix_encoding("coalesce(cep, '')"), '[^0-9]', '')} as cep,
-         {D.parse_money_br('pdv_vendas')} as pdv_vendas
+         {D.parse_money_br("coalesce(pdv_vendas, '')")} as pdv_vendas
   from points_raw),
 s2 as (
   select row_id, cnpj, cnpj_gerado,

@@ -48,7 +48,7 @@ def test_money_and_cnpj(spark):
     df = spark.createDataFrame([("R$ 1.234,56",), ("1234.5",), ("abc",), ("2000000000",)], "s string")
     assert [r[0] for r in df.select(ids.parse_money_br("s")).collect()] == [1234.56, 1234.5, None, None]
     df = spark.createDataFrame([("1,23E+13",), ("",), ("12.345.678/0001-90",)], "s string")
-    assert [r[0] for r in df.select(ids.clean_cnpj("s")).collect()] == ["12300000000000", None, "12345678000190"]
+    assert [r[0] for r in df.select(ids.clean_cnpj("s")).collect()] == ["12300000000000", "", "12345678000190"]
     assert _one(spark, ids.format_cnpj, "2.17E+13") == "21.700.000/0000-00"
 
 
