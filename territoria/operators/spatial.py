@@ -30,6 +30,7 @@ OFFSETS = list(product((-1, 0, 1), repeat=3))
 # join falls back to a shuffle join on the cell key.
 BROADCAST_ROW_LIMIT = 2_000_000
 _SAFETY = 1.0 - 1e-9
+_MIN_CELL = chord_for_km(0.01)
 
 
 def _cell_cols(lat: Column, lon: Column, s: float, prefix: str) -> list[Column]:
@@ -56,8 +57,21 @@ def _levels(s0: float) -> list[float]:
     return out
 
 
-def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float) -> tuple[float, int]:
-    """Cell edge giving about `per_cell` rows per occupied cell, from one scalar agg."""
+def _occupancy(df: DataFrame, lat: str, lon: str, s: float, by: tuple[str, ...]) -> float:
+    """Row-weighted mean number of rows sharing a row's cell (sum c^2 / sum c)."""
+    c = df.groupBy(*by, *_cell_cols(F.col(lat), F.col(lon), s, "_o")).agg(F.count(F.lit(1)).alias("c"))
+    r = c.agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s1")).first()
+    return float(r["s2"] or 0) / max(1.0, float(r["s1"] or 0))
+
+
+def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float,
+                   by: tuple[str, ...] = ()) -> tuple[float, int]:
+    """Cell edge giving about `per_cell` rows per occupied cell.
+
+    Start from the bounding-box density, then refine with the measured
+    occupancy (a few scalar aggregates), since real points cluster far more
+    than their bounding box suggests.
+    """
     x, y, z = unit_xyz(F.col(lat), F.col(lon))
     r = df.agg(F.count(F.lit(1)).alias("n"),
                (F.max(x) - F.min(x)).alias("ex"), (F.max(y) - F.min(y)).alias("ey"),
@@ -67,8 +81,13 @@ def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float) -> tuple[
         return 2.0, 0
     ext = sorted([r["ex"] or 0.0, r["ey"] or 0.0, r["ez"] or 0.0], reverse=True)
     area = max(ext[0], 1e-6) * max(ext[1], 1e-6)
-    s = math.sqrt(area * per_cell / n)
-    return min(2.0, max(s, chord_for_km(0.01))), n
+    s = min(2.0, max(math.sqrt(area * per_cell / n), _MIN_CELL))
+    for _ in range(6):
+        occ = _occupancy(df, lat, lon, s, by)
+        if occ <= 2.0 * per_cell or s <= _MIN_CELL:
+            break
+        s = max(_MIN_CELL, s * math.sqrt(per_cell / occ))
+    return s, n
 
 
 def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str, ...] = (),
@@ -92,7 +111,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
         s0 = chord_for_km(cell_km)
         n_c = None
     else:
-        s0, n_c = _spacing_chord(c, "_clat", "_clon", per_cell=2.0)
+        s0, n_c = _spacing_chord(c, "_clat", "_clon", per_cell=2.0, by=by)
     small = n_c is not None and n_c * len(OFFSETS) <= BROADCAST_ROW_LIMIT
 
     cols = points.columns
@@ -144,12 +163,15 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
     Identical coordinates are folded into one location with a multiplicity
     first, so a hot spot holding a third of all rows is one row here: for a
     location of multiplicity m, m-1 neighbours sit at distance 0.  The search
-    then runs on distinct locations, level by level, and only locations whose
-    k-th distance is not yet proven go on to the next, coarser level.
+    then runs on distinct locations, level by level: one join to the 27
+    neighbour cells, one grouped collect per query location, and only
+    locations whose k-th distance is not yet proven go on to the next,
+    coarser level.  Each level's per-location result is checkpointed once.
     """
     by = tuple(by)
     loc, members = _dedupe_locations(points, pid, lat, lon, by)
-    s0, n = _spacing_chord(loc, "_lat", "_lon", per_cell=float(k + 1))
+    loc = cut_lineage(loc)
+    s0, n = _spacing_chord(loc, "_lat", "_lon", per_cell=float(k + 1), by=by)
     levels = _levels(s0)
     cur = loc
     results: list[DataFrame] = []
@@ -159,42 +181,35 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
                           F.col("_lon").alias("_olon"), F.col("_m").alias("_om"),
                           *_cell_cols(F.col("_lat"), F.col("_lon"), s, "_k"))
         cand = _neighbour_cells(cand, "_k")
-        pairs = (q.join(cand, on=[*by, "_kx", "_ky", "_kz"])
-                 .filter(F.col("_oloc") != F.col("_loc"))
-                 .withColumn("_d", haversine_km("_lat", "_lon", "_olat", "_olon")))
-        # Keep, per query location, the nearest other locations until their
-        # multiplicities reach k (ties by location id).
-        w = Window.partitionBy("_loc").orderBy("_d", "_oloc")
-        pairs = (pairs.withColumn("_cum", F.sum("_om").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                 .filter(F.col("_cum") - F.col("_om") < F.lit(k) - (F.col("_m") - 1)))
-        agg = pairs.groupBy("_loc").agg(
-            F.sort_array(F.collect_list(F.struct("_d", "_oloc", "_om", "_cum"))).alias("_nb"))
-        scored = cur.join(agg, "_loc", "left")
-        # Expand to exactly k distances: m-1 zeros, then each neighbour by multiplicity.
-        zeros = F.least(F.col("_m") - 1, F.lit(k))
+        pairs = (q.join(cand, on=[*by, "_kx", "_ky", "_kz"], how="left")
+                 .filter(F.col("_oloc").isNull() | (F.col("_oloc") != F.col("_loc"))))
+        nb = F.when(F.col("_oloc").isNotNull(),
+                    F.struct(haversine_km("_lat", "_lon", "_olat", "_olon").alias("d"), F.col("_oloc").alias("o"),
+                             F.col("_om").alias("m")))
+        agg = pairs.groupBy(*by, "_loc", "_lat", "_lon", "_m").agg(F.array_sort(F.collect_list(nb)).alias("_nb"))
+        # k distances: m-1 zeros (co-located copies), then neighbours by multiplicity.
+        zeros = F.least(F.col("_m") - 1, F.lit(k)).cast("int")
         dist_k = F.slice(F.concat(
-            F.array_repeat(F.lit(0.0), zeros.cast("int")),
-            F.flatten(F.transform(F.coalesce(F.col("_nb"), F.array()),
-                                  lambda e: F.array_repeat(e["_d"], e["_om"].cast("int"))))), 1, k)
-        scored = scored.withColumn("_dk", dist_k)
-        have = F.size("_dk")
-        # The search is proven when k distances were found and the k-th is inside the guard.
-        need = F.least(F.lit(k), F.col("_total") - 1) if False else F.lit(k)
+            F.array_repeat(F.lit(0.0), zeros),
+            F.flatten(F.transform("_nb", lambda e: F.array_repeat(e["d"], F.least(e["m"], F.lit(k)).cast("int"))))),
+            1, k)
+        scored = agg.select(*by, "_loc", "_lat", "_lon", "_m", dist_k.alias("_dk"))
         final = i == len(levels) - 1
         guard = km_for_chord(s) * _SAFETY
-        ok = F.lit(True) if final else ((have >= need) & (F.try_element_at("_dk", F.lit(-1)) <= F.lit(guard)))
-        done = scored.filter(ok).select(*by, "_loc", "_lat", "_lon", "_dk")
-        results.append(done)
+        if not final:
+            scored = cut_lineage(scored)
+        ok = F.lit(True) if final else ((F.size("_dk") >= k) & (F.try_element_at("_dk", F.lit(-1)) <= F.lit(guard)))
+        results.append(scored.filter(ok).select(*by, "_lat", "_lon", "_dk"))
         if final:
             break
         rest = scored.filter(~ok).select(*by, "_loc", "_lat", "_lon", "_m")
         if rest.isEmpty():
             break
-        cur = cut_lineage(rest)
+        cur = rest
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    res = members.join(out.drop("_loc"), on=[*by, "_lat", "_lon"])
+    res = members.join(out, on=[*by, "_lat", "_lon"])
     return res.select(pid, *by,
                       F.try_element_at("_dk", F.lit(1)).alias("d1_km"),
                       F.when(F.size("_dk") > 0, F.aggregate("_dk", F.lit(0.0), lambda a, x: a + x)
