@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import q_assign, q_clustering, q_geo, q_routing, q_tables, q_text  # noqa: F401
+from . import q_assign, q_clustering, q_geo, q_misc, q_routing, q_tables, q_text  # noqa: F401
