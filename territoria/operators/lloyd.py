@@ -47,25 +47,36 @@ def assign(points: DataFrame, centres: DataFrame, group: list[str], out: str = "
     return j.withColumn(out, best["c"]).withColumn("_d2", best["d2"]).drop("_cs")
 
 
-def update(assigned: DataFrame, old: DataFrame, group: list[str], label: str = "c") -> DataFrame:
-    means = (assigned.groupBy(*group, F.col(label).alias("c"))
-             .agg(F.round(F.avg("lat"), DIGITS).alias("_nlat"), F.round(F.avg("lon"), DIGITS).alias("_nlon")))
+def update(assigned: DataFrame, old: DataFrame, group: list[str], label: str = "c",
+           weight: str | None = None) -> DataFrame:
+    """New centre = (weighted) mean of the cluster's points; empty clusters keep theirs."""
+    if weight:
+        w = F.col(weight)
+        means = (assigned.groupBy(*group, F.col(label).alias("c"))
+                 .agg(F.sum(w).alias("_sw"), F.sum(w * F.col("lat")).alias("_swl"), F.sum(w * F.col("lon")).alias("_swo"),
+                      F.avg("lat").alias("_al"), F.avg("lon").alias("_ao"))
+                 .select(*group, "c",
+                         F.round(F.when(F.col("_sw") > 0, F.col("_swl") / F.col("_sw")).otherwise(F.col("_al")), DIGITS).alias("_nlat"),
+                         F.round(F.when(F.col("_sw") > 0, F.col("_swo") / F.col("_sw")).otherwise(F.col("_ao")), DIGITS).alias("_nlon")))
+    else:
+        means = (assigned.groupBy(*group, F.col(label).alias("c"))
+                 .agg(F.round(F.avg("lat"), DIGITS).alias("_nlat"), F.round(F.avg("lon"), DIGITS).alias("_nlon")))
     j = old.join(means, [*group, "c"], "left")
     return j.select(*group, "c", F.coalesce("_nlat", "lat").alias("lat"), F.coalesce("_nlon", "lon").alias("lon"))
 
 
 def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id", max_iter: int = 20,
-           fixed_iter: bool = False) -> tuple[DataFrame, DataFrame]:
+           fixed_iter: bool = False, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run grouped Lloyd; returns (points with `c`, centres).
 
     With `fixed_iter` every round runs (no convergence test), which is what
     the SQL oracle unrolls.
     """
-    pts = points.select(*group, pid, "lat", "lon")
+    pts = points.select(*group, pid, "lat", "lon", *([weight] if weight else []))
     cen = cut_lineage(init_centres(pts, k, group, pid))
     for _ in range(max_iter):
         a = assign(pts, cen, group)
-        new = cut_lineage(update(a, cen, group))
+        new = cut_lineage(update(a, cen, group, weight=weight))
         if not fixed_iter:
             moved = (new.alias("n").join(cen.alias("o"), [*group, "c"])
                      .filter((F.col("n.lat") != F.col("o.lat")) | (F.col("n.lon") != F.col("o.lon"))).limit(1).count())

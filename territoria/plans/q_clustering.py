@@ -140,3 +140,30 @@ def q_kmeans_grouped(spark, sf_dir):
     k = k_for_capacity(pts, ["zona"], LLOYD_CAP)
     res, _ = kmeans(pts, k, ["zona"], max_iter=LLOYD_ITERS, fixed_iter=True)
     return res.select("pdv_id", "zona", F.col("c").alias("cluster_id"))
+
+
+CAP_PURE, TEMPO_PURE = 20, 30.0
+
+
+@register("kmeans_capacity")
+def q_kmeans_capacity(spark, sf_dir):
+    """C-07: per zone, smallest k (from ceil(n/20)) whose clusters hold <= 20 points
+    within 30 minutes of their centre; candidate k values evaluated in batches."""
+    from ..operators.clustering import kmeans_capacity
+    pts = fx.points(spark, sf_dir).select("pdv_id", "zona", "lat", "lon")
+    return kmeans_capacity(pts, ["zona"], CAP_PURE, TEMPO_PURE, KMH, max_tries=8, batch=4)
+
+
+BAL_MIN, BAL_MAX, BAL_TEMPO, BAL_MERGE = 5, 25, 60.0, 50.0
+
+
+@register("balance_fixed_centres")
+def q_balance_fixed_centres(spark, sf_dir):
+    """C-16 / C-18: points start at their nearest fixed centre; oversize clusters shed
+    border points to neighbours, undersize centres are dropped when all points fit elsewhere."""
+    from ..operators.clustering import balance_points
+    pts = fx.points(spark, sf_dir)
+    cen = fx.centers(spark, sf_dir).select(F.col("centro_id").alias("label"), "lat", "lon")
+    start = nearest(pts, cen, "label", out_id="label").select("pdv_id", "lat", "lon", "label")
+    a, kept = balance_points(start, cen, BAL_MIN, BAL_MAX, BAL_TEMPO, KMH, BAL_MERGE, rounds=6)
+    return a.select("pdv_id", F.col("label").alias("centro_id"))
