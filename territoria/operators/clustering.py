@@ -167,3 +167,121 @@ def _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radi
     a = cut_lineage(a.join(moves, pid, "left").withColumn("label", F.coalesce("_new", "label")).drop("_new"))
     cen = cut_lineage(cen.join(whole.withColumnRenamed("src", "label"), "label", "left_anti"))
     return removed, a, cen
+
+
+# ----------------------------------------------------------------- C-13
+KM_PER_DEG = 111.0
+
+
+def adaptive_dbscan_params(points: DataFrame, pid: str = "pdv_id", by: tuple[str, ...] = (),
+                           eps_min_km: float = 2.0, eps_max_km: float = 6.0,
+                           ms_min: int = 10, ms_max: int = 30) -> tuple[float, int]:
+    """eps = clip(20 x median nearest-other-location km, 2, 6); min_samples from
+    density (small inputs: clip(n // 2, 3, 30)).  The median is exact (kNN on
+    distinct locations, `percentile`), not from a sample."""
+    from .spatial import knn_distances
+    locs = points.groupBy(*by, "lat", "lon").agg(F.min(pid).alias(pid))
+    nn = knn_distances(locs, 1, pid=pid, by=by)
+    r = nn.agg(F.percentile("d1_km", 0.5).alias("med"), F.count(F.lit(1)).alias("n")).first()
+    n = points.count()
+    med = float(r["med"] or 0.0)
+    eps = min(max(med * 20.0, eps_min_km), eps_max_km)
+    if n < 60:
+        ms = max(3, min(30, n // 2))
+    else:
+        dens = min(max((1.0 / (med + 1e-6) - 0.05) / 0.1, 0.0), 1.0)
+        ms = int(min(max(int(ms_min + dens * (ms_max - ms_min)), ms_min), ms_max))
+    return eps, ms
+
+
+def _cell_id(a, b):
+    return (a.cast("long") * F.lit(4294967296) + (b.cast("long") + F.lit(2147483648)))
+
+
+def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_id",
+           by: tuple[str, ...] = (), max_rounds: int = 50) -> DataFrame:
+    """C-13: density clusters with eps in degrees (eps_km / 111, planar), every point labelled.
+
+    * fine cells of side eps/sqrt(2): all points of a cell are neighbours, so a
+      cell holding >= min_samples points makes all of them core with no pairs;
+    * only points of sparse cells count neighbours, against the 5x5 cells
+      around them (exact residual);
+    * cores of one cell are connected; cells are linked when two of their
+      cores are within eps, and components come from min-label propagation
+      on the cell graph (checkpointed per round);
+    * border points join the component of their nearest core; noise points
+      join the nearest cluster mean (haversine); no cluster at all -> label 0.
+    Labels are 0..k-1 in order of each cluster's smallest point id.
+    """
+    by = tuple(by)
+    eps = eps_km / KM_PER_DEG
+    side = eps / 2 ** 0.5
+    p = points.select(pid, *by, "lat", "lon",
+                      F.floor(F.col("lat") / side).alias("_ca"), F.floor(F.col("lon") / side).alias("_cb"))
+    p = cut_lineage(p)
+    cnt = p.groupBy(*by, "_ca", "_cb").agg(F.count(F.lit(1)).alias("_cc"))
+    p = p.join(cnt, [*by, "_ca", "_cb"])
+    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    other = p.select(F.col(pid).alias("_o"), *by, F.col("lat").alias("_olat"), F.col("lon").alias("_olon"),
+                     "_ca", "_cb", F.col("_cc").alias("_occ"))
+    sparse = p.filter(F.col("_cc") < min_samples)
+    q = (sparse.withColumn("_off", F.explode(offs))
+         .withColumn("_na", F.col("_ca") + F.col("_off.i")).withColumn("_nb", F.col("_cb") + F.col("_off.j"))
+         .drop("_off"))
+    d2 = lambda a, b, c, d: F.pow(F.col(a) - F.col(c), 2) + F.pow(F.col(b) - F.col(d), 2)
+    pairs = (q.join(other.withColumnRenamed("_ca", "_na").withColumnRenamed("_cb", "_nb"), [*by, "_na", "_nb"])
+             .filter((F.col("_o") != F.col(pid)) & (d2("lat", "lon", "_olat", "_olon") <= eps * eps)))
+    pairs = cut_lineage(pairs.select(pid, "_o", "_olat", "_olon", "_occ", "lat", "lon", *by))
+    ncount = pairs.groupBy(pid).agg(F.count(F.lit(1)).alias("_nn"))
+    p = (p.join(ncount, pid, "left")
+         .withColumn("_core", (F.col("_cc") >= min_samples) | (F.coalesce("_nn", F.lit(0)) + 1 >= min_samples)))
+    p = cut_lineage(p.drop("_nn"))
+    cores = p.filter("_core")
+    if cores.isEmpty():
+        return points.select(*points.columns, F.lit(0).alias("cluster_id"))
+    cid = _cell_id(F.col("_ca"), F.col("_cb"))
+    core_cells = cores.select(*by, "_ca", "_cb").distinct().withColumn("_cell", cid)
+    # edges between cells: a core pair within eps (both ends core)
+    cq = (cores.select(pid, *by, "lat", "lon", "_ca", "_cb").withColumn("_off", F.explode(offs))
+          .withColumn("_na", F.col("_ca") + F.col("_off.i")).withColumn("_nb", F.col("_cb") + F.col("_off.j"))
+          .filter((F.col("_off.i") > 0) | ((F.col("_off.i") == 0) & (F.col("_off.j") > 0))).drop("_off"))
+    co = cores.select(*by, F.col("lat").alias("_olat"), F.col("lon").alias("_olon"),
+                      F.col("_ca").alias("_na"), F.col("_cb").alias("_nb"))
+    edges = (cq.join(co, [*by, "_na", "_nb"]).filter(d2("lat", "lon", "_olat", "_olon") <= eps * eps)
+             .select(*by, _cell_id(F.col("_ca"), F.col("_cb")).alias("_u"),
+                     _cell_id(F.col("_na"), F.col("_nb")).alias("_v")).distinct())
+    edges = cut_lineage(edges.unionByName(edges.select(*by, F.col("_v").alias("_u"), F.col("_u").alias("_v"))))
+    lab = cut_lineage(core_cells.select(*by, F.col("_cell").alias("_u"), F.col("_cell").alias("_lab")))
+    for _ in range(max_rounds):
+        prop = (edges.join(lab.withColumnRenamed("_u", "_v").withColumnRenamed("_lab", "_vl"), [*by, "_v"])
+                .groupBy(*by, "_u").agg(F.min("_vl").alias("_m")))
+        new = (lab.join(prop, [*by, "_u"], "left")
+               .select(*by, "_u", F.least("_lab", F.coalesce("_m", "_lab")).alias("_lab")))
+        new = cut_lineage(new)
+        changed = new.join(lab.withColumnRenamed("_lab", "_old"), [*by, "_u"]).filter(
+            F.col("_lab") != F.col("_old")).limit(1).count()
+        lab = new
+        if changed == 0:
+            break
+    core_lab = cores.select(pid, *by, cid.alias("_u")).join(lab, [*by, "_u"]).select(pid, "_lab")
+    # border points: nearest core among their neighbour pairs (only sparse points can be border)
+    core_ids = core_lab.select(F.col(pid).alias("_o"), F.col("_lab").alias("_olab"))
+    border = (pairs.join(core_ids, "_o")
+              .withColumn("_d", d2("lat", "lon", "_olat", "_olon"))
+              .groupBy(pid).agg(F.min(F.struct("_d", "_olab")).alias("_b"))
+              .select(pid, F.col("_b._olab").alias("_blab")))
+    lab_all = (p.select(pid, *by, "lat", "lon", "_core").join(core_lab, pid, "left").join(border, pid, "left")
+               .withColumn("_lab", F.when(F.col("_core"), F.col("_lab")).otherwise(F.col("_blab"))).drop("_blab"))
+    lab_all = cut_lineage(lab_all)
+    clustered = lab_all.filter(F.col("_lab").isNotNull())
+    noise = lab_all.filter(F.col("_lab").isNull()).drop("_lab")
+    means = clustered.groupBy(*by, "_lab").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    from .spatial import nearest
+    fixed = nearest(noise, means, "_lab", by=by, out_id="_lab", out_km="_nk").drop("_nk")
+    everything = clustered.select(pid, *by, "_lab").unionByName(fixed.select(pid, *by, "_lab"))
+    order = everything.groupBy(*by, "_lab").agg(F.min(pid).alias("_first"))
+    from pyspark.sql.window import Window
+    w = Window.partitionBy(*by).orderBy("_first") if by else Window.orderBy("_first")
+    order = order.withColumn("cluster_id", (F.dense_rank().over(w) - 1).cast("int"))  # one row per cluster
+    res = everything.join(order.select(*by, "_lab", "cluster_id"), [*by, "_lab"]).select(pid, "cluster_id")
+    return points.join(res, pid)

@@ -167,3 +167,14 @@ def q_balance_fixed_centres(spark, sf_dir):
     start = nearest(pts, cen, "label", out_id="label").select("pdv_id", "lat", "lon", "label")
     a, kept = balance_points(start, cen, BAL_MIN, BAL_MAX, BAL_TEMPO, KMH, BAL_MERGE, rounds=6)
     return a.select("pdv_id", F.col("label").alias("centro_id"))
+
+
+DB_EPS_KM, DB_MIN_SAMPLES = 15.0, 6
+
+
+@register("dbscan_sectors")
+def q_dbscan_sectors(spark, sf_dir):
+    """C-13 / J-10: density sectors per tenant (eps 15 km, min 6 points); noise joins the nearest cluster."""
+    from ..operators.clustering import dbscan
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "lat", "lon")
+    return dbscan(pts, DB_EPS_KM, DB_MIN_SAMPLES, by=("tenant_id",))
