@@ -182,7 +182,11 @@ def routing_summary(routes: DataFrame, cluster: list[str]) -> DataFrame:
         F.sum(F.round(F.col("tempo_total_min") * 10, 0).cast("long")).alias("_dmin"))
     km = F.col("_ckm") / F.lit(100.0)
     mn = F.col("_dmin") / F.lit(10.0)
+    q = F.col("qtd_subclusters")
+
+    def half_up(units):  # units / q rounded half-up to 3 decimals, in integers
+        return F.floor((2 * units + q) / (2 * q).cast("double")) / F.lit(1000.0)
     return g.select(*cluster, "qtd_subclusters", "qtd_pdvs", km.alias("dist_total_km"), mn.alias("tempo_total_min"),
-                    F.round(km / F.col("qtd_subclusters"), 3).alias("dist_media_km"),
-                    F.round(mn / F.col("qtd_subclusters"), 3).alias("tempo_medio_min"),
+                    half_up(F.col("_ckm") * 10).alias("dist_media_km"),
+                    half_up(F.col("_dmin") * 100).alias("tempo_medio_min"),
                     km.alias("dist_total_mes_km"), mn.alias("tempo_total_mes_min"))

@@ -124,8 +124,8 @@ def q_route_cost(spark, sf_dir):
 select cluster_id, count(*) as qtd_subclusters, cast(sum(n_pdvs) as bigint) as qtd_pdvs,
        sum(cast(round(dist_total_km * 100, 0) as bigint)) / 100.0 as dist_total_km,
        sum(cast(round(tempo_total_min * 10, 0) as bigint)) / 10.0 as tempo_total_min,
-       round(sum(cast(round(dist_total_km * 100, 0) as bigint)) / 100.0 / count(*), 3) as dist_media_km,
-       round(sum(cast(round(tempo_total_min * 10, 0) as bigint)) / 10.0 / count(*), 3) as tempo_medio_min,
+       floor((2 * sum(cast(round(dist_total_km * 100, 0) as bigint)) * 10 + count(*)) / cast(2 * count(*) as double)) / 1000.0 as dist_media_km,
+       floor((2 * sum(cast(round(tempo_total_min * 10, 0) as bigint)) * 100 + count(*)) / cast(2 * count(*) as double)) / 1000.0 as tempo_medio_min,
        sum(cast(round(dist_total_km * 100, 0) as bigint)) / 100.0 as dist_total_mes_km,
        sum(cast(round(tempo_total_min * 10, 0) as bigint)) / 10.0 as tempo_total_mes_min
 from routes group by cluster_id
