@@ -279,3 +279,56 @@ def q_reverse_cache_lookup(spark, sf_dir):
     j = q.join(cache, ["_a", "_b"]).filter((F.abs(F.col("klat") - F.col("qlat")) < 1e-6)
                                           & (F.abs(F.col("klon") - F.col("qlon")) < 1e-6))
     return j.select("centro_id", "endereco", "zona").distinct()
+
+
+@register("order_dates_ids", sql="""
+select o_orderkey,
+       cast(coalesce(try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'),
+                     try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%Y-%m-%d')) as date) as data_br,
+       cast(coalesce(try_strptime(strftime(o_orderdate, '%Y-%m-%d'), '%d/%m/%Y'),
+                     try_strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d')) as date) as data_iso,
+       case when regexp_matches(lower(regexp_replace(regexp_replace(' ' || lpad(to_hex(o_orderkey), 32, 'A') || chr(9), '\\s+', '', 'g'), '[^0-9a-fA-F-]', '', 'g')), '^[0-9a-f]{32}$')
+            then regexp_replace(lower(lpad(to_hex(o_orderkey), 32, 'A')), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') end as uuid_canon
+from orders
+""")
+def q_order_dates_ids(spark, sf_dir):
+    """P-27 / P-28: dates in dd/MM/yyyy and ISO text parsed back; ids turned into canonical UUID text."""
+    from ..functions.ids import canonical_uuid, parse_date_br
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    raw_id = F.concat(F.lit(" "), F.lpad(F.hex(F.col("o_orderkey")), 32, "A"), F.lit("\t"))
+    return o.select("o_orderkey",
+                    parse_date_br(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("data_br"),
+                    parse_date_br(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("data_iso"),
+                    canonical_uuid(raw_id).alias("uuid_canon"))
+
+
+@register("event_json_fields", sql="""
+select event_id, try_cast(json_extract_string(props, '$.k') as double) as k,
+       case when value = 0 then null else round(value / value, 3) end as razao
+from events
+""")
+def q_event_json_fields(spark, sf_dir):
+    """P-33 / P-31 / P-35: a JSON field as a number, and a ratio that is null instead of NaN/inf."""
+    from ..functions.fmt import json_field, null_nan_inf
+    e = fx.table(spark, sf_dir, "events")
+    out = e.select("event_id", json_field("props", "k", as_double=True).alias("k"),
+                   F.round(F.col("value") / F.nullif(F.col("value"), F.lit(0.0)), 3).alias("razao"))
+    return null_nan_inf(out)
+
+
+@register("address_fallbacks", sql=CLEAN_SQL + """
+select row_id,
+       coalesce(nullif(case when starts_with(bairro, 'Centro') then pdv_endereco_completo else '' end, ''),
+                coalesce(logradouro, '')
+                || case when numero is not null and numero <> '' then ', ' || numero else '' end
+                || case when bairro is not null and bairro <> '' then ' - ' || bairro else '' end
+                || case when cidade is not null and cidade <> '' then ', ' || cidade else '' end
+                || case when uf is not null and uf <> '' then '/' || uf else '' end) as endereco
+from clean
+""")
+def q_address_fallbacks(spark, sf_dir):
+    """P-29: stored full address when present, else one built from the parts."""
+    from ..functions.fmt import address_fallback
+    c = clean_points_raw(fx.points_raw(spark, sf_dir))
+    stored = F.when(F.col("bairro").startswith("Centro"), F.col("pdv_endereco_completo")).otherwise(F.lit(""))
+    return c.select("row_id", address_fallback(stored, "logradouro", "numero", "bairro", "cidade", "uf").alias("endereco"))
