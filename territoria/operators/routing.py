@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km, travel_min
+from ..session import cut_lineage
 
 # A route is one day's work; the stop solver holds one route in memory, so
 # routes above this size are refused before any task starts.
@@ -190,3 +191,75 @@ def routing_summary(routes: DataFrame, cluster: list[str]) -> DataFrame:
                     half_up(F.col("_ckm") * 10).alias("dist_media_km"),
                     half_up(F.col("_dmin") * 100).alias("tempo_medio_min"),
                     km.alias("dist_total_mes_km"), mn.alias("tempo_total_mes_min"))
+
+
+# ----------------------------------------------------------------- R-05..R-08
+def multi_stop_cost(stops: DataFrame, route: list[str], order: str, cache: DataFrame | None,
+                    kmh: float, alpha: float) -> DataFrame:
+    """R-05: cost of visiting the stops in order without a depot; fewer than two
+    stops cost 0 km and 10 minutes."""
+    w = Window.partitionBy(*route).orderBy(order)
+    legs = (stops.select(*route, F.col(order).alias("leg"), F.lag("lat").over(w).alias("a_lat"),
+                         F.lag("lon").over(w).alias("a_lon"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+            .filter(F.col("a_lat").isNotNull()))
+    c = leg_costs(legs, cache, kmh, alpha).groupBy(*route).agg(F.sum("km").alias("_km"), F.sum("min").alias("_min"))
+    n = stops.groupBy(*route).agg(F.count(F.lit(1)).alias("_n"))
+    j = n.join(c, route, "left")
+    return j.select(*route, F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.round("_km", 3)).alias("distancia_km"),
+                    F.when(F.col("_n") < 2, F.lit(10.0)).otherwise(F.round("_min", 1)).alias("tempo_min"))
+
+
+def split_routes(points: DataFrame, cluster: list[str], k: DataFrame, pid: str = "pdv_id",
+                 lloyd_iter: int = 15) -> DataFrame:
+    """R-06: every cluster cut into its k routes by grouped Lloyd (all clusters in one job)."""
+    from .lloyd import kmeans
+    res, _ = kmeans(points, k, cluster, pid=pid, max_iter=lloyd_iter)
+    return res.withColumn("subcluster_seq", (F.col("c") + 1).cast("int")).drop("c", "_d2")
+
+
+def plan_routes(points: DataFrame, depots: DataFrame, cluster: list[str], dias: int, freq: float,
+                kmh: float, service_min: float, alpha: float, cache: DataFrame | None = None,
+                mode: str = "proporcional", improve: bool = True, pid: str = "pdv_id",
+                k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """R-08: route counts -> split -> stop order (+2-opt) -> leg costs -> totals.
+    Returns (routes with totals, stops with `sequencia_ordem`)."""
+    if k is None:
+        n = points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"))
+        k = n.select(*cluster, route_count("_n", dias, freq, mode).alias("k"))
+    routes = cut_lineage(split_routes(points, cluster, k, pid))
+    route = [*cluster, "subcluster_seq"]
+    seq = cut_lineage(sequence_stops(routes, depots, route, cluster, pid=pid, improve=improve)
+                      .join(routes.select(pid, "lat", "lon"), pid))
+    legs = route_legs(seq, depots, route, cluster)
+    totals = route_totals(leg_costs(legs, cache, kmh, alpha), route, service_min)
+    return totals, seq
+
+
+def split_until_feasible(points: DataFrame, depots: DataFrame, cluster: list[str], max_min: float,
+                         max_km: float, kmh: float, service_min: float, alpha: float,
+                         max_rounds: int = 10, pid: str = "pdv_id") -> tuple[DataFrame, DataFrame]:
+    """R-07: k = 1, 2, ... per cluster until every route fits `max_min` and
+    `max_km` or k = n; only infeasible clusters re-enter the next round."""
+    n = points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"))
+    k = cut_lineage(n.select(*cluster, F.lit(1).alias("k"), "_n"))
+    done_routes, done_stops = None, None
+    for i in range(max_rounds):
+        pts = points.join(k.select(*cluster), cluster)
+        totals, seq = plan_routes(pts, depots, cluster, 1, 1, kmh, service_min, alpha,
+                                  improve=False, pid=pid, k=k.select(*cluster, "k"))
+        totals = cut_lineage(totals)
+        bad = (totals.filter((F.col("tempo_total_min") > max_min) | (F.col("dist_total_km") > max_km))
+               .select(*cluster).distinct())
+        last = i == max_rounds - 1
+        ok_clusters = k.join(bad, cluster, "left_anti") if not last else k
+        ok_clusters = ok_clusters.unionByName(k.join(bad, cluster).filter(F.col("k") >= F.col("_n"))) \
+            if not last else ok_clusters
+        ok_keys = cut_lineage(ok_clusters.select(*cluster).distinct())
+        r = totals.join(ok_keys, cluster)
+        s = seq.join(ok_keys, cluster)
+        done_routes = r if done_routes is None else done_routes.unionByName(r)
+        done_stops = s if done_stops is None else done_stops.unionByName(s)
+        k = cut_lineage(k.join(ok_keys, cluster, "left_anti").withColumn("k", F.least(F.col("k") + 1, F.col("_n"))))
+        if k.isEmpty():
+            break
+    return done_routes, done_stops

@@ -133,3 +133,47 @@ from routes group by cluster_id
 def q_routing_summary(spark, sf_dir):
     """A-06 / X-07: per cluster totals and per-route means."""
     return R.routing_summary(_routes(spark, sf_dir), ["cluster_id"])
+
+
+def _zone_points(spark, sf_dir):
+    p = fx.points(spark, sf_dir).select("pdv_id", F.col("zona").alias("cluster_id"), "lat", "lon")
+    dep = p.groupBy("cluster_id").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return p, dep
+
+
+@register("plan_routing")
+def q_plan_routing(spark, sf_dir):
+    """R-06 / R-08 / R-03: each zone cut into ceil(n*freq/dias) daily routes, stops ordered
+    (nearest neighbour + 2-opt) from the zone depot, legs costed through the leg cache."""
+    p, dep = _zone_points(spark, sf_dir)
+    totals, _ = R.plan_routes(p, dep, ["cluster_id"], DIAS, FREQ, KMH, SERVICE, ALPHA,
+                              cache=fx.route_cache(fx.points(spark, sf_dir)), improve=True)
+    return totals
+
+
+@register("routes_until_feasible")
+def q_routes_until_feasible(spark, sf_dir):
+    """R-07: per zone, the smallest number of routes whose every route fits 8 hours and 250 km."""
+    p, dep = _zone_points(spark, sf_dir)
+    totals, _ = R.split_until_feasible(p, dep, ["cluster_id"], 480.0, 250.0, KMH, SERVICE, ALPHA, max_rounds=6)
+    return totals
+
+
+@register("multi_stop_cost", sql=fx.with_fixtures("route_stops") + f""",
+seq as (select *, row_number() over (partition by cluster_id, subcluster_seq order by lon, lat, pdv_id) as so from route_stops),
+legs as (select cluster_id, subcluster_seq, lag(lat) over w as a_lat, lag(lon) over w as a_lon, lat as b_lat, lon as b_lon
+         from seq window w as (partition by cluster_id, subcluster_seq order by so)),
+c as (select cluster_id, subcluster_seq,
+             sum(round(case when abs(a_lat - b_lat) < 1e-5 and abs(a_lon - b_lon) < 1e-5 then 0.0
+                            else {haversine_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} * {ALPHA} end, 3)) as km
+      from legs where a_lat is not null group by 1, 2),
+n as (select cluster_id, subcluster_seq, count(*) as n from route_stops group by 1, 2)
+select n.cluster_id, n.subcluster_seq, case when n.n < 2 then 0.0 else round(c.km, 3) end as distancia_km
+from n left join c on c.cluster_id = n.cluster_id and c.subcluster_seq = n.subcluster_seq
+""")
+def q_multi_stop_cost(spark, sf_dir):
+    """R-05: route cost over the stops alone (no depot); short lists cost 0 km."""
+    stops = fx.route_stops(fx.points(spark, sf_dir))
+    w = Window.partitionBy(*ROUTE).orderBy("lon", "lat", "pdv_id")
+    seq = stops.withColumn("so", F.row_number().over(w))
+    return R.multi_stop_cost(seq, ROUTE, "so", None, KMH, ALPHA).select(*ROUTE, "distancia_km")
