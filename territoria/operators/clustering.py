@@ -285,3 +285,68 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
     order = order.withColumn("cluster_id", (F.dense_rank().over(w) - 1).cast("int"))  # one row per cluster
     res = everything.join(order.select(*by, "_lab", "cluster_id"), [*by, "_lab"]).select(pid, "cluster_id")
     return points.join(res, pid)
+
+
+# ----------------------------------------------------------------- C-12
+def _cell_bounds(pts: DataFrame, group: list[str], side: int) -> DataFrame:
+    """Per point: lower/upper bound of its total distance to the group's points,
+    from cell summaries (count, centroid, radius) by the triangle inequality."""
+    box = pts.groupBy(*group).agg(F.min("lat").alias("_la0"), F.max("lat").alias("_la1"),
+                                  F.min("lon").alias("_lo0"), F.max("lon").alias("_lo1"))
+    h = F.greatest((F.col("_la1") - F.col("_la0")) / side, (F.col("_lo1") - F.col("_lo0")) / side, F.lit(1e-9))
+    p = pts.join(box, group).withColumn("_ci", F.floor((F.col("lat") - F.col("_la0")) / h).cast("int")) \
+        .withColumn("_cj", F.floor((F.col("lon") - F.col("_lo0")) / h).cast("int"))
+    cen = p.groupBy(*group, "_ci", "_cj").agg(F.count(F.lit(1)).alias("cnt"), F.avg("lat").alias("clat"),
+                                              F.avg("lon").alias("clon"))
+    rad = (p.join(cen, [*group, "_ci", "_cj"]).groupBy(*group, "_ci", "_cj", "cnt", "clat", "clon")
+           .agg(F.max(haversine_km("lat", "lon", "clat", "clon")).alias("r")))
+    arr = rad.groupBy(*group).agg(F.collect_list(F.struct("cnt", "clat", "clon", "r")).alias("_cells"))
+    b = pts.join(arr, group)
+    lu = F.aggregate("_cells", F.struct(F.lit(0.0).alias("lb"), F.lit(0.0).alias("ub")),
+                     lambda acc, c: F.struct(
+                         (acc["lb"] + c["cnt"] * F.greatest(F.lit(0.0), haversine_km(F.col("lat"), F.col("lon"), c["clat"], c["clon"]) - c["r"])).alias("lb"),
+                         (acc["ub"] + c["cnt"] * (haversine_km(F.col("lat"), F.col("lon"), c["clat"], c["clon"]) + c["r"])).alias("ub")))
+    return b.withColumn("_lu", lu).select(*pts.columns, F.col("_lu.lb").alias("_lb"), F.col("_lu.ub").alias("_ub"))
+
+
+def medoids(points: DataFrame, group: list[str], pid: str = "pdv_id", side: int = 32,
+            pair_budget: int = 200_000_000) -> DataFrame:
+    """Exact medoid (smallest total haversine distance, ties by id) per group.
+
+    Bounds from a side x side grid of cell summaries prune the candidates; only
+    candidates get exact sums (candidates x group rows, aggregated per
+    candidate).  The grid is refined while candidates x points exceeds the
+    budget.  Never all pairs of a group.
+    """
+    pts = points.select(*group, pid, "lat", "lon")
+    n = pts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    while True:
+        b = cut_lineage(_cell_bounds(pts, group, side))
+        t = b.groupBy(*group).agg(F.min("_ub").alias("_t"))
+        cand = cut_lineage(b.join(t, group).filter(F.col("_lb") <= F.col("_t") * (1 + 1e-12))
+                           .select(*group, F.col(pid).alias("_cid"), F.col("lat").alias("_clat"), F.col("lon").alias("_clon")))
+        work = cand.groupBy(*group).agg(F.count(F.lit(1)).alias("_c")).join(n, group) \
+            .agg(F.sum(F.col("_c") * F.col("_n"))).first()[0] or 0
+        if work <= pair_budget or side >= 512:
+            break
+        side *= 2
+    sums = (cand.join(pts, group).groupBy(*group, "_cid")
+            .agg(F.sum(haversine_km("_clat", "_clon", "lat", "lon")).alias("_s")))
+    best = sums.groupBy(*group).agg(F.min(F.struct("_s", "_cid")).alias("_m"))
+    return (best.select(*group, F.col("_m._cid").alias("medoid_id"))
+            .join(pts.select(*group, F.col(pid).alias("medoid_id"), F.col("lat").alias("medoid_lat"),
+                             F.col("lon").alias("medoid_lon")), [*group, "medoid_id"]))
+
+
+def dense_subset(points: DataFrame, cap: int, group: list[str], pid: str = "pdv_id") -> DataFrame:
+    """C-12: per group, the `cap` points nearest the medoid (ties by id); groups
+    with at most `cap` points are returned whole."""
+    n = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    big = points.join(n.filter(F.col("_n") > cap).select(*group), group)
+    small = points.join(n.filter(F.col("_n") <= cap).select(*group), group)
+    m = medoids(big, group, pid)
+    d = big.join(m, group).withColumn("dist_medoide_km", haversine_km("lat", "lon", "medoid_lat", "medoid_lon"))
+    r = ranked(d, group, ["dist_medoide_km", pid], out="_rk").filter(F.col("_rk") <= cap)
+    out = r.select(*points.columns, "medoid_id", "dist_medoide_km")
+    return out.unionByName(small.select(*points.columns, F.lit(None).cast("long").alias("medoid_id"),
+                                        F.lit(None).cast("double").alias("dist_medoide_km")))

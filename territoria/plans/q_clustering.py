@@ -178,3 +178,24 @@ def q_dbscan_sectors(spark, sf_dir):
     from ..operators.clustering import dbscan
     pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "lat", "lon")
     return dbscan(pts, DB_EPS_KM, DB_MIN_SAMPLES, by=("tenant_id",))
+
+
+DENSE_CAP = 25
+
+
+@register("dense_subset_city", sql=fx.with_fixtures("points") + f""",
+s as (select a.cidade, a.pdv_id, sum({_hav('a', 'b')}) as tot
+      from points a join points b on b.cidade = a.cidade group by a.cidade, a.pdv_id),
+m as (select cidade, pdv_id as medoid_id from (
+        select *, row_number() over (partition by cidade order by tot, pdv_id) as rn from s) t where rn = 1),
+d as (select p.pdv_id, p.cidade, m.medoid_id, {haversine_sql('p.lat', 'p.lon', 'q.lat', 'q.lon')} as dm
+      from points p join m on m.cidade = p.cidade join points q on q.pdv_id = m.medoid_id)
+select pdv_id, cidade, medoid_id, round(dm, 6) as dist_medoide_km from (
+  select *, row_number() over (partition by cidade order by dm, pdv_id) as rk from d) t where rk <= {DENSE_CAP}
+""")
+def q_dense_subset_city(spark, sf_dir):
+    """C-12 / L-03: per city, the 25 points nearest the exact medoid (bounded candidate search)."""
+    from ..operators.clustering import dense_subset
+    pts = fx.points(spark, sf_dir).select("pdv_id", "cidade", "lat", "lon")
+    out = dense_subset(pts, DENSE_CAP, ["cidade"])
+    return out.select("pdv_id", "cidade", "medoid_id", F.round("dist_medoide_km", 6).alias("dist_medoide_km"))
