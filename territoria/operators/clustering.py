@@ -18,11 +18,23 @@ from .windows import ranked
 
 
 # ----------------------------------------------------------------- C-07
-def cluster_fitness(assigned: DataFrame, key: list[str], kmh: float) -> DataFrame:
-    """Per (key): largest cluster size and largest centre->point minutes
-    (centre = mean of the cluster's points)."""
-    cen = assigned.groupBy(*key, "c").agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"),
-                                          F.count(F.lit(1)).alias("_sz"))
+def cluster_centres(assigned: DataFrame, key: list[str], weight: str | None = None) -> DataFrame:
+    """Centre of each cluster: mean, or weighted mean when a weight column is given (A-04)."""
+    if weight:
+        w = F.col(weight)
+        g = assigned.groupBy(*key, "c").agg(F.sum(w).alias("_sw"), F.sum(w * F.col("lat")).alias("_a"),
+                                            F.sum(w * F.col("lon")).alias("_b"), F.avg("lat").alias("_ml"),
+                                            F.avg("lon").alias("_mo"), F.count(F.lit(1)).alias("_sz"))
+        return g.select(*key, "c", "_sz",
+                        F.when(F.col("_sw") > 0, F.col("_a") / F.col("_sw")).otherwise(F.col("_ml")).alias("_clat"),
+                        F.when(F.col("_sw") > 0, F.col("_b") / F.col("_sw")).otherwise(F.col("_mo")).alias("_clon"))
+    return assigned.groupBy(*key, "c").agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"),
+                                           F.count(F.lit(1)).alias("_sz"))
+
+
+def cluster_fitness(assigned: DataFrame, key: list[str], kmh: float, weight: str | None = None) -> DataFrame:
+    """Per (key): largest cluster size and largest centre->point minutes."""
+    cen = cluster_centres(assigned, key, weight)
     j = assigned.join(cen, [*key, "c"])
     per_c = j.groupBy(*key, "c").agg(
         F.max(travel_min(haversine_km("lat", "lon", "_clat", "_clon"), kmh)).alias("_tmax"),
@@ -30,32 +42,40 @@ def cluster_fitness(assigned: DataFrame, key: list[str], kmh: float) -> DataFram
     return per_c.groupBy(*key).agg(F.max("_tmax").alias("tempo_max_min"), F.max("_sz").alias("max_pdvs"))
 
 
-def kmeans_capacity(points: DataFrame, group: list[str], cap: int, tempo_max_min: float, kmh: float,
+def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_max_min: float, kmh: float,
                     max_tries: int = 10, batch: int = 4, lloyd_iter: int = 15,
-                    pid: str = "pdv_id") -> DataFrame:
-    """C-07: k starts at ceil(n / cap) per group and grows by one until the
-    largest cluster fits `cap` and every point is within `tempo_max_min` of its
-    centre, or `max_tries` values were tried (then the last one is kept).
+                    pid: str = "pdv_id", k0: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """C-07 (and the k search of C-15): k starts at `k0` (default ceil(n / cap))
+    per group and grows by one until the largest cluster fits `cap` (if given)
+    and every point is within `tempo_max_min` of its centre, or `max_tries`
+    values were tried (then the last one is kept).
 
     Candidate k values are evaluated `batch` at a time in one grouped Lloyd
     job, with (group, k) as the Lloyd group.
     """
     n = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    pending = n.select(*group, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(cap)))).cast("int").alias("_k0"),
-                       F.col("_n"))
+    if k0 is None:
+        pending = n.select(*group, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(cap)))).cast("int")
+                           .alias("_k0"), F.col("_n"))
+    else:
+        pending = n.join(k0.select(*group, F.col("k").cast("int").alias("_k0")), group)
     chosen = None
     tried = 0
     while tried < max_tries:
         width = min(batch, max_tries - tried)
         cands = (pending.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
                  .withColumn("k", F.least(F.col("_k0") + F.col("_j"), F.col("_n")).cast("int"))
-                 .select(*group, "k", F.col("_j"), F.lit(tried).alias("_base")))
+                 .select(*group, "k", F.col("_j")).dropDuplicates([*group, "k"]))
         cands = cut_lineage(cands)
         pts = points.join(cands.select(*group, "k"), group)
         res, _ = kmeans(pts, cands.select(*group, "k"), [*group, "k"], pid=pid, max_iter=lloyd_iter)
-        fit = cluster_fitness(res, [*group, "k"], kmh)
-        fit = fit.withColumn("_ok", (F.col("max_pdvs") <= cap) & (F.col("tempo_max_min") <= tempo_max_min))
-        fit = cut_lineage(fit.join(cands.select(*group, "k", "_j"), [*group, "k"]))
+        if weight and weight not in res.columns:
+            res = res.join(points.select(pid, weight), pid)
+        fit = cluster_fitness(res, [*group, "k"], kmh, weight)
+        ok = F.col("tempo_max_min") <= tempo_max_min
+        if cap is not None:
+            ok = ok & (F.col("max_pdvs") <= cap)
+        fit = cut_lineage(fit.withColumn("_ok", ok).join(cands.select(*group, "k"), [*group, "k"]))
         last_round = tried + width >= max_tries
         pick_ok = fit.filter("_ok").groupBy(*group).agg(F.min("k").alias("k_final"))
         if last_round:
@@ -76,6 +96,36 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int, tempo_max_min
     return final.select(*points.columns, F.col("c").alias("cluster_id"), F.col("k").alias("k_final"))
 
 
+def cluster_ceps_by_time(ceps: DataFrame, group: list[str], tempo_max_min: float, kmh: float,
+                         weight: str = "clientes_total", cap: int | None = None, max_tries: int = 10,
+                         pid: str = "cep", jitter_duplicates: bool = True) -> DataFrame:
+    """C-15: CEPs with positive weight, repeatable jitter when coordinates repeat,
+    k from area (bbox diameter circle / time-radius circle, at most n // 3),
+    k search on time (and optional size); weighted centres and outlier flags."""
+    from ..functions.geo import jitter as _jitter
+    c = ceps.filter(F.col(weight) > 0)
+    if jitter_duplicates:
+        dup = c.groupBy(*group, "lat", "lon").agg(F.count(F.lit(1)).alias("_d"))
+        has_dup = dup.filter(F.col("_d") > 1).select(*group).distinct().withColumn("_jit", F.lit(True))
+        jl, jo = _jitter(F.col(pid), F.col("lat"), F.col("lon"))
+        c = (c.join(has_dup, group, "left")
+             .withColumn("lat", F.when(F.col("_jit"), jl).otherwise(F.col("lat")))
+             .withColumn("lon", F.when(F.col("_jit"), jo).otherwise(F.col("lon"))).drop("_jit"))
+    radius = kmh * tempo_max_min / 60.0
+    box = c.groupBy(*group).agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("x"),
+                                F.max("lon").alias("y"), F.count(F.lit(1)).alias("_n"))
+    diam = haversine_km("a", "x", "b", "y")
+    k0 = box.select(*group, F.greatest(F.lit(1), F.least(
+        F.floor((F.pow(diam / 2, 2)) / F.lit(radius * radius)), F.floor(F.col("_n") / 3))).cast("int").alias("k"))
+    res = kmeans_capacity(c, group, cap, tempo_max_min, kmh, max_tries=max_tries, pid=pid, k0=k0, weight=weight)
+    cen = cluster_centres(res.withColumnRenamed("cluster_id", "c"), [*group], weight)
+    out = res.join(cen.withColumnRenamed("c", "cluster_id"), [*group, "cluster_id"])
+    out = out.withColumn("distancia_km", haversine_km("lat", "lon", "_clat", "_clon")) \
+             .withColumn("tempo_min", travel_min(F.col("distancia_km"), kmh)) \
+             .withColumn("is_outlier", F.col("tempo_min") > tempo_max_min)
+    return out.withColumnRenamed("_clat", "cluster_lat").withColumnRenamed("_clon", "cluster_lon").drop("_sz")
+
+
 # ----------------------------------------------------------------- C-16 / C-17
 def balance_points(assign: DataFrame, centres: DataFrame, min_pdv: int, max_pdv: int,
                    tempo_max_min: float, kmh: float, merge_km: float, rounds: int = 10,

@@ -199,3 +199,17 @@ def q_dense_subset_city(spark, sf_dir):
     pts = fx.points(spark, sf_dir).select("pdv_id", "cidade", "lat", "lon")
     out = dense_subset(pts, DENSE_CAP, ["cidade"])
     return out.select("pdv_id", "cidade", "medoid_id", F.round("dist_medoide_km", 6).alias("dist_medoide_km"))
+
+
+@register("cep_clusters_by_time")
+def q_cep_clusters_by_time(spark, sf_dir):
+    """C-15: client-weighted CEP clusters per tenant within 40 minutes at 35 km/h; outlier flags."""
+    from ..operators.clustering import cluster_ceps_by_time
+    m = fx.marketplace_cep(spark, sf_dir)
+    p = fx.points(spark, sf_dir).select(
+        F.lpad(((F.col("pdv_id") * 6553) % 100000000).cast("string"), 8, "0").alias("cep"), "lat", "lon")
+    ceps = m.join(p, "cep").select("tenant_id", "cep", "lat", "lon", "clientes_total", "clientes_target")
+    out = cluster_ceps_by_time(ceps, ["tenant_id"], 40.0, KMH, max_tries=6)
+    return out.select("tenant_id", "cep", "cluster_id", "k_final", F.round("cluster_lat", 6).alias("cluster_lat"),
+                      F.round("cluster_lon", 6).alias("cluster_lon"), F.round("distancia_km", 3).alias("distancia_km"),
+                      F.round("tempo_min", 3).alias("tempo_min"), "is_outlier")

@@ -40,3 +40,12 @@ def test_balance_invariants(spark):
     start = nearest(pts, cen, "centro_id").groupBy("centro_id").count().agg(F.max("count")).first()[0]
     final = out.groupBy("centro_id").count().agg(F.max("count")).first()[0]
     assert final <= start
+
+
+def test_cep_clusters_by_time(spark):
+    out = E.queries()["cep_clusters_by_time"](spark, SF_MED)
+    # every CEP with clients appears once; outlier flag is exactly "beyond the time limit"
+    assert out.count() == out.select("cep").distinct().count()
+    assert out.filter(F.col("is_outlier") != (F.col("tempo_min") > 40.0)).count() == 0
+    k = out.groupBy("tenant_id").agg(F.max("k_final").alias("k"), F.countDistinct("cluster_id").alias("u"))
+    assert k.filter(F.col("u") > F.col("k")).count() == 0
