@@ -332,3 +332,21 @@ def q_address_fallbacks(spark, sf_dir):
     c = clean_points_raw(fx.points_raw(spark, sf_dir))
     stored = F.when(F.col("bairro").startswith("Centro"), F.col("pdv_endereco_completo")).otherwise(F.lit(""))
     return c.select("row_id", address_fallback(stored, "logradouro", "numero", "bairro", "cidade", "uf").alias("endereco"))
+
+
+@register("sql_functions", sql=fx.with_fixtures("points") + f"""
+select pdv_id,
+       round({haversine_sql('lat', 'lon', 'cast(-23.55 as double)', 'cast(-46.63 as double)')}, 6) as km_sp,
+       round({haversine_sql('lat', 'lon', 'cast(-23.55 as double)', 'cast(-46.63 as double)')} / 35.0 * 60.0, 6) as min_sp,
+       {VALID} as ok,
+       nullif(regexp_replace(upper(regexp_replace(strip_accents(cidade || ' são'), '[^\\x00-\\x7F]', '', 'g')), '^\\s+|\\s+$', '', 'g'), '') as cidade_key
+from points
+""")
+def q_sql_functions(spark, sf_dir):
+    """N-01: the same scalars through registered SQL functions (`selectExpr`)."""
+    from ..functions.sql_functions import register_sql_functions
+    register_sql_functions(spark)
+    p = fx.points(spark, sf_dir)
+    return p.selectExpr("pdv_id", "round(haversine_km(lat, lon, -23.55D, -46.63D), 6) as km_sp",
+                        "round(travel_min(haversine_km(lat, lon, -23.55D, -46.63D), 35.0D), 6) as min_sp",
+                        "valid_coord(lat, lon) as ok", "city_key(cidade || ' são') as cidade_key")
