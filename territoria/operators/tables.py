@@ -30,35 +30,36 @@ def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str], order: str
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], cols: list[str],
            order: str | None = None) -> DataFrame:
-    """K-03: insert new keys; for existing keys overwrite only `cols` with the new values."""
-    new = _first_per_key(rows, key, order)
-    n = new.select(*key, *[F.col(c).alias("_n_" + c) for c in cols], F.lit(True).alias("_hit"))
-    j = target.join(n, key, "full_outer")
-    out = []
-    for c in target.columns:
-        if c in key:
-            out.append(F.col(c))
-        elif c in cols:
-            out.append(F.when(F.col("_hit"), F.col("_n_" + c)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    """K-03: `INSERT ... ON CONFLICT (key) DO UPDATE SET cols`: new keys are
+    inserted whole; existing keys get only `cols` from the new row."""
+    return _merge(target, rows, key, cols, None, None, order)
 
 
 def upsert_guarded(target: DataFrame, rows: DataFrame, key: list[str], cols: list[str],
                    guard: Column, reject: Column | None = None, order: str | None = None) -> DataFrame:
     """K-02: like `upsert`, but a stored row for which `guard` holds (e.g. a
     manual edit) is never overwritten; `reject` filters bad new rows first."""
+    return _merge(target, rows, key, cols, guard, reject, order)
+
+
+def _merge(target, rows, key, cols, guard, reject, order):
     new = rows.filter(~reject) if reject is not None else rows
     new = _first_per_key(new, key, order)
-    n = new.select(*key, *[F.col(c).alias("_n_" + c) for c in cols], F.lit(True).alias("_hit"))
-    t = target.withColumn("_locked", F.coalesce(guard, F.lit(False))).withColumn("_old", F.lit(True))
+    other = [c for c in target.columns if c not in key]
+    n = new.select(*key, *[(F.col(c) if c in new.columns else F.lit(None)).alias("_n_" + c) for c in other],
+                   F.lit(True).alias("_hit"))
+    t = target.withColumn("_old", F.lit(True))
+    t = t.withColumn("_locked", F.coalesce(guard, F.lit(False)) if guard is not None else F.lit(False))
     j = t.join(n, key, "full_outer")
-    take_new = F.col("_hit") & ~F.coalesce(F.col("_locked"), F.lit(False))
-    out = [F.col(c) if c in key else
-           (F.when(take_new, F.col("_n_" + c)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c))
-           for c in target.columns]
-    return j.select(*out)
+    is_new = F.col("_old").isNull()
+    take = F.col("_hit") & ~F.coalesce(F.col("_locked"), F.lit(False))
+    out = [F.col(c) for c in key]
+    for c in other:
+        if c in cols:
+            out.append(F.when(is_new | take, F.col("_n_" + c)).otherwise(F.col(c)).alias(c))
+        else:
+            out.append(F.when(is_new, F.col("_n_" + c)).otherwise(F.col(c)).alias(c))
+    return j.select(*out).select(*target.columns)
 
 
 def replace_slice(target: DataFrame, rows: DataFrame, slice_cols: list[str]) -> DataFrame:
@@ -118,3 +119,25 @@ def write_slice(df: DataFrame, path: str, partition_cols: list[str]) -> None:
 def append_log(df: DataFrame, path: str) -> None:
     """K-15: history rows that are only ever added."""
     df.write.mode("append").parquet(path)
+
+
+def upsert_clean_ceps(target: DataFrame, rows: DataFrame, key: list[str], update_cols: list[str],
+                      order: str, cep: str = "cep", cluster: str = "cluster_id") -> DataFrame:
+    """K-04: keep rows with an 8-digit CEP, valid coordinates and a cluster; first
+    row per key wins; existing keys get `update_cols` only (client counts stay)."""
+    from ..functions.geo import valid_coord
+    ok = rows.filter(F.col(cep).rlike(r"^[0-9]{8}$") & valid_coord(F.col("lat"), F.col("lon"))
+                     & F.col(cluster).isNotNull())
+    first = _first_per_key(ok, key, order)
+    return upsert(target, first.select(*target.columns), key, update_cols)
+
+
+def manual_edit(target: DataFrame, edits: DataFrame, key: list[str], cols: list[str],
+                stamp_col: str = "origem", stamp: str = "manual_edit") -> DataFrame:
+    """K-10: edits applied by key (the key includes the tenant, so edits never
+    cross tenants) and stamped so later automatic writes leave them alone."""
+    e = edits.select(*key, *cols).dropDuplicates(key).withColumn(stamp_col, F.lit(stamp))
+    hit = target.join(e.select(*key), key, "left_semi")
+    rest = target.join(e.select(*key), key, "left_anti")
+    changed = hit.drop(*cols, stamp_col).join(e, key)
+    return rest.unionByName(changed.select(*target.columns))

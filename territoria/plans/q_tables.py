@@ -188,3 +188,67 @@ def q_job_counts_per_input(spark, sf_dir):
     return r.select("tenant_id", "input_id", "n_rows", "n_jobs", "first_ts",
                     F.coalesce("n_done", F.lit(0)).cast("long").alias("n_done"),
                     F.coalesce("validos_done", F.lit(0)).cast("long").alias("validos_done"))
+
+
+K04_SQL = BASE.replace("with points as", "with points as", 1) + """,
+target as (
+  select lpad(cast((pdv_id * 6553) % 100000000 as varchar), 8, '0') as cep, zona as cluster_id, lat, lon,
+         cast(1 as bigint) as clientes_total, cast(0 as bigint) as clientes_target
+  from points where tenant_id = 0),
+rows0 as (
+  select c.row_id, c.cep, case when c.uf = 'ZZ' then null else p.zona end as cluster_id,
+         p.lat + 0.01 as lat, p.lon as lon, cast(5 as bigint) as clientes_total, cast(5 as bigint) as clientes_target
+  from clean c join points p on p.pdv_id = c.row_id
+  where regexp_matches(c.cep, '^[0-9]{8}$') and p.lat is not null and p.lon is not null
+    and (case when c.uf = 'ZZ' then null else p.zona end) is not null),
+r as (select * from (select *, row_number() over (partition by cep order by row_id) rn from rows0) t where rn = 1)
+select coalesce(t.cep, r.cep) as cep,
+       case when r.cep is not null then r.cluster_id else t.cluster_id end as cluster_id,
+       case when r.cep is not null then r.lat else t.lat end as lat,
+       case when r.cep is not null then r.lon else t.lon end as lon,
+       case when t.cep is not null then t.clientes_total else r.clientes_total end as clientes_total,
+       case when t.cep is not null then t.clientes_target else r.clientes_target end as clientes_target
+from target t full outer join r on r.cep = t.cep
+"""
+
+
+@register("upsert_clean_ceps", sql=K04_SQL.replace(
+    "target as (select pdv_id, cnpj, cidade, pdv_vendas from points),", "", 1))
+def q_upsert_clean_ceps(spark, sf_dir):
+    """K-04: CEP rows filtered (8 digits, valid coordinates, a cluster), first per CEP wins,
+    upserted; client counts of stored CEPs are not touched."""
+    p = fx.points(spark, sf_dir)
+    target = p.filter(F.col("tenant_id") == 0).select(
+        F.lpad(((F.col("pdv_id") * 6553) % 100000000).cast("string"), 8, "0").alias("cep"),
+        F.col("zona").alias("cluster_id"), "lat", "lon",
+        F.lit(1).cast("long").alias("clientes_total"), F.lit(0).cast("long").alias("clientes_target"))
+    c = clean_points_raw(fx.points_raw(spark, sf_dir))
+    rows = c.join(p.select(F.col("pdv_id").alias("row_id"), "zona", "lat", "lon"), "row_id").select(
+        "row_id", "cep", F.when(F.col("uf") == "ZZ", F.lit(None)).otherwise(F.col("zona")).alias("cluster_id"),
+        (F.col("lat") + F.lit(0.01)).alias("lat"), "lon",
+        F.lit(5).cast("long").alias("clientes_total"), F.lit(5).cast("long").alias("clientes_target"))
+    return T.upsert_clean_ceps(target, rows, ["cep"], ["cluster_id", "lat", "lon"], order="row_id")
+
+
+@register("manual_coordinate_edits", sql=fx.with_fixtures("points", "centers") + """,
+edits as (
+  select distinct on (tenant_id, cnpj) s_nationkey % 5 as tenant_id, lpad(cast(s_suppkey * 15 as varchar), 14, '0') as cnpj,
+         s.lat, s.lon
+  from (select c.*, sp.s_nationkey, sp.s_suppkey from centers c join supplier sp on sp.s_suppkey = c.centro_id) s
+  order by tenant_id, cnpj),
+t as (select pdv_id, tenant_id, cnpj, lat, lon, 'nominatim' as origem from points)
+select t.pdv_id, t.tenant_id, t.cnpj,
+       coalesce(e.lat, t.lat) as lat, coalesce(e.lon, t.lon) as lon,
+       case when e.cnpj is not null then 'manual_edit' else t.origem end as origem
+from t left join edits e on e.tenant_id = t.tenant_id and e.cnpj = t.cnpj
+""")
+def q_manual_coordinate_edits(spark, sf_dir):
+    """K-10: manual coordinate edits applied by (tenant, CNPJ) and stamped `manual_edit`."""
+    p = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "cnpj", "lat", "lon",
+                                        F.lit("nominatim").alias("origem"))
+    s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    c = fx.centers(spark, sf_dir)
+    edits = c.join(s, c.centro_id == s.s_suppkey).select(
+        (F.col("s_nationkey") % 5).alias("tenant_id"),
+        F.lpad((F.col("s_suppkey") * 15).cast("string"), 14, "0").alias("cnpj"), "lat", "lon")
+    return T.manual_edit(p, edits, ["tenant_id", "cnpj"], ["lat", "lon"])
