@@ -400,3 +400,90 @@ def dense_subset(points: DataFrame, cap: int, group: list[str], pid: str = "pdv_
     out = r.select(*points.columns, "medoid_id", "dist_medoide_km")
     return out.unionByName(small.select(*points.columns, F.lit(None).cast("long").alias("medoid_id"),
                                         F.lit(None).cast("double").alias("dist_medoide_km")))
+
+
+# ----------------------------------------------------------------- C-08 / C-10
+def kmeans_balanced(points: DataFrame, group: list[str], k: DataFrame, cap: int, kmh: float,
+                    service_min: float, tempo_max_min: float, pid: str = "pdv_id",
+                    lloyd_iter: int = 15) -> tuple[DataFrame, DataFrame]:
+    """C-08: Lloyd, then every cluster above `cap` is split once into ceil(n/cap)
+    (grouped Lloyd keyed by the parent label); a route estimate (nearest-neighbour
+    tour from the cluster centre + service) marks each cluster OK or EXCEDIDO.
+    Returns (points with cluster_id, clusters with n, route minutes, status)."""
+    from .routing import route_legs, leg_costs, route_totals, sequence_stops
+    from .windows import dense_relabel
+    res, _ = kmeans(points, k, group, pid=pid, max_iter=lloyd_iter)
+    res = cut_lineage(res.select(*group, pid, "lat", "lon", F.col("c").alias("_parent")))
+    sizes = res.groupBy(*group, "_parent").agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.filter(F.col("_n") > cap).select(*group, "_parent",
+                                                 F.ceil(F.col("_n") / F.lit(float(cap))).cast("int").alias("k"))
+    sub_pts = res.join(big.select(*group, "_parent"), [*group, "_parent"])
+    sub, _ = kmeans(sub_pts, big, [*group, "_parent"], pid=pid, max_iter=lloyd_iter)
+    split = sub.select(*group, pid, "lat", "lon", F.concat_ws(".", F.col("_parent").cast("string"),
+                                                             F.col("c").cast("string")).alias("_label"))
+    keep = res.join(big.select(*group, "_parent"), [*group, "_parent"], "left_anti").select(
+        *group, pid, "lat", "lon", F.lpad(F.col("_parent").cast("string"), 6, "0").alias("_label"))
+    allp = split.withColumn("_label", F.concat(F.lpad(F.split_part(F.col("_label"), F.lit("."), F.lit(1)), 6, "0"),
+                                               F.lit("."), F.split_part(F.col("_label"), F.lit("."), F.lit(2))))
+    allp = cut_lineage(dense_relabel(allp.unionByName(keep), "_label", group))
+    route = [*group, "cluster_id"]
+    dep = allp.groupBy(*route).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    seq = sequence_stops(allp, dep, route, route, pid=pid).join(allp.select(pid, "lat", "lon"), pid)
+    tot = route_totals(leg_costs(route_legs(seq, dep, route, route), None, kmh, 1.0), route, service_min)
+    status = tot.select(*route, "n_pdvs", "tempo_total_min",
+                        F.when(F.col("tempo_total_min") > tempo_max_min, F.lit("EXCEDIDO")).otherwise(F.lit("OK"))
+                        .alias("status"))
+    return allp.drop("_label"), status
+
+
+def recluster_recursive(points: DataFrame, group: list[str], label: str, cap: int, tempo_max_min: float,
+                        kmh: float, max_levels: int = 8, pid: str = "pdv_id") -> DataFrame:
+    """C-10: clusters over the size limit max(4, cap) or the time limit are split
+    in two, level by level (all failing clusters of a level in one job);
+    labels grow hierarchically (`3.1.0`).  Leaves that still fail are kept (Q11)."""
+    limit = max(4, cap)
+    cur = cut_lineage(points.select(*group, pid, "lat", "lon", F.col(label).cast("string").alias("_lab")))
+    for _ in range(max_levels):
+        cen = cur.groupBy(*group, "_lab").agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"),
+                                              F.count(F.lit(1)).alias("_n"))
+        j = cur.join(cen, [*group, "_lab"])
+        fit = j.groupBy(*group, "_lab", "_n").agg(
+            F.max(travel_min(haversine_km("lat", "lon", "_clat", "_clon"), kmh)).alias("_t"))
+        bad = cut_lineage(fit.filter(((F.col("_n") > limit) | (F.col("_t") > tempo_max_min)) & (F.col("_n") >= 2))
+                          .select(*group, "_lab").withColumn("k", F.lit(2)))
+        if bad.isEmpty():
+            break
+        pts = cur.join(bad.select(*group, "_lab"), [*group, "_lab"])
+        res, _ = kmeans(pts, bad, [*group, "_lab"], pid=pid, max_iter=15)
+        split = res.select(*group, pid, "lat", "lon",
+                           F.concat_ws(".", F.col("_lab"), F.col("c").cast("string")).alias("_lab"))
+        cur = cut_lineage(cur.join(bad.select(*group, "_lab"), [*group, "_lab"], "left_anti").unionByName(split))
+    return cur.withColumnRenamed("_lab", "cluster_label")
+
+
+# ----------------------------------------------------------------- C-19
+def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min: float, kmh: float,
+                   drop_outliers: bool = False, z: float = 1.5, pid: str = "pdv_id",
+                   max_tries: int = 8) -> tuple[DataFrame, DataFrame]:
+    """C-19: de-duplicate by (lat, lon, cnpj) keeping the last row, flag outliers
+    (optionally drop them), capacity k-search, labels 0..k-1 per group, then the
+    sectors with centre and metrics.  Returns (sectors, point -> sector)."""
+    from .aggregates import cluster_metrics
+    from .quality import flag_outliers
+    from .windows import keep_first
+    d = keep_first(points.withColumn("_neg", -F.col(pid)), ["lat", "lon", "cnpj"], "_neg").drop("_neg")
+    out = flag_outliers(d, z=z, pid=pid, by=tuple(group)).select(pid, "is_outlier")
+    d = d.join(out, pid, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
+    if drop_outliers:
+        d = d.filter(~F.col("is_outlier"))
+    d = cut_lineage(d)
+    labeled = kmeans_capacity(d.select(*group, pid, "lat", "lon"), group, cap, tempo_max_min, kmh,
+                              max_tries=max_tries, pid=pid)
+    cen = labeled.groupBy(*group, "cluster_id").agg(F.round(F.avg("lat"), 6).alias("centro_lat"),
+                                                    F.round(F.avg("lon"), 6).alias("centro_lon"))
+    j = labeled.join(cen, [*group, "cluster_id"]).withColumn(
+        "dist_km", haversine_km("lat", "lon", "centro_lat", "centro_lon"))
+    metrics = cluster_metrics(j, [*group, "cluster_id"], kmh)
+    sectors = metrics.join(cen, [*group, "cluster_id"])
+    mapping = labeled.join(d.select(pid, "is_outlier"), pid).select(*group, pid, "cluster_id", "is_outlier")
+    return sectors, mapping

@@ -237,11 +237,12 @@ def plan_routes(points: DataFrame, depots: DataFrame, cluster: list[str], dias:
 
 def split_until_feasible(points: DataFrame, depots: DataFrame, cluster: list[str], max_min: float,
                          max_km: float, kmh: float, service_min: float, alpha: float,
-                         max_rounds: int = 10, pid: str = "pdv_id") -> tuple[DataFrame, DataFrame]:
-    """R-07: k = 1, 2, ... per cluster until every route fits `max_min` and
-    `max_km` or k = n; only infeasible clusters re-enter the next round."""
+                         max_rounds: int = 10, pid: str = "pdv_id", k_start: int = 1) -> tuple[DataFrame, DataFrame]:
+    """R-07 (and C-09 with `k_start`): k = k_start, k_start+1, ... per cluster until
+    every route fits `max_min` and `max_km` or k = n; only infeasible clusters
+    re-enter the next round."""
     n = points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"))
-    k = cut_lineage(n.select(*cluster, F.lit(1).alias("k"), "_n"))
+    k = cut_lineage(n.select(*cluster, F.least(F.lit(k_start), F.col("_n")).alias("k"), "_n"))
     done_routes, done_stops = None, None
     for i in range(max_rounds):
         pts = points.join(k.select(*cluster), cluster)

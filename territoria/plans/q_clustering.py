@@ -213,3 +213,41 @@ def q_cep_clusters_by_time(spark, sf_dir):
     return out.select("tenant_id", "cep", "cluster_id", "k_final", F.round("cluster_lat", 6).alias("cluster_lat"),
                       F.round("cluster_lon", 6).alias("cluster_lon"), F.round("distancia_km", 3).alias("distancia_km"),
                       F.round("tempo_min", 3).alias("tempo_min"), "is_outlier")
+
+
+@register("kmeans_balanced")
+def q_kmeans_balanced(spark, sf_dir):
+    """C-08: k = ceil(n/40) per zone, clusters above 25 points split once, route estimate status."""
+    from ..operators.clustering import kmeans_balanced
+    from ..operators.lloyd import k_for_capacity
+    pts = fx.points(spark, sf_dir).select("pdv_id", "zona", "lat", "lon")
+    pts_, status = kmeans_balanced(pts, ["zona"], k_for_capacity(pts, ["zona"], 40), 25, KMH, 10.0, 480.0)
+    return status
+
+
+@register("recluster_recursive")
+def q_recluster_recursive(spark, sf_dir):
+    """C-10: zones split in two, level by level, until every cluster holds <= 20 points within 30 minutes."""
+    from ..operators.clustering import recluster_recursive
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "zona", "lat", "lon")
+    return recluster_recursive(pts, ["tenant_id"], "zona", 20, 30.0, KMH, max_levels=6)
+
+
+@register("refine_by_workload")
+def q_refine_by_workload(spark, sf_dir):
+    """C-09: per zone start from int(21/4) routes and grow until every route fits 8 h and 200 km."""
+    from ..operators import routing as R
+    p = fx.points(spark, sf_dir).select("pdv_id", F.col("zona").alias("cluster_id"), "lat", "lon")
+    dep = p.groupBy("cluster_id").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    totals, _ = R.split_until_feasible(p, dep, ["cluster_id"], 480.0, 200.0, KMH, 10.0, 1.3,
+                                       max_rounds=4, k_start=21 // 4)
+    return totals
+
+
+@register("run_clustering")
+def q_run_clustering(spark, sf_dir):
+    """C-19: dedupe, outlier flags, capacity k-search per tenant, sectors with centres and metrics."""
+    from ..operators.clustering import run_clustering
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "cnpj", "lat", "lon")
+    sectors, _ = run_clustering(pts, ["tenant_id"], 60, 90.0, KMH, max_tries=4)
+    return sectors

@@ -49,3 +49,20 @@ def test_cep_clusters_by_time(spark):
     assert out.filter(F.col("is_outlier") != (F.col("tempo_min") > 40.0)).count() == 0
     k = out.groupBy("tenant_id").agg(F.max("k_final").alias("k"), F.countDistinct("cluster_id").alias("u"))
     assert k.filter(F.col("u") > F.col("k")).count() == 0
+
+
+def test_recluster_and_balanced(spark):
+    from conftest import SF_SMALL
+    rec = E.queries()["recluster_recursive"](spark, SF_SMALL)
+    assert rec.count() == fx.points(spark, SF_SMALL).count()
+    assert rec.select("pdv_id").distinct().count() == rec.count()
+    st = E.queries()["kmeans_balanced"](spark, SF_SMALL)
+    assert st.agg(F.sum("n_pdvs")).first()[0] == fx.points(spark, SF_SMALL).count()
+    assert set(r[0] for r in st.select("status").distinct().collect()) <= {"OK", "EXCEDIDO"}
+
+
+def test_run_clustering_sectors(spark):
+    from conftest import SF_SMALL
+    sec = E.queries()["run_clustering"](spark, SF_SMALL)
+    assert sec.agg(F.sum("n_pdvs")).first()[0] == fx.points(spark, SF_SMALL).count()
+    assert sec.filter(F.col("dist_max_km") < F.col("distancia_media_km")).count() == 0
