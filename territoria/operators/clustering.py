@@ -129,7 +129,7 @@ def cluster_ceps_by_time(ceps: DataFrame, group: list[str], tempo_max_min: float
 # ----------------------------------------------------------------- C-16 / C-17
 def balance_points(assign: DataFrame, centres: DataFrame, min_pdv: int, max_pdv: int,
                    tempo_max_min: float, kmh: float, merge_km: float, rounds: int = 10,
-                   pid: str = "pdv_id") -> tuple[DataFrame, DataFrame]:
+                   pid: str = "pdv_id", undersize: str = "drop_if_all_fit") -> tuple[DataFrame, DataFrame]:
     """C-16: move border points of oversize clusters to feasible neighbour
     centres, then drop undersize centres whose points can all move.
 
@@ -140,7 +140,9 @@ def balance_points(assign: DataFrame, centres: DataFrame, min_pdv: int, max_pdv:
     excess, farthest points first; (4) each target takes proposals in
     (minutes, id) order up to its free capacity.  Rejected points retry next
     round.  Undersize centres are then tried all-or-nothing, in a batch whose
-    members do not receive each other's points.  Candidate centres come from a
+    members do not receive each other's points (`undersize="merge_nearest"`,
+    C-17: an undersize centre instead merges whole into its nearest kept
+    centre, even above the maximum).  Candidate centres come from a
     radius join (J-08) on the grid, never from a cross join.
     """
     radius_km = tempo_max_min * kmh / 60.0
@@ -176,12 +178,30 @@ def balance_points(assign: DataFrame, centres: DataFrame, min_pdv: int, max_pdv:
             if moved:
                 a = cut_lineage(a.join(acc, pid, "left")
                                 .withColumn("label", F.coalesce("_new", "label")).drop("_new"))
-        removed, a, cen = _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radius_km, pid)
+        if undersize == "merge_nearest":
+            removed, a, cen = _merge_undersize(a, cen, min_pdv, pid)
+        else:
+            removed, a, cen = _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radius_km, pid)
         if moved == 0 and removed == 0:
             break
     return a, cen
 
 
+def _merge_undersize(a, cen, min_pdv, pid):
+    from .spatial import nearest
+    sizes = a.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    c2 = cen.join(sizes, "label", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    under = c2.filter(F.col("_n") < min_pdv).select("label", "lat", "lon")
+    keep = c2.join(under.select("label"), "label", "left_anti").select(F.col("label").alias("_dst"), "lat", "lon")
+    if under.isEmpty() or keep.isEmpty():
+        return 0, a, cen
+    m = cut_lineage(nearest(under, keep, "_dst", out_id="_dst").select("label", "_dst"))
+    removed = m.count()
+    a = cut_lineage(a.join(m, "label", "left").withColumn("label", F.coalesce("_dst", "label")).drop("_dst"))
+    cen = cut_lineage(cen.join(m.select("label"), "label", "left_anti"))
+    return removed, a, cen
+
+
 def _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radius_km, pid):
     sizes = a.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     c2 = cen.join(sizes, "label", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))

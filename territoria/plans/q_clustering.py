@@ -251,3 +251,18 @@ def q_run_clustering(spark, sf_dir):
     pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "cnpj", "lat", "lon")
     sectors, _ = run_clustering(pts, ["tenant_id"], 60, 90.0, KMH, max_tries=4)
     return sectors
+
+
+@register("balance_ceps")
+def q_balance_ceps(spark, sf_dir):
+    """C-17: CEPs at their nearest centre, oversize centres shed CEPs to neighbours within 50 km,
+    centres under 8 CEPs merged into the nearest kept centre."""
+    from ..operators.clustering import balance_points
+    m = fx.marketplace_cep(spark, sf_dir).select("cep")
+    p = fx.points(spark, sf_dir).select(
+        F.lpad(((F.col("pdv_id") * 6553) % 100000000).cast("string"), 8, "0").alias("cep"), "pdv_id", "lat", "lon")
+    ceps = m.join(p, "cep")
+    cen = fx.centers(spark, sf_dir).select(F.col("centro_id").alias("label"), "lat", "lon")
+    start = nearest(ceps, cen, "label", out_id="label").select("pdv_id", "cep", "lat", "lon", "label")
+    a, kept = balance_points(start.drop("cep"), cen, 8, 30, 60.0, KMH, 50.0, rounds=5, undersize="merge_nearest")
+    return a.join(start.select("pdv_id", "cep"), "pdv_id").select("cep", F.col("label").alias("centro_id"))

@@ -66,3 +66,10 @@ def test_run_clustering_sectors(spark):
     sec = E.queries()["run_clustering"](spark, SF_SMALL)
     assert sec.agg(F.sum("n_pdvs")).first()[0] == fx.points(spark, SF_SMALL).count()
     assert sec.filter(F.col("dist_max_km") < F.col("distancia_media_km")).count() == 0
+
+
+def test_balance_ceps_merges_small_centres(spark):
+    out = E.queries()["balance_ceps"](spark, SF_MED)
+    sizes = out.groupBy("centro_id").count()
+    assert out.count() == out.select("cep").distinct().count()
+    assert sizes.filter(F.col("count") < 8).count() == 0
