@@ -60,7 +60,11 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
     else:
         pending = n.join(k0.select(*group, F.col("k").cast("int").alias("_k0")), group)
     chosen = None
+    kept_labels = []
     tried = 0
+    # many clusters per group: each extra candidate k multiplies the work, so go one at a time
+    if (pending.agg(F.max("_k0")).first()[0] or 0) > 64:
+        batch = 1
     while tried < max_tries:
         width = min(batch, max_tries - tried)
         cands = (pending.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
@@ -69,6 +73,8 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
         cands = cut_lineage(cands)
         pts = points.join(cands.select(*group, "k"), group)
         res, _ = kmeans(pts, cands.select(*group, "k"), [*group, "k"], pid=pid, max_iter=lloyd_iter)
+        res = cut_lineage(res)
+        kept_labels.append(res.select(*group, "k", pid, "c"))
         if weight and weight not in res.columns:
             res = res.join(points.select(pid, weight), pid)
         fit = cluster_fitness(res, [*group, "k"], kmh, weight)
@@ -92,8 +98,12 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
         if pending.isEmpty():
             break
     k_final = chosen.withColumnRenamed("k_final", "k")
-    final, cen = kmeans(points.join(k_final, group), k_final, group, pid=pid, max_iter=lloyd_iter)
-    return final.select(*points.columns, F.col("c").alias("cluster_id"), F.col("k").alias("k_final"))
+    # the chosen k was already clustered in its round: reuse those labels
+    labels = kept_labels[0]
+    for more in kept_labels[1:]:
+        labels = labels.unionByName(more)
+    final = labels.join(k_final, [*group, "k"]).select(pid, F.col("c").alias("cluster_id"), F.col("k").alias("k_final"))
+    return points.join(final, pid)
 
 
 def cluster_ceps_by_time(ceps: DataFrame, group: list[str], tempo_max_min: float, kmh: float,

@@ -37,8 +37,21 @@ def init_centres(points: DataFrame, k: DataFrame, group: list[str], pid: str = "
             .agg(F.round(F.avg("lat"), DIGITS).alias("lat"), F.round(F.avg("lon"), DIGITS).alias("lon")))
 
 
-def assign(points: DataFrame, centres: DataFrame, group: list[str], out: str = "c") -> DataFrame:
-    """Nearest centre of the point's own group by squared degrees (ties -> smaller c)."""
+ARRAY_K_MAX = 64  # up to this many centres per group the arg-min runs over one small array
+
+
+def assign(points: DataFrame, centres: DataFrame, group: list[str], out: str = "c",
+           k_max: int | None = None, edge: float | None = None) -> DataFrame:
+    """Nearest centre of the point's own group by squared degrees (ties -> smaller c).
+
+    Few centres per group: the group's centres travel as one array and the
+    arg-min is an array expression.  Many centres: an exact planar grid
+    (`assign_grid`), so a point only meets the centres of nearby cells.
+    """
+    if k_max is None:
+        k_max = centres.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if k_max > ARRAY_K_MAX:
+        return assign_grid(points, centres, group, out, edge=edge)
     arr = centres.groupBy(*group).agg(F.collect_list(F.struct("c", F.col("lat").alias("clat"),
                                                               F.col("lon").alias("clon"))).alias("_cs"))
     j = points.join(arr, group, "left")
@@ -47,6 +60,68 @@ def assign(points: DataFrame, centres: DataFrame, group: list[str], out: str = "
     return j.withColumn(out, best["c"]).withColumn("_d2", best["d2"]).drop("_cs")
 
 
+def grid_edge(centres: DataFrame, group: list[str]) -> tuple[float, float]:
+    """(cell edge, span) in degrees: about 8 centres per occupied cell, from measured occupancy."""
+    import math
+    st = centres.agg(F.count(F.lit(1)).alias("n"), (F.max("lat") - F.min("lat")).alias("a"),
+                     (F.max("lon") - F.min("lon")).alias("b")).first()
+    span = max(st["a"] or 0.0, st["b"] or 0.0, 1e-6)
+    s = max(math.sqrt(span * span * 4.0 / max(1, st["n"])), 1e-6)
+    for _ in range(6):
+        occ = (centres.groupBy(*group, F.floor(F.col("lat") / s).alias("_a"), F.floor(F.col("lon") / s).alias("_b"))
+               .count().agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("o")).first()["o"] or 0)
+        if occ <= 8.0:
+            break
+        s = max(s * math.sqrt(8.0 / occ), 1e-6)
+    return s, span
+
+
+def assign_grid(points: DataFrame, centres: DataFrame, group: list[str], out: str = "c",
+                edge: tuple[float, float] | None = None) -> DataFrame:
+    """Exact planar nearest centre on a lat/lon grid.
+
+    Centres are copied into the 3x3 cells around their own; a point reads the
+    candidate array of its cell.  A centre outside that block is at least one
+    cell edge away, so a best squared distance below edge^2 is proven; other
+    points retry with edges x4, and the last level puts the whole group in one
+    cell.
+    """
+    s, span = edge if edge is not None else grid_edge(centres, group)
+    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cols = points.columns
+    cur, parts = points, []
+    while True:
+        final = s >= 4 * span
+        if final:
+            cells = centres.groupBy(*group).agg(F.collect_list(F.struct("c", F.col("lat").alias("clat"),
+                                                                        F.col("lon").alias("clon"))).alias("_cs"))
+            j = cur.join(cells, group, "left")
+        else:
+            cc = (centres.withColumn("_o", F.explode(offs))
+                  .withColumn("_gi", F.floor(F.col("lat") / s) + F.col("_o.i"))
+                  .withColumn("_gj", F.floor(F.col("lon") / s) + F.col("_o.j")))
+            cells = cc.groupBy(*group, "_gi", "_gj").agg(
+                F.collect_list(F.struct("c", F.col("lat").alias("clat"), F.col("lon").alias("clon"))).alias("_cs"))
+            j = (cur.withColumn("_gi", F.floor(F.col("lat") / s)).withColumn("_gj", F.floor(F.col("lon") / s))
+                 .join(cells, [*group, "_gi", "_gj"], "left"))
+        best = F.array_min(F.transform(F.coalesce("_cs", F.array()), lambda e: F.struct(
+            (F.pow(F.col("lat") - e["clat"], 2) + F.pow(F.col("lon") - e["clon"], 2)).alias("d2"), e["c"].alias("c"))))
+        scored = j.withColumn("_b", best)
+        ok = F.lit(True) if final else F.coalesce(F.col("_b.d2") < F.lit(s * s), F.lit(False))
+        parts.append(scored.filter(ok).select(*cols, F.col("_b.c").alias(out), F.col("_b.d2").alias("_d2")))
+        if final:
+            break
+        rest = scored.filter(~ok).select(*cols)
+        if rest.isEmpty():
+            break
+        cur = cut_lineage(rest)
+        s *= 4.0
+    res = parts[0]
+    for p_ in parts[1:]:
+        res = res.unionByName(p_)
+    return res
+
+
 def update(assigned: DataFrame, old: DataFrame, group: list[str], label: str = "c",
            weight: str | None = None) -> DataFrame:
     """New centre = (weighted) mean of the cluster's points; empty clusters keep theirs."""
@@ -74,8 +149,10 @@ def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id
     """
     pts = points.select(*group, pid, "lat", "lon", *([weight] if weight else []))
     cen = cut_lineage(init_centres(pts, k, group, pid))
+    k_max = k.agg(F.max("k")).first()[0] or 0
+    edge = grid_edge(cen, group) if k_max > ARRAY_K_MAX else None  # centres move little: size cells once
     for _ in range(max_iter):
-        a = assign(pts, cen, group)
+        a = assign(pts, cen, group, k_max=k_max, edge=edge)
         new = cut_lineage(update(a, cen, group, weight=weight))
         if not fixed_iter:
             moved = (new.alias("n").join(cen.alias("o"), [*group, "c"])
@@ -85,7 +162,7 @@ def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id
                 break
         else:
             cen = new
-    final = assign(points, cen, group)
+    final = assign(points, cen, group, k_max=k_max, edge=edge)
     return final, cen
 
 
