@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
 
 
 def ranked(df: DataFrame, group: list[str], order: list, out: str = "rn",
@@ -23,9 +22,10 @@ def ranked(df: DataFrame, group: list[str], order: list, out: str = "rn",
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # The order is total (it ends in a unique id) and the partition count is
+    # fixed, so partition ids and positions are the same on every recompute;
+    # both uses below share one range exchange (exchange reuse).
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    # Materialise once so the range bounds and ids are fixed for both uses below.
-    s = cut_lineage(s)
     stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_mid0"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group else \
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
