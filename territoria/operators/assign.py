@@ -19,7 +19,7 @@ def assign_vendors(routes: DataFrame, route_key: list[str], dias: int, freq: flo
     """R-09: order routes west->east then south->north by centre and give each
     vendor the next `round(dias/freq)` routes (W-06 with a distributed rank)."""
     cap = routes_per_vendor(dias, freq)
-    r = ranked(routes, group or [], ["centro_lon", "centro_lat", *route_key], out="_rk")
+    r = ranked(routes, group or [], ["centro_lon", "centro_lat", *route_key], out="_rk", materialize=True)
     return r.withColumn("vendedor_id", (F.floor((F.col("_rk") - 1) / F.lit(float(cap))) + 1).cast("int")).drop("_rk")
 
 

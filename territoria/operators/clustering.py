@@ -177,12 +177,12 @@ def balance_points(assign: DataFrame, centres: DataFrame, min_pdv: int, max_pdv:
                                      F.col("lon").alias("_dlon")), "dst"))
             cand = cand.withColumn("_km", haversine_km("lat", "lon", "_dlat", "_dlon")) \
                        .withColumn("_min", travel_min(F.col("_km"), kmh)).filter(F.col("_min") <= tempo_max_min)
-            best = cand.groupBy(pid, "label", "_excess", "_dsrc").agg(
-                F.min(F.struct("_min", "_km", "dst")).alias("_b"))
-            best = ranked(best, ["label"], [F.col("_dsrc").desc(), pid], out="_srk").filter(F.col("_srk") <= F.col("_excess"))
+            best = cut_lineage(cand.groupBy(pid, "label", "_excess", "_dsrc").agg(
+                F.min(F.struct("_min", "_km", "dst")).alias("_b")))
+            best = ranked(best, ["label"], [F.col("_dsrc").desc(), pid], out="_srk", materialize=True).filter(F.col("_srk") <= F.col("_excess"))
             best = best.select(pid, "label", F.col("_b.dst").alias("dst"), F.col("_b._min").alias("_min"))
-            best = best.join(free, "dst")
-            acc = ranked(best, ["dst"], ["_min", pid], out="_trk").filter(F.col("_trk") <= F.col("_free"))
+            best = cut_lineage(best.join(free, "dst"))
+            acc = ranked(best, ["dst"], ["_min", pid], out="_trk", materialize=True).filter(F.col("_trk") <= F.col("_free"))
             acc = cut_lineage(acc.select(pid, F.col("dst").alias("_new")))
             moved = acc.count()
             if moved:
@@ -234,8 +234,9 @@ def _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radi
             .withColumn("_ring", F.coalesce("_ring", F.lit(1)))
             .join(free.filter(F.col("_free") > 0), "dst"))
     best = cand.groupBy(pid, "src").agg(F.min(F.struct("_ring", "_min", "dist_km", "dst")).alias("_b"))
-    best = best.select(pid, "src", F.col("_b.dst").alias("dst"), F.col("_b._min").alias("_min")).join(free, "dst")
-    acc = ranked(best, ["dst"], ["_min", pid], out="_trk").filter(F.col("_trk") <= F.col("_free"))
+    best = cut_lineage(best.select(pid, "src", F.col("_b.dst").alias("dst"), F.col("_b._min").alias("_min"))
+                       .join(free, "dst"))
+    acc = ranked(best, ["dst"], ["_min", pid], out="_trk", materialize=True).filter(F.col("_trk") <= F.col("_free"))
     # all-or-nothing per undersize centre
     got = acc.groupBy("src").agg(F.count(F.lit(1)).alias("_got"))
     whole = under.select(F.col("label").alias("src"), "_n").join(got, "src").filter(F.col("_got") == F.col("_n"))

@@ -16,8 +16,12 @@ from pyspark.sql.window import Window
 
 
 def ranked(df: DataFrame, group: list[str], order: list, out: str = "rn",
-           partitions: int | None = None) -> DataFrame:
-    """Row number 1..n per `group` in `order` (which must end in a unique id)."""
+           partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Row number 1..n per `group` in `order` (which must end in a unique id).
+
+    `materialize` checkpoints the sorted rows first: worth it inside iterative
+    loops over small tables whose input plan is expensive to recompute.
+    """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
@@ -26,6 +30,9 @@ def ranked(df: DataFrame, group: list[str], order: list, out: str = "rn",
     # fixed, so partition ids and positions are the same on every recompute;
     # both uses below share one range exchange (exchange reuse).
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    if materialize:
+        from ..session import cut_lineage
+        s = cut_lineage(s)
     stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_mid0"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group else \
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
