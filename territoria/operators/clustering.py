@@ -518,3 +518,25 @@ def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min:
     sectors = metrics.join(cen, [*group, "cluster_id"])
     mapping = labeled.join(d.select(pid, "is_outlier"), pid).select(*group, pid, "cluster_id", "is_outlier")
     return sectors, mapping
+
+
+# ----------------------------------------------------------------- C-18
+def active_balanced(points: DataFrame, centres: DataFrame, min_pdv: int, max_pdv: int, tempo_max_min: float,
+                    kmh: float, merge_km: float, rounds: int = 6, pid: str = "pdv_id",
+                    centre_id: str = "centro_id") -> tuple[DataFrame, DataFrame]:
+    """C-18: fixed centres (already geocoded), one centre per distinct coordinate,
+    every point to its nearest centre (J-07), balancing (C-16), labels 0..k-1
+    (W-07) and per-sector metrics (A-01).  Returns (sectors, point -> sector)."""
+    from .aggregates import cluster_metrics
+    from .spatial import nearest
+    from .windows import dense_relabel, keep_first
+    uniq = keep_first(centres.select(centre_id, "lat", "lon"), ["lat", "lon"], centre_id)
+    cen = uniq.select(F.col(centre_id).alias("label"), "lat", "lon")
+    start = nearest(points.select(pid, "lat", "lon"), cen, "label", out_id="label").select(pid, "lat", "lon", "label")
+    a, kept = balance_points(start, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, rounds=rounds, pid=pid)
+    a = dense_relabel(a, "label")
+    j = a.join(kept.select("label", F.col("lat").alias("centro_lat"), F.col("lon").alias("centro_lon")), "label")
+    j = j.withColumn("dist_km", haversine_km("lat", "lon", "centro_lat", "centro_lon"))
+    sectors = cluster_metrics(j, ["cluster_id"], kmh, tie=pid).join(
+        j.select("cluster_id", F.col("label").alias(centre_id), "centro_lat", "centro_lon").distinct(), "cluster_id")
+    return sectors, a.select(pid, "cluster_id", F.col("label").alias(centre_id))

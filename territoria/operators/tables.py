@@ -141,3 +141,23 @@ def manual_edit(target: DataFrame, edits: DataFrame, key: list[str], cols: list[
     rest = target.join(e.select(*key), key, "left_anti")
     changed = hit.drop(*cols, stamp_col).join(e, key)
     return rest.unionByName(changed.select(*target.columns))
+
+
+# Derived tables dropped by each purge level (later levels include earlier ones).
+PURGE_LEVELS = {
+    "routing": ["sales_subcluster", "sales_subcluster_pdv", "sales_routing_resumo"],
+    "assignment": ["sales_subcluster_vendedor", "sales_pdv_vendedor", "sales_vendedor_base"],
+    "clustering": ["cluster_setor", "cluster_setor_pdv", "cluster_centro", "cluster_run",
+                   "mkp_cluster_cep", "sales_clusterization_outliers"],
+    "preprocessing": ["pdvs", "enderecos_cache", "marketplace_cep"],
+}
+PURGE_ORDER = ["assignment", "routing", "clustering", "preprocessing"]
+
+
+def purge_level(tables: dict[str, DataFrame], level: str, tenant_id: int) -> dict[str, DataFrame]:
+    """K-09: remove a tenant's rows from every table at or below a stage; snapshots
+    and histories are never in the lists, so they are kept."""
+    idx = PURGE_ORDER.index(level)
+    drop = {t for lv in PURGE_ORDER[: idx + 1] for t in PURGE_LEVELS[lv]}
+    return {name: (df.filter(F.col("tenant_id") != F.lit(tenant_id)) if name in drop and "tenant_id" in df.columns
+                   else df) for name, df in tables.items()}

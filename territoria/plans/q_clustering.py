@@ -266,3 +266,13 @@ def q_balance_ceps(spark, sf_dir):
     start = nearest(ceps, cen, "label", out_id="label").select("pdv_id", "cep", "lat", "lon", "label")
     a, kept = balance_points(start.drop("cep"), cen, 8, 30, 60.0, KMH, 50.0, rounds=5, undersize="merge_nearest")
     return a.join(start.select("pdv_id", "cep"), "pdv_id").select("cep", F.col("label").alias("centro_id"))
+
+
+@register("active_balanced")
+def q_active_balanced(spark, sf_dir):
+    """C-18: fixed centres, nearest assignment, balancing 5..25 points within 60 minutes,
+    dense labels and sector metrics."""
+    from ..operators.clustering import active_balanced
+    sectors, _ = active_balanced(fx.points(spark, sf_dir), fx.centers(spark, sf_dir), BAL_MIN, BAL_MAX,
+                                 BAL_TEMPO, KMH, BAL_MERGE, rounds=4)
+    return sectors

@@ -162,3 +162,38 @@ def q_point_search(spark, sf_dir):
     p = fx.points(spark, sf_dir).filter(F.col("tenant_id") == 2)
     p = p.filter(F.col("cnpj").contains("12") | F.lower(F.col("cidade")).contains("nation_2"))
     return p.orderBy("cidade", "pdv_id").limit(50).select("pdv_id", "cnpj", "cidade", "uf")
+
+
+@register("route_snapshots", sql=ASSIGN_SQL + ROUTE_CITY_SQL + """
+select 'snap-' || cast(a.cluster_id % 5 as varchar) as snapshot_id, 'mensal' as nome, a.cluster_id, a.subcluster_seq,
+       a.vendedor_id, rc.cidade
+from assigned a join route_city rc on rc.cluster_id = a.cluster_id and rc.subcluster_seq = a.subcluster_seq
+where rc.cidade ilike '%1%'
+""")
+def q_route_snapshots(spark, sf_dir):
+    """K-14 / F-03: routes frozen under a snapshot id per group of clusters, listed by city filter."""
+    from ..operators.tables import snapshot
+    a, _ = _assigned(spark, sf_dir)
+    r = a.join(_route_city(spark, sf_dir), ROUTE).select(*ROUTE, "vendedor_id", "cidade")
+    snaps = None
+    for i in range(5):
+        s = snapshot(r.filter(F.col("cluster_id") % 5 == i), f"snap-{i}", "mensal", ["auto"])
+        snaps = s if snaps is None else snaps.unionByName(s)
+    return snaps.filter(F.col("cidade").ilike("%1%")).select("snapshot_id", "nome", *ROUTE, "vendedor_id", "cidade")
+
+
+@register("latest_run_detail", sql=fx.with_fixtures("points", "job_log") + """,
+runs as (select distinct on (input_id) input_id, id as run_id, tenant_id from job_log
+         where status = 'done' order by input_id, criado_em desc, id desc)
+select r.input_id, r.run_id, p.pdv_id, p.cidade
+from runs r join points p on p.tenant_id = r.tenant_id and p.zona = cast(substring(r.input_id, 7) as int) % 25
+""")
+def q_latest_run_detail(spark, sf_dir):
+    """X-06 / W-01 / J-04: newest finished run per clustering and the points of its zone."""
+    from ..operators.windows import latest_per_key
+    j = fx.job_log(spark, sf_dir).filter(F.col("status") == "done")
+    runs = latest_per_key(j.select("input_id", "id", "tenant_id", "criado_em"), ["input_id"], "criado_em", "id")
+    runs = runs.select("input_id", F.col("id").alias("run_id"), "tenant_id",
+                       (F.substring("input_id", 7, 10).cast("int") % 25).alias("zona"))
+    p = fx.points(spark, sf_dir).select("pdv_id", "cidade", "tenant_id", "zona")
+    return runs.join(p, ["tenant_id", "zona"]).select("input_id", "run_id", "pdv_id", "cidade")

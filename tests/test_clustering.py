@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MED
+from conftest import SF_MED, SF_SMALL
 
 import __spark_entry__ as E
 from territoria.functions.geo import haversine_km
@@ -73,3 +73,20 @@ def test_balance_ceps_merges_small_centres(spark):
     sizes = out.groupBy("centro_id").count()
     assert out.count() == out.select("cep").distinct().count()
     assert sizes.filter(F.col("count") < 8).count() == 0
+
+
+def test_active_balanced_sectors(spark):
+    from conftest import SF_SMALL
+    sec = E.queries()["active_balanced"](spark, SF_SMALL)
+    assert sec.agg(F.sum("n_pdvs")).first()[0] == fx.points(spark, SF_SMALL).count()
+    ids = [r[0] for r in sec.select("cluster_id").collect()]
+    assert sorted(ids) == list(range(len(ids)))
+
+
+def test_purge_keeps_other_tenants(spark):
+    from territoria.operators.tables import purge_level
+    pts = fx.points(spark, SF_SMALL)
+    out = purge_level({"pdvs": pts, "cluster_setor_pdv": pts, "historico_pdv_jobs": pts}, "clustering", 1)
+    assert out["cluster_setor_pdv"].filter(F.col("tenant_id") == 1).count() == 0
+    assert out["pdvs"].count() == pts.count()                # preprocessing level not reached
+    assert out["historico_pdv_jobs"].count() == pts.count()  # histories are kept
