@@ -58,3 +58,19 @@ def test_uuid_and_dates(spark):
     assert _one(spark, ids.canonical_uuid, "not-a-uuid") is None
     assert str(_one(spark, ids.parse_date_br, "31/12/2024")) == "2024-12-31"
     assert str(_one(spark, ids.parse_date_br, "2024-01-02")) == "2024-01-02"
+
+
+def test_route_coords_and_jitter(spark):
+    from territoria.functions.fmt import parse_route_coords
+    from territoria.functions.geo import jitter
+    df = spark.createDataFrame([("[{'lat': -23.5, 'lon': -46.6}, {'lat': null, 'lon': 1}]",),
+                                ("{'lat': 1.0, 'lon': 2.0}",), ("lixo",)], "s string")
+    got = [r[0] for r in df.select(parse_route_coords(F.col("s"))).collect()]
+    assert [(p["lat"], p["lon"]) for p in got[0]] == [(-23.5, -46.6)]
+    assert [(p["lat"], p["lon"]) for p in got[1]] == [(1.0, 2.0)]
+    assert got[2] is None
+    j = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0)], "k string, lat double, lon double")
+    la, lo = jitter("k", "lat", "lon")
+    rows = j.select(la.alias("a"), lo.alias("b")).collect()
+    assert all(abs(r["a"] - 1.0) <= 0.002 and abs(r["b"] - 2.0) <= 0.002 for r in rows)
+    assert rows == j.select(la.alias("a"), lo.alias("b")).collect()  # repeatable
