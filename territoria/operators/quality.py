@@ -142,3 +142,11 @@ def cep_to_state(df: DataFrame, ranges: DataFrame, cep: str = "cep") -> DataFram
     j = df.join(F.broadcast(dim), F.substring(F.col(cep), 1, 4).try_cast("int") == F.col("_p"), "left")
     hit = F.filter(F.coalesce(F.col("_rs"), F.array()), lambda e: (F.col(cep) >= e["lo"]) & (F.col(cep) <= e["hi"]))
     return j.withColumn("uf_cep", F.try_element_at(hit, F.lit(1))["uf"]).drop("_p", "_rs")
+
+
+def capital_flag(df: DataFrame, capitals: DataFrame, city: str = "cidade", uf: str = "uf") -> DataFrame:
+    """G-08: is the (folded, upper-case) city the capital of its state?  27-row broadcast."""
+    cap = capitals.select(F.col("cidade").alias("_cc"), F.col("uf").alias("_cu"), F.lit(True).alias("_cap"))
+    j = df.join(F.broadcast(cap), (text.city_key(F.col(city)) == F.col("_cc"))
+                & (F.upper(text.strip_ws(F.col(uf))) == F.col("_cu")), "left")
+    return j.withColumn("is_capital", F.coalesce("_cap", F.lit(False))).drop("_cc", "_cu", "_cap")

@@ -65,3 +65,17 @@ def latest_run(runs: DataFrame, uf: str | None = None, cidade: str | None = None
         f = f.filter(F.col("uf") == uf)
     f = f.filter(F.col("cidade").eqNullSafe(F.lit(cidade)))
     return f.orderBy(F.col("id").desc()).limit(1)
+
+
+def scan_clusters(clusters: DataFrame, points: DataFrame, tenant_id: int, run_id: int) -> tuple[DataFrame, DataFrame]:
+    """S-08: a clustering read back for routing: sectors by label, members by sector and point."""
+    c = clusters.filter((F.col("tenant_id") == tenant_id) & (F.col("run_id") == run_id)).orderBy("cluster_label")
+    p = points.filter((F.col("tenant_id") == tenant_id) & (F.col("run_id") == run_id)).orderBy("cluster_id", "pdv_id")
+    return c, p
+
+
+def awaiting_validation(points: DataFrame, tenant_id: int, limit: int | None = None) -> DataFrame:
+    """F-07: points that have coordinates and no geo-validation status yet (a work queue page)."""
+    f = points.filter((F.col("tenant_id") == tenant_id) & F.col("pdv_lat").isNotNull() & F.col("pdv_lon").isNotNull()
+                      & F.col("geo_validacao_status").isNull()).orderBy("id")
+    return f.limit(limit) if limit else f

@@ -74,3 +74,24 @@ def test_route_coords_and_jitter(spark):
     rows = j.select(la.alias("a"), lo.alias("b")).collect()
     assert all(abs(r["a"] - 1.0) <= 0.002 and abs(r["b"] - 2.0) <= 0.002 for r in rows)
     assert rows == j.select(la.alias("a"), lo.alias("b")).collect()  # repeatable
+
+
+def test_city_uf_centre_address_nfc_capital(spark):
+    import unicodedata
+    from territoria.functions.fmt import centre_address
+    from territoria.operators.quality import capital_flag
+    from territoria.sources import dims
+    a = "Rua X 12, Centro, São Paulo - SP, 01310-100, Brasil"
+    df = spark.createDataFrame([(a,)], "s string")
+    city, uf, street, nonum = text.parse_city_uf(F.col("s"))
+    r = df.select(city, uf, street, nonum).first()
+    assert tuple(r) == ("SÃO PAULO", "SP", "Rua X 12", "Rua X")
+    c = spark.createDataFrame([("Av Brasil 100A", "", "Centro", "Campinas", "sp", "")],
+                              "l string, n string, b string, c string, u string, p string")
+    assert c.select(centre_address("l", "n", "b", "c", "u", "p")).first()[0] == "Av Brasil - 100A - Centro - Campinas - sp"
+    decomposed = unicodedata.normalize("NFD", "São")
+    n = spark.createDataFrame([(decomposed,), ("abc",)], "s string")
+    assert sorted(r[0] for r in text.nfc_odd_rows(n, "s").collect()) == ["São", "abc"]
+    cap = spark.createDataFrame([("são paulo", "sp"), ("campinas", "SP")], "cidade string, uf string")
+    flags = {r["cidade"]: r["is_capital"] for r in capital_flag(cap, dims.capitals(spark)).collect()}
+    assert flags == {"são paulo": True, "campinas": False}
