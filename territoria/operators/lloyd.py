@@ -147,7 +147,9 @@ def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id
     With `fixed_iter` every round runs (no convergence test), which is what
     the SQL oracle unrolls.
     """
-    pts = points.select(*group, pid, "lat", "lon", *([weight] if weight else []))
+    # The rounds re-read the points many times: materialise the narrow input once
+    # (as iterative MLlib estimators cache theirs) instead of re-running its plan.
+    pts = cut_lineage(points.select(*group, pid, "lat", "lon", *([weight] if weight else [])))
     cen = cut_lineage(init_centres(pts, k, group, pid))
     k_max = k.agg(F.max("k")).first()[0] or 0
     edge = grid_edge(cen, group) if k_max > ARRAY_K_MAX else None  # centres move little: size cells once
