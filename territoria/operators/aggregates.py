@@ -100,3 +100,29 @@ def safe_ratio(a, b, digits: int) -> Column:
     ac = F.col(a) if isinstance(a, str) else a
     bc = F.col(b) if isinstance(b, str) else b
     return F.round(ac / F.nullif(bc, F.lit(0)), digits)
+
+
+def rollup_sector_metrics(sectors: DataFrame, sub: str = "subclusters", stored: str = "metrics",
+                          digits: int = 3) -> DataFrame:
+    """A-19: sector minutes/km from its sub-clusters when it has any (mean and max
+    over the array), else the stored values; the stored metric map is merged
+    with the new values, blank entries dropped.  Array and map functions only:
+    one row per sector, no explode."""
+    arr = F.coalesce(F.col(sub), F.array())
+    n = F.size(arr)
+    tempos = F.transform(arr, lambda s: s["tempo_total_min"])
+    dists = F.transform(arr, lambda s: s["dist_total_km"])
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
+    has = n > 0
+    st = F.col(stored)
+    tm = F.when(has, mean(tempos)).otherwise(st["tempo_medio_min"])
+    tx = F.when(has, F.array_max(tempos)).otherwise(st["tempo_max_min"])
+    dm = F.when(has, mean(dists)).otherwise(st["distancia_media_km"])
+    dx = F.when(has, F.array_max(dists)).otherwise(st["dist_max_km"])
+    new = F.create_map(F.lit("tempo_medio_min"), tm, F.lit("tempo_max_min"), tx,
+                       F.lit("distancia_media_km"), dm, F.lit("dist_max_km"), dx)
+    merged = F.map_filter(F.map_concat(F.map_filter(st, lambda k, v: ~F.map_contains_key(new, k)), new),
+                          lambda k, v: v.isNotNull())
+    return sectors.select("*", F.round(tm, digits).alias("tempo_medio_min"), F.round(tx, digits).alias("tempo_max_min"),
+                          F.round(dm, digits).alias("distancia_media_km"), F.round(dx, digits).alias("dist_max_km"),
+                          F.size(merged).alias("n_metricas"))

@@ -177,3 +177,34 @@ def q_multi_stop_cost(spark, sf_dir):
     w = Window.partitionBy(*ROUTE).orderBy("lon", "lat", "pdv_id")
     seq = stops.withColumn("so", F.row_number().over(w))
     return R.multi_stop_cost(seq, ROUTE, "so", None, KMH, ALPHA).select(*ROUTE, "distancia_km")
+
+
+@register("sector_metric_rollup", sql=_cost_sql() + """,
+sub as (select cluster_id, count(*) as n, avg(tempo_total_min) as tm, max(tempo_total_min) as tx,
+               avg(dist_total_km) as dm, max(dist_total_km) as dx
+        from routes where cluster_id % 3 <> 0 group by cluster_id),
+stored as (select cluster_id, count(*) * 1.5 as tm0, count(*) * 2.5 as tx0, count(*) * 0.5 as dm0,
+                  count(*) * 0.75 as dx0 from route_stops group by cluster_id)
+select s.cluster_id,
+       round(coalesce(sub.tm, s.tm0), 3) as tempo_medio_min, round(coalesce(sub.tx, s.tx0), 3) as tempo_max_min,
+       round(coalesce(sub.dm, s.dm0), 3) as distancia_media_km, round(coalesce(sub.dx, s.dx0), 3) as dist_max_km,
+       5 as n_metricas
+from stored s left join sub on sub.cluster_id = s.cluster_id
+""")
+def q_sector_metric_rollup(spark, sf_dir):
+    """A-19: sector metrics rolled up from its routes when it has any (zones divisible by 3
+    keep only their stored metrics), stored metric map merged with the new values."""
+    from ..operators.aggregates import rollup_sector_metrics
+    routes = _routes(spark, sf_dir)
+    subs = (routes.filter(F.col("cluster_id") % 3 != 0)
+            .groupBy("cluster_id").agg(F.collect_list(F.struct("tempo_total_min", "dist_total_km")).alias("subclusters")))
+    stops = fx.route_stops(fx.points(spark, sf_dir))
+    stored = stops.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).select(
+        "cluster_id", F.create_map(
+            F.lit("tempo_medio_min"), F.col("_n") * 1.5, F.lit("tempo_max_min"), F.col("_n") * 2.5,
+            F.lit("distancia_media_km"), F.col("_n") * 0.5, F.lit("dist_max_km"), F.col("_n") * 0.75,
+            F.lit("vazio"), F.lit(None).cast("double"), F.lit("raio_p95_km"), F.lit(1.0)).alias("metrics"))
+    sec = stored.join(subs, "cluster_id", "left")
+    out = rollup_sector_metrics(sec)
+    return out.select("cluster_id", "tempo_medio_min", "tempo_max_min", "distancia_media_km", "dist_max_km",
+                      "n_metricas")
