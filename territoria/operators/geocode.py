@@ -90,3 +90,31 @@ def ingest_points(raw: DataFrame | None, stored: DataFrame, cache: DataFrame, ga
                 .unionByName(boxed.select("row_id", "cnpj", F.col("motivo_geo").alias("motivo"))))
     new_rows = ok.select(*[c for c in stored.columns if c in ok.columns])
     return decision, insert_ignore(stored, new_rows, ["cnpj"], order="row_id" if "row_id" in stored.columns else None)
+
+
+def reverse_geocode(centres: DataFrame, cache: DataFrame, gazetteer: DataFrame, cid: str = "centro_id",
+                    tol: float = 1e-6) -> DataFrame:
+    """C-21: centre coordinates -> (rua, bairro, origem).  First the reverse cache
+    (coordinates equal within `tol`: equi-join on a grid of edge 10*tol and its
+    8 neighbours, then the exact residual), else the nearest gazetteer point
+    (exact grid nearest, J-07)."""
+    from .spatial import nearest
+    step = tol * 10
+    c = centres.select(cid, "lat", "lon")
+    k = cache.select(F.col("lat").alias("_klat"), F.col("lon").alias("_klon"), F.col("rua").alias("_krua"),
+                     F.col("bairro").alias("_kbai"))
+    k = k.withColumn("_a", F.floor(F.col("_klat") / step)).withColumn("_b", F.floor(F.col("_klon") / step))
+    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    q = (c.withColumn("_o", F.explode(offs)).withColumn("_a", F.floor(F.col("lat") / step) + F.col("_o.i"))
+         .withColumn("_b", F.floor(F.col("lon") / step) + F.col("_o.j")))
+    hits = (q.join(k, ["_a", "_b"]).filter((F.abs(F.col("_klat") - F.col("lat")) < tol)
+                                          & (F.abs(F.col("_klon") - F.col("lon")) < tol))
+            .groupBy(cid).agg(F.min(F.struct("_krua", "_kbai")).alias("_h")))
+    c2 = c.join(hits, cid, "left")
+    found = c2.filter(F.col("_h").isNotNull()).select(cid, F.col("_h._krua").alias("rua"),
+                                                      F.col("_h._kbai").alias("bairro"), F.lit("cache").alias("origem"))
+    miss = c2.filter(F.col("_h").isNull()).select(cid, "lat", "lon")
+    g = gazetteer.select(F.col("gid"), "lat", "lon", F.col("rua").alias("_grua"), F.col("bairro").alias("_gbai"))
+    near = nearest(miss, g.select("gid", "lat", "lon"), "gid", out_id="gid").join(g.drop("lat", "lon"), "gid")
+    return found.unionByName(near.select(cid, F.col("_grua").alias("rua"), F.col("_gbai").alias("bairro"),
+                                         F.lit("gazetteer").alias("origem")))

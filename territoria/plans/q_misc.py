@@ -350,3 +350,32 @@ def q_sql_functions(spark, sf_dir):
     return p.selectExpr("pdv_id", "round(haversine_km(lat, lon, -23.55D, -46.63D), 6) as km_sp",
                         "round(travel_min(haversine_km(lat, lon, -23.55D, -46.63D), 35.0D), 6) as min_sp",
                         "valid_coord(lat, lon) as ok", "city_key(cidade || ' são') as cidade_key")
+
+
+@register("centre_reverse_lookup", sql=fx.with_fixtures("points", "centers") + f""",
+sup as (select s_suppkey, s_acctbal from supplier),
+cache as (select round(c.lat, 4) as lat, round(c.lon, 4) as lon, 'Rua ' || c.nome as rua, 'Centro' as bairro
+          from centers c join sup on sup.s_suppkey = c.centro_id where sup.s_acctbal > 0),
+hit as (select c.centro_id, min(k.rua) as rua, min(k.bairro) as bairro
+        from centers c join cache k on abs(k.lat - c.lat) < 1e-6 and abs(k.lon - c.lon) < 1e-6 group by c.centro_id),
+cand as (select c.centro_id, p.pdv_id, {haversine_sql('c.lat', 'c.lon', 'p.lat', 'p.lon')} as d
+         from centers c, points p where c.centro_id not in (select centro_id from hit)),
+near as (select centro_id, pdv_id from (
+           select *, row_number() over (partition by centro_id order by d, pdv_id) as rn from cand) t where rn = 1)
+select centro_id, rua, bairro, 'cache' as origem from hit
+union all
+select n.centro_id, 'Rua ' || p.cidade as rua, 'Bairro ' || cast(p.tenant_id as varchar) as bairro, 'gazetteer' as origem
+from near n join points p on p.pdv_id = n.pdv_id
+""")
+def q_centre_reverse_lookup(spark, sf_dir):
+    """C-21 / J-07: centre -> street and district from the reverse cache, else from the nearest gazetteer point."""
+    from ..operators.geocode import reverse_geocode
+    cen = fx.centers(spark, sf_dir)
+    sup = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("centro_id"), "s_acctbal")
+    cache = (cen.join(sup, "centro_id").filter(F.col("s_acctbal") > 0)
+             .select(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"),
+                     F.concat(F.lit("Rua "), F.col("nome")).alias("rua"), F.lit("Centro").alias("bairro")))
+    gaz = fx.points(spark, sf_dir).select(F.col("pdv_id").alias("gid"), "lat", "lon",
+                                          F.concat(F.lit("Rua "), F.col("cidade")).alias("rua"),
+                                          F.concat(F.lit("Bairro "), F.col("tenant_id").cast("string")).alias("bairro"))
+    return reverse_geocode(cen, cache, gaz)
