@@ -24,13 +24,19 @@ NO_HIT = "falha"
 
 
 def geocode_cascade(rows: DataFrame, cache: DataFrame, gaz_number: DataFrame | None = None,
-                    gaz_street: DataFrame | None = None) -> DataFrame:
+                    gaz_street: DataFrame | None = None, capitals: DataFrame | None = None,
+                    capital_polygons: DataFrame | None = None, row_id: str = "row_id") -> DataFrame:
     """J-01 + J-02: append pdv_lat, pdv_lon, status_geolocalizacao.
 
     `rows` needs endereco_cache_key, logradouro, numero, cidade, uf.
     `cache`: endereco, lat, lon.  `gaz_number`: rua_key, numero, cidade, uf,
     lat, lon.  `gaz_street`: rua_key, cidade, uf, lat, lon.  Each lookup side
     is de-duplicated on its key first so no join fans out.
+
+    With `capitals` (cidade, uf) and `capital_polygons` (vertex rows keyed by
+    cidade_key, uf_key, ring, seq, lon, lat), a row in a capital only takes a
+    tier's coordinate that lies inside its city polygon (banded ray casting on
+    the candidate coordinates of capital rows only).
     """
     r = rows.withColumn("_rua", text.normalize_full_address(F.col("logradouro")))
     tiers = []
@@ -48,16 +54,36 @@ def geocode_cascade(rows: DataFrame, cache: DataFrame, gaz_number: DataFrame | N
              .groupBy("_rua", "cidade", "uf").agg(F.min_by(F.struct("lat", "lon"), F.struct("lat", "lon")).alias("_t3")))
         r = r.join(g, ["_rua", "cidade", "uf"], "left")
         tiers.append(("_t3", "gazetteer_rua"))
+    gate = None
+    if capitals is not None and capital_polygons is not None:
+        from .polygons import point_in_polygon
+        from .quality import capital_flag
+        r = capital_flag(r, capitals)
+        cands = [F.when(F.col(t).isNotNull(), F.struct(F.lit(i).alias("tier"), F.col(t + ".lat").alias("lat"),
+                                                         F.col(t + ".lon").alias("lon")))
+                 for i, (t, _) in enumerate(tiers)]
+        cp = (r.filter("is_capital").select(row_id, text.city_key(F.col("cidade")).alias("cidade_key"),
+                                             F.upper(F.col("uf")).alias("uf_key"),
+                                             F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("_c"))
+              .select(row_id, "cidade_key", "uf_key", F.col("_c.tier").alias("tier"),
+                      F.col("_c.lat").alias("lat"), F.col("_c.lon").alias("lon"))
+              .withColumn("_cand", F.col(row_id) * 16 + F.col("tier")))
+        tested = point_in_polygon(cp, capital_polygons, "_cand", ["cidade_key", "uf_key"], ring="ring")
+        gate = tested.groupBy(row_id).agg(*[F.max(F.when(F.col("tier") == i, F.coalesce("dentro", F.lit(False))))
+                                            .alias(f"_in{i}") for i in range(len(tiers))])
+        r = r.join(gate, row_id, "left")
     picks = []
-    for col, name in tiers:
+    for i, (col, name) in enumerate(tiers):
         usable = F.col(col).isNotNull() & ~generic_coord(F.col(col + ".lat"), F.col(col + ".lon"))
+        if gate is not None:
+            usable = usable & (~F.col("is_capital") | F.coalesce(F.col(f"_in{i}"), F.lit(False)))
         picks.append(F.when(usable, F.struct(F.col(col + ".lat").alias("lat"), F.col(col + ".lon").alias("lon"),
                                              F.lit(name).alias("origem"))))
     best = F.coalesce(*picks) if picks else F.lit(None)
     r = r.withColumn("_g", best)
     return (r.withColumn("pdv_lat", F.col("_g.lat")).withColumn("pdv_lon", F.col("_g.lon"))
             .withColumn("status_geolocalizacao", F.coalesce(F.col("_g.origem"), F.lit(NO_HIT)))
-            .drop("_g", "_rua", *[t for t, _ in tiers]))
+            .drop("_g", "_rua", *[t for t, _ in tiers], *[f"_in{i}" for i in range(len(tiers))]))
 
 
 def cache_write_back(cache: DataFrame, geocoded: DataFrame) -> DataFrame:

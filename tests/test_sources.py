@@ -66,3 +66,22 @@ def test_writers(spark):
     rej = df.withColumn("motivo_invalidade", F.lit("numero"))
     assert files.write_rejects(rej, os.path.join(d, "rej"))
     assert not files.write_rejects(rej.filter("false"), os.path.join(d, "rej2"))
+
+
+def test_capital_polygon_gate(spark):
+    from territoria.operators.geocode import geocode_cascade
+    from territoria.sources import dims
+    # a unit square around (-23.5, -46.6) as the capital's polygon
+    sq = [(0, 0, -47.0, -24.0), (0, 1, -46.0, -24.0), (0, 2, -46.0, -23.0), (0, 3, -47.0, -23.0)]
+    poly = spark.createDataFrame([("SAO PAULO", "SP", r, s_, lo, la) for r, s_, lo, la in sq],
+                                 "cidade_key string, uf_key string, ring int, seq int, lon double, lat double")
+    rows = spark.createDataFrame(
+        [(1, "K1", "rua a", "1", "São Paulo", "SP"), (2, "K2", "rua b", "2", "Campinas", "SP")],
+        "row_id long, endereco_cache_key string, logradouro string, numero string, cidade string, uf string")
+    cache = spark.createDataFrame([("K1", -20.0, -40.0), ("K2", -20.0, -40.0)], "endereco string, lat double, lon double")
+    gnum = spark.createDataFrame([("rua a", "1", "São Paulo", "SP", -23.5, -46.5)],
+                                 "rua_key string, numero string, cidade string, uf string, lat double, lon double")
+    out = geocode_cascade(rows, cache, gnum, None, capitals=dims.capitals(spark), capital_polygons=poly)
+    got = {r["row_id"]: r["status_geolocalizacao"] for r in out.collect()}
+    # the capital row skips the cache hit outside its polygon; the other city keeps it
+    assert got == {1: "gazetteer_numero", 2: "cache"}
