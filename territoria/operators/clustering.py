@@ -361,9 +361,7 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
     fixed = nearest(noise, means, "_lab", by=by, out_id="_lab", out_km="_nk").drop("_nk")
     everything = clustered.select(pid, *by, "_lab").unionByName(fixed.select(pid, *by, "_lab"))
     order = everything.groupBy(*by, "_lab").agg(F.min(pid).alias("_first"))
-    from pyspark.sql.window import Window
-    w = Window.partitionBy(*by).orderBy("_first") if by else Window.orderBy("_first")
-    order = order.withColumn("cluster_id", (F.dense_rank().over(w) - 1).cast("int"))  # one row per cluster
+    order = ranked(order, list(by), ["_first"], out="_r").withColumn("cluster_id", (F.col("_r") - 1).cast("int"))
     res = everything.join(order.select(*by, "_lab", "cluster_id"), [*by, "_lab"]).select(pid, "cluster_id")
     return points.join(res, pid)
 

@@ -77,13 +77,13 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def dense_relabel(df: DataFrame, label: str, group: list[str] | None = None, out: str = "cluster_id") -> DataFrame:
     """W-07: labels renumbered 0..k-1 (per group) in label order.
 
-    The distinct labels are few (one per cluster), so ranking them is a
-    window over a small table, joined back by key.
+    The distinct labels are ranked with the distributed rank and joined back
+    by key.
     """
     group = group or []
     d = df.select(*group, label).distinct()
-    w = Window.partitionBy(*group).orderBy(label) if group else Window.orderBy(label)
-    d = d.withColumn(out, (F.dense_rank().over(w) - 1).cast("int"))
+    # distinct labels: their row number is the dense rank (skew-safe, no global window)
+    d = ranked(d, group, [label], out="_dr").select(*group, label, (F.col("_dr") - 1).cast("int").alias(out))
     return df.join(d, [*group, label])
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
@@ -203,10 +202,12 @@ from points
 
 
 def route_stops(pts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("zona").orderBy("lon", "lat", "pdv_id")
-    return pts.select(
+    # Skew-safe rank inside each zone (range partitioning), not a per-zone window.
+    from ..operators.windows import ranked
+    r = ranked(pts.select("zona", "pdv_id", "lat", "lon"), ["zona"], ["lon", "lat", "pdv_id"], out="_rk")
+    return r.select(
         F.col("zona").alias("cluster_id"),
-        (F.floor((F.row_number().over(w) - 1) / _d(8)).cast("int") + 1).alias("subcluster_seq"),
+        (F.floor((F.col("_rk") - 1) / _d(8)).cast("int") + 1).alias("subcluster_seq"),
         "pdv_id", "lat", "lon")
 
 
