@@ -9,7 +9,6 @@ reader always sees a complete version.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,26 +25,33 @@ SHEET_SCHEMA = ("row_id long, cnpj string, logradouro string, numero string, bai
 
 
 # ------------------------------------------------------------ versioned table
-def _versions(path: str) -> list[int]:
-    if not os.path.isdir(path):
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions (`v=<n>` with `_SUCCESS`) through the Hadoop FileSystem of
+    the path, so the same code works on HDFS / object stores, not only locally."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
         return []
     out = []
-    for name in os.listdir(path):
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
         m = re.fullmatch(r"v=(\d+)", name)
-        if m and os.path.exists(os.path.join(path, name, "_SUCCESS")):
+        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             out.append(int(m.group(1)))
     return sorted(out)
 
 
 def read_latest(spark: SparkSession, path: str, schema: str | StructType, before: int | None = None) -> DataFrame:
-    vs = [v for v in _versions(path) if before is None or v < before]
+    vs = [v for v in _versions(spark, path) if before is None or v < before]
     if not vs:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(os.path.join(path, f"v={vs[-1]}"))
+    return spark.read.parquet(f"{path.rstrip('/')}/v={vs[-1]}")
 
 
 def write_version(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={batch_id}")
 
 
 # ------------------------------------------------------------------- T-02
