@@ -229,7 +229,7 @@ def plan_routes(points: DataFrame, depots: DataFrame, cluster: list[str], dias:
     routes = cut_lineage(split_routes(points, cluster, k, pid))
     route = [*cluster, "subcluster_seq"]
     seq = cut_lineage(sequence_stops(routes, depots, route, cluster, pid=pid, improve=improve)
-                      .join(routes.select(pid, "lat", "lon"), pid))
+                      .join(routes.select(*route, pid, "lat", "lon"), [*route, pid]))
     legs = route_legs(seq, depots, route, cluster)
     totals = route_totals(leg_costs(legs, cache, kmh, alpha), route, service_min)
     return totals, seq
@@ -237,30 +237,47 @@ def plan_routes(points: DataFrame, depots: DataFrame, cluster: list[str], dias:
 
 def split_until_feasible(points: DataFrame, depots: DataFrame, cluster: list[str], max_min: float,
                          max_km: float, kmh: float, service_min: float, alpha: float,
-                         max_rounds: int = 10, pid: str = "pdv_id", k_start: int = 1) -> tuple[DataFrame, DataFrame]:
+                         max_rounds: int = 10, pid: str = "pdv_id", k_start: int = 1,
+                         batch: int = 4) -> tuple[DataFrame, DataFrame]:
     """R-07 (and C-09 with `k_start`): k = k_start, k_start+1, ... per cluster until
-    every route fits `max_min` and `max_km` or k = n; only infeasible clusters
-    re-enter the next round."""
+    every route fits `max_min` and `max_km` or k = n (then the last k is kept).
+
+    `batch` candidate k values per cluster are planned in one job, with
+    (cluster, k) as the planning key; only clusters without a feasible k go on
+    to the next batch.
+    """
     n = points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"))
-    k = cut_lineage(n.select(*cluster, F.least(F.lit(k_start), F.col("_n")).alias("k"), "_n"))
-    done_routes, done_stops = None, None
-    for i in range(max_rounds):
-        pts = points.join(k.select(*cluster), cluster)
-        totals, seq = plan_routes(pts, depots, cluster, 1, 1, kmh, service_min, alpha,
-                                  improve=False, pid=pid, k=k.select(*cluster, "k"))
+    pending = cut_lineage(n.select(*cluster, F.least(F.lit(k_start), F.col("_n")).alias("_k0"), "_n"))
+    routes_out, stops_out = None, None
+    tried = 0
+    while tried < max_rounds:
+        width = min(batch, max_rounds - tried)
+        cands = cut_lineage(
+            pending.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+            .withColumn("k", F.least(F.col("_k0") + F.col("_j"), F.col("_n")).cast("int"))
+            .select(*cluster, "k", "_n").dropDuplicates([*cluster, "k"]))
+        key = [*cluster, "k"]
+        pts = points.join(cands.select(*key), cluster)
+        dep = depots.join(cands.select(*key), cluster)
+        totals, seq = plan_routes(pts, dep, key, 1, 1, kmh, service_min, alpha, improve=False, pid=pid,
+                                  k=cands.select(*key))
         totals = cut_lineage(totals)
-        bad = (totals.filter((F.col("tempo_total_min") > max_min) | (F.col("dist_total_km") > max_km))
-               .select(*cluster).distinct())
-        last = i == max_rounds - 1
-        ok_clusters = k.join(bad, cluster, "left_anti") if not last else k
-        ok_clusters = ok_clusters.unionByName(k.join(bad, cluster).filter(F.col("k") >= F.col("_n"))) \
-            if not last else ok_clusters
-        ok_keys = cut_lineage(ok_clusters.select(*cluster).distinct())
-        r = totals.join(ok_keys, cluster)
-        s = seq.join(ok_keys, cluster)
-        done_routes = r if done_routes is None else done_routes.unionByName(r)
-        done_stops = s if done_stops is None else done_stops.unionByName(s)
-        k = cut_lineage(k.join(ok_keys, cluster, "left_anti").withColumn("k", F.least(F.col("k") + 1, F.col("_n"))))
-        if k.isEmpty():
+        fit = (totals.groupBy(*key).agg(F.max("tempo_total_min").alias("_t"), F.max("dist_total_km").alias("_d"))
+               .join(cands, key)
+               .withColumn("_ok", ((F.col("_t") <= max_min) & (F.col("_d") <= max_km)) | (F.col("k") >= F.col("_n"))))
+        last = tried + width >= max_rounds
+        pick = fit.filter("_ok").groupBy(*cluster).agg(F.min("k").alias("_kf"))
+        if last:
+            pick = (fit.groupBy(*cluster).agg(F.max("k").alias("_kmax")).join(pick, cluster, "left")
+                    .select(*cluster, F.coalesce("_kf", "_kmax").alias("_kf")))
+        pick = cut_lineage(pick.withColumnRenamed("_kf", "k"))
+        r = totals.join(pick, key).withColumnRenamed("k", "k_final")
+        st = seq.join(pick, key).withColumnRenamed("k", "k_final")
+        routes_out = r if routes_out is None else routes_out.unionByName(r)
+        stops_out = st if stops_out is None else stops_out.unionByName(st)
+        pending = cut_lineage(pending.join(pick.select(*cluster), cluster, "left_anti")
+                              .withColumn("_k0", F.col("_k0") + width))
+        tried += width
+        if pending.isEmpty():
             break
-    return done_routes, done_stops
+    return routes_out, stops_out
