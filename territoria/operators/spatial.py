@@ -57,20 +57,13 @@ def _levels(s0: float) -> list[float]:
     return out
 
 
-def _occupancy(df: DataFrame, lat: str, lon: str, s: float, by: tuple[str, ...]) -> float:
-    """Row-weighted mean number of rows sharing a row's cell (sum c^2 / sum c)."""
-    c = df.groupBy(*by, *_cell_cols(F.col(lat), F.col(lon), s, "_o")).agg(F.count(F.lit(1)).alias("c"))
-    r = c.agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s1")).first()
-    return float(r["s2"] or 0) / max(1.0, float(r["s1"] or 0))
-
-
 def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float,
                    by: tuple[str, ...] = ()) -> tuple[float, int]:
     """Cell edge giving about `per_cell` rows per occupied cell.
 
-    Start from the bounding-box density, then refine with the measured
-    occupancy (a few scalar aggregates), since real points cluster far more
-    than their bounding box suggests.
+    One scalar aggregate gives the bounding-box density; one more pass scores
+    eight candidate edges at once (edge / 2^i) by their measured row-weighted
+    occupancy, since real points cluster far more than their box suggests.
     """
     x, y, z = unit_xyz(F.col(lat), F.col(lon))
     r = df.agg(F.count(F.lit(1)).alias("n"),
@@ -81,13 +74,18 @@ def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float,
         return 2.0, 0
     ext = sorted([r["ex"] or 0.0, r["ey"] or 0.0, r["ez"] or 0.0], reverse=True)
     area = max(ext[0], 1e-6) * max(ext[1], 1e-6)
-    s = min(2.0, max(math.sqrt(area * per_cell / n), _MIN_CELL))
-    for _ in range(6):
-        occ = _occupancy(df, lat, lon, s, by)
-        if occ <= 2.0 * per_cell or s <= _MIN_CELL:
-            break
-        s = max(_MIN_CELL, s * math.sqrt(per_cell / occ))
-    return s, n
+    s0 = min(2.0, max(math.sqrt(area * per_cell / n), _MIN_CELL))
+    edges = [max(s0 / (2 ** i), _MIN_CELL) for i in range(8)]
+    lv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(edges)]))
+    e = df.select(*by, lat, lon).withColumn("_l", lv)
+    cells = [F.floor(c / F.col("_l.e")).alias(f"_o{j}") for j, c in enumerate(unit_xyz(F.col(lat), F.col(lon)))]
+    cnt = e.groupBy(*by, F.col("_l.i").alias("_i"), *cells).agg(F.count(F.lit(1)).alias("c"))
+    occ = {row["_i"]: row["o"] for row in cnt.groupBy("_i").agg(
+        (F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("o")).collect()}
+    for i, edge in enumerate(edges):  # largest edge whose occupancy is small enough
+        if occ.get(i, 0.0) <= 2.0 * per_cell:
+            return edge, n
+    return edges[-1], n
 
 
 def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str, ...] = (),
