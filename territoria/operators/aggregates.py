@@ -112,12 +112,17 @@ def rollup_sector_metrics(sectors: DataFrame, sub: str = "subclusters", stored:
     n = F.size(arr)
     tempos = F.transform(arr, lambda s: s["tempo_total_min"])
     dists = F.transform(arr, lambda s: s["dist_total_km"])
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
+
+    def mean(a, scale):
+        # sub-cluster values carry 1 (minutes) / 2 (km) decimals: sum them as integers,
+        # then round the mean half-up to 3 decimals, independent of array order
+        units = F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + F.round(x * scale, 0).cast("long"))
+        return F.floor((2 * units * (1000 // scale) + n) / (2 * n).cast("double")) / F.lit(1000.0)
     has = n > 0
     st = F.col(stored)
-    tm = F.when(has, mean(tempos)).otherwise(st["tempo_medio_min"])
+    tm = F.when(has, mean(tempos, 10)).otherwise(st["tempo_medio_min"])
     tx = F.when(has, F.array_max(tempos)).otherwise(st["tempo_max_min"])
-    dm = F.when(has, mean(dists)).otherwise(st["distancia_media_km"])
+    dm = F.when(has, mean(dists, 100)).otherwise(st["distancia_media_km"])
     dx = F.when(has, F.array_max(dists)).otherwise(st["dist_max_km"])
     new = F.create_map(F.lit("tempo_medio_min"), tm, F.lit("tempo_max_min"), tx,
                        F.lit("distancia_media_km"), dm, F.lit("dist_max_km"), dx)

@@ -180,8 +180,11 @@ def q_multi_stop_cost(spark, sf_dir):
 
 
 @register("sector_metric_rollup", sql=_cost_sql() + """,
-sub as (select cluster_id, count(*) as n, avg(tempo_total_min) as tm, max(tempo_total_min) as tx,
-               avg(dist_total_km) as dm, max(dist_total_km) as dx
+sub as (select cluster_id, count(*) as n,
+               floor((2 * sum(cast(round(tempo_total_min * 10, 0) as bigint)) * 100 + count(*)) / (2.0 * count(*))) / 1000.0 as tm,
+               max(tempo_total_min) as tx,
+               floor((2 * sum(cast(round(dist_total_km * 100, 0) as bigint)) * 10 + count(*)) / (2.0 * count(*))) / 1000.0 as dm,
+               max(dist_total_km) as dx
         from routes where cluster_id % 3 <> 0 group by cluster_id),
 stored as (select cluster_id, count(*) * 1.5 as tm0, count(*) * 2.5 as tx0, count(*) * 0.5 as dm0,
                   count(*) * 0.75 as dx0 from route_stops group by cluster_id)
