@@ -21,6 +21,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -134,7 +135,7 @@ class WordTokenizer:
     #: Unicode white space, which the file's pattern \s stands for.
     SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -198,7 +199,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         tok, out = tokenizer(path), []
         for t in texts:
             n, ids, labels = tok.encode(t or "")
-            out.append({"n_tokens": n, "ids": [int(i) for i in ids.split()], "decoded": labels})
+            out.append({"n_tokens": n, "ids": np.array(ids.split(), np.int32), "decoded": labels})
         return out
 
     return with_struct(docs, text_udf(run, "struct<n_tokens: bigint, ids: array<int>, decoded: string>")(docs[text]), list(keep))

@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_udf(fn: Callable[[list], list], returns: str, deterministic: bool = False):
-    """Arrow function over one column: fn gets the batch as a Python list and gives as many results.
+def text_udf(fn: Callable[[list], list], returns: str, rows: int = 256):
+    """Arrow function over one column: fn gets at most `rows` values as a Python list and gives as many results.
 
-    Marked non-deterministic by default, so that a filter on the result is not
+    A batch is worked through in such slices, so that its results are Python objects a few at a time only.
+
+    Marked non-deterministic, so that a filter on the result is not
     pushed below it and the work done twice.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -41,10 +43,10 @@ def text_udf(fn: Callable[[list], list], returns: str, deterministic: bool = Fal
     arrow = to_arrow_type(DataType.fromDDL(returns))
 
     def run(col: pa.Array) -> pa.Array:
-        return pa.array(fn(col.to_pylist()), type=arrow)
+        parts = [pa.array(fn(col.slice(lo, rows).to_pylist()), type=arrow) for lo in range(0, len(col), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
 
-    udf = F.arrow_udf(run, returns)
-    return udf if deterministic else udf.asNondeterministic()
+    return F.arrow_udf(run, returns).asNondeterministic()
 
 
 def with_struct(df: DataFrame, result: Column, keep: list[str]) -> DataFrame:
