@@ -47,11 +47,14 @@ class MergeAutomaton:
         self.dropped_at: dict[tuple[int, int], int] = {}  # (state's token, dropped arc) -> time of the gadget
         self.built_at: dict[int, int] = {}
         self.first: dict[int, int] = {}
+        self.unreached: set[int] = set()
         self.lineage: dict[int, tuple[tuple[int, int], ...]] = {}  # token -> (token whose state it continues, until when)
         for time, (left, right) in enumerate(merges):
             self._gadget(time, vocab[left], vocab[right], vocab[left + right])
         self.trie: dict = {}
         for label, token in vocab.items():
+            if token in self.unreached:
+                continue
             last = label.endswith(word_end)
             node = self.trie
             for ch in label[:-len(word_end)] if last else label:
@@ -60,6 +63,9 @@ class MergeAutomaton:
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, time: int, a: int, b: int, c: int) -> None:
+        if a in self.unreached or b in self.unreached or not self._find(a, b):
+            self.unreached.add(c)  # no path reads b after a, so the merge never applies
+            return
         self.lineage[c] = ((c, _NEVER), *((t, min(until, time)) for t, until in self._state(b)))
         self.dropped_at[a, b] = time
         self.built_at[c] = time
