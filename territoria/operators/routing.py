@@ -69,19 +69,32 @@ def _tour_km(depot, pts, order):
 
 
 def two_opt(depot: np.ndarray, pts: np.ndarray, order: np.ndarray, eps_km: float = 1e-3) -> np.ndarray:
-    """R-03: segment reversals until no move gains more than eps (local optimum, Q13)."""
-    best = order.copy()
-    best_km = _tour_km(depot, pts, best)
-    improved = True
-    while improved:
-        improved = False
-        for i in range(1, len(best) - 2):
-            for j in range(i + 2, len(best) + 1):
-                cand = np.concatenate([best[:i], best[i:j][::-1], best[j:]])
-                km = _tour_km(depot, pts, cand)
-                if km < best_km - eps_km:
-                    best, best_km, improved = cand, km, True
-    return best
+    """R-03: segment reversals until no move gains more than eps (local optimum, Q13).
+
+    A reversal changes two edges only, so a move's gain is two old edges less
+    two new ones.  For each start the gains of all ends are one vector; the
+    best of them is taken.  The tour's coordinates are kept in tour order and
+    no distance matrix is built, so memory is linear in the stops.
+    """
+    tour = np.concatenate([[-1], order, [-1]])
+    xy = np.vstack([depot, pts[order], depot]).astype(float)
+    stuck = 0
+    i, n = 0, len(order)
+    while n > 1 and stuck < n:
+        a, b = xy[i], xy[i + 1]
+        ends, after = xy[i + 2:-1], xy[i + 3:]
+        if len(ends):
+            gain = (_hav_np(a[0], a[1], b[0], b[1]) + _hav_np(ends[:, 0], ends[:, 1], after[:, 0], after[:, 1])
+                    - _hav_np(a[0], a[1], ends[:, 0], ends[:, 1]) - _hav_np(b[0], b[1], after[:, 0], after[:, 1]))
+            k = int(np.argmax(gain))
+            if gain[k] > eps_km:
+                cut = slice(i + 1, i + 3 + k)
+                xy[cut], tour[cut] = xy[cut][::-1].copy(), tour[cut][::-1].copy()
+                stuck = 0
+                continue
+        stuck += 1
+        i = (i + 1) % n
+    return tour[1:-1]
 
 
 def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str],
@@ -145,7 +158,7 @@ def leg_costs(legs: DataFrame, cache: DataFrame | None, kmh: float, alpha: float
     if cache is not None:
         c = (cache.select(*keys("origem_lat", "origem_lon", "destino_lat", "destino_lon"),
                           F.col("distancia_km").alias("_ckm"), F.col("tempo_min").alias("_cmin"))
-             .groupBy(*k).agg(F.min("_ckm").alias("_ckm"), F.min("_cmin").alias("_cmin")))
+             .groupBy(*k).agg(F.min(F.struct("_ckm", "_cmin")).alias("_c")).select(*k, "_c._ckm", "_c._cmin"))
         l2 = l2.join(c, k, "left")
     else:
         l2 = l2.withColumn("_ckm", F.lit(None).cast("double")).withColumn("_cmin", F.lit(None).cast("double"))

@@ -143,21 +143,26 @@ def manual_edit(target: DataFrame, edits: DataFrame, key: list[str], cols: list[
     return rest.unionByName(changed.select(*target.columns))
 
 
-# Derived tables dropped by each purge level (later levels include earlier ones).
+# Tables emptied by each purge level.
 PURGE_LEVELS = {
-    "routing": ["sales_subcluster", "sales_subcluster_pdv", "sales_routing_resumo"],
-    "assignment": ["sales_subcluster_vendedor", "sales_pdv_vendedor", "sales_vendedor_base"],
-    "clustering": ["cluster_setor", "cluster_setor_pdv", "cluster_centro", "cluster_run",
-                   "mkp_cluster_cep", "sales_clusterization_outliers"],
-    "preprocessing": ["pdvs", "enderecos_cache", "marketplace_cep"],
+    "assign_vendedores": ["sales_vendedor_base"],
+    "routing": ["sales_subcluster_pdv", "sales_subcluster", "sales_vendedor_base"],
+    "clusterization": ["sales_subcluster_pdv", "sales_subcluster", "cluster_setor_pdv", "cluster_setor", "cluster_run", "sales_vendedor_base"],
+    "preprocessing": ["sales_subcluster_pdv", "sales_subcluster", "cluster_setor_pdv", "cluster_setor", "cluster_run", "sales_vendedor_base"],
 }
-PURGE_ORDER = ["assignment", "routing", "clustering", "preprocessing"]
 
 
-def purge_level(tables: dict[str, DataFrame], level: str, tenant_id: int) -> dict[str, DataFrame]:
-    """K-09: remove a tenant's rows from every table at or below a stage; snapshots
-    and histories are never in the lists, so they are kept."""
-    idx = PURGE_ORDER.index(level)
-    drop = {t for lv in PURGE_ORDER[: idx + 1] for t in PURGE_LEVELS[lv]}
-    return {name: (df.filter(F.col("tenant_id") != F.lit(tenant_id)) if name in drop and "tenant_id" in df.columns
-                   else df) for name, df in tables.items()}
+def purge_level(tables: dict[str, DataFrame], level: str, tenant_id: int | None = None) -> dict[str, DataFrame]:
+    """K-09: remove a tenant's rows (no tenant: all rows) from the tables of a level.
+
+    Source points, caches, snapshots and histories are in no level.
+    """
+    if level not in PURGE_LEVELS:
+        raise ValueError(f"unknown purge level {level}")
+
+    def emptied(df: DataFrame) -> DataFrame:
+        if tenant_id is None:
+            return df.limit(0)
+        return df.filter(~F.col("tenant_id").eqNullSafe(F.lit(tenant_id)))
+
+    return {name: emptied(df) if name in PURGE_LEVELS[level] else df for name, df in tables.items()}

@@ -13,33 +13,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 
 
 def ranked(df: DataFrame, group: list[str], order: list, out: str = "rn",
-           partitions: int | None = None, materialize: bool = False) -> DataFrame:
+           partitions: int | None = None) -> DataFrame:
     """Row number 1..n per `group` in `order` (which must end in a unique id).
 
-    `materialize` checkpoints the sorted rows first: worth it inside iterative
-    loops over small tables whose input plan is expensive to recompute.
+    The range-partitioned rows are checkpointed once and both uses (positions
+    and per-partition counts) read that copy.  Two plans of the same range
+    exchange need not agree: after column pruning they are sampled apart and
+    their bounds differ, which would lose rows and shift ranks.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    # The order is total (it ends in a unique id) and the partition count is
-    # fixed, so partition ids and positions are the same on every recompute;
-    # both uses below share one range exchange (exchange reuse).
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    if materialize:
-        from ..session import cut_lineage
-        s = cut_lineage(s)
+    s = cut_lineage(s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     stats = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_mid0"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group else \
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # `stats` has one row per (partition, group): small, so this window is cheap.
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    # Null-safe on the group, so rows of the null group keep their ranks too.
+    stats = stats.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_off", "_mid0")
+    on = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     # Plain join: AQE broadcasts it at run time when its measured size is small.
-    j = s.join(stats.select("_pid", *group, "_off", "_mid0"), ["_pid", *group])
+    j = s.join(stats, on).drop("_p", *[f"_g{i}" for i in range(len(group))])
     return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1).cast("long")) \
         .drop("_pid", "_mid", "_off", "_mid0")
 

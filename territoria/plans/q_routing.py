@@ -82,7 +82,8 @@ legs as (
   from seq s join dep d on d.cluster_id = s.cluster_id where s.so = s.n_r),
 cache as (
   select round(origem_lat, 6) as k1, round(origem_lon, 6) as k2, round(destino_lat, 6) as k3, round(destino_lon, 6) as k4,
-         min(distancia_km) as ckm, min(tempo_min) as cmin
+         min(struct_pack(a := distancia_km, b := tempo_min)).a as ckm,
+         min(struct_pack(a := distancia_km, b := tempo_min)).b as cmin
   from route_cache group by 1, 2, 3, 4),
 costed as (
   select l.*,

@@ -85,12 +85,13 @@ def scan_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv_ptbr(df: DataFrame, path: str, decimals: int = 2) -> None:
-    """K-11: `;` separator, decimal comma, fixed decimals, BOM-prefixed header
+    """K-11: `;` separator, decimal comma, no thousands mark, fixed decimals, BOM-prefixed header
     (so spreadsheet tools read UTF-8)."""
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float", "decimal"):
-            out.append(F.translate(F.format_number(F.col(f.name), decimals), ",.", ".,").alias(f.name))
+            fixed = F.round(F.col(f.name), decimals).cast(f"decimal(38,{decimals})").cast("string")
+            out.append(F.translate(fixed, ".", ",").alias(f.name))
         else:
             out.append(F.col(f.name))
     cols = [c for c in df.columns]

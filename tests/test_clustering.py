@@ -86,7 +86,7 @@ def test_active_balanced_sectors(spark):
 def test_purge_keeps_other_tenants(spark):
     from territoria.operators.tables import purge_level
     pts = fx.points(spark, SF_SMALL)
-    out = purge_level({"pdvs": pts, "cluster_setor_pdv": pts, "historico_pdv_jobs": pts}, "clustering", 1)
+    out = purge_level({"pdvs": pts, "cluster_setor_pdv": pts, "historico_pdv_jobs": pts}, "clusterization", 1)
     assert out["cluster_setor_pdv"].filter(F.col("tenant_id") == 1).count() == 0
     assert out["pdvs"].count() == pts.count()                # preprocessing level not reached
     assert out["historico_pdv_jobs"].count() == pts.count()  # histories are kept

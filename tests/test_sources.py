@@ -62,7 +62,7 @@ def test_writers(spark):
     files.write_csv_ptbr(df, os.path.join(d, "csv"))
     text = "".join(open(os.path.join(d, "csv", f), encoding="utf-8").read()
                    for f in sorted(os.listdir(os.path.join(d, "csv"))) if f.endswith(".csv"))
-    assert "1.234,50" in text and ";" in text
+    assert "1234,50" in text and ";" in text
     rej = df.withColumn("motivo_invalidade", F.lit("numero"))
     assert files.write_rejects(rej, os.path.join(d, "rej"))
     assert not files.write_rejects(rej.filter("false"), os.path.join(d, "rej2"))
