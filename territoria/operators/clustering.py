@@ -280,7 +280,7 @@ def _cell_id(a, b):
 
 
 def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_id",
-           by: tuple[str, ...] = (), max_rounds: int = 50) -> DataFrame:
+           by: tuple[str, ...] = ()) -> DataFrame:
     """C-13: density clusters with eps in degrees (eps_km / 111, planar), every point labelled.
 
     * fine cells of side eps/sqrt(2): all points of a cell are neighbours, so a
@@ -333,12 +333,14 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
                      _cell_id(F.col("_na"), F.col("_nb")).alias("_v")).distinct())
     edges = cut_lineage(edges.unionByName(edges.select(*by, F.col("_v").alias("_u"), F.col("_u").alias("_v"))))
     lab = cut_lineage(core_cells.select(*by, F.col("_cell").alias("_u"), F.col("_cell").alias("_lab")))
-    for _ in range(max_rounds):
+    while True:  # until nothing changes; a label's own label is taken over too, so long chains need few rounds
         prop = (edges.join(lab.withColumnRenamed("_u", "_v").withColumnRenamed("_lab", "_vl"), [*by, "_v"])
                 .groupBy(*by, "_u").agg(F.min("_vl").alias("_m")))
         new = (lab.join(prop, [*by, "_u"], "left")
                .select(*by, "_u", F.least("_lab", F.coalesce("_m", "_lab")).alias("_lab")))
         new = cut_lineage(new)
+        further = new.select(*by, F.col("_u").alias("_lab"), F.col("_lab").alias("_far"))
+        new = cut_lineage(new.join(further, [*by, "_lab"]).select(*by, "_u", F.least("_lab", "_far").alias("_lab")))
         changed = new.join(lab.withColumnRenamed("_lab", "_old"), [*by, "_u"]).filter(
             F.col("_lab") != F.col("_old")).limit(1).count()
         lab = new
