@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, travel_min
 from ..session import cut_lineage
-from .lloyd import kmeans
+from .lloyd import MAX_ROUNDS, kmeans
 from .spatial import pairs_within
 from .windows import ranked
 
@@ -43,7 +43,7 @@ def cluster_fitness(assigned: DataFrame, key: list[str], kmh: float, weight: str
 
 
 def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_max_min: float, kmh: float,
-                    max_tries: int = 10, batch: int = 4, lloyd_iter: int = 15,
+                    max_tries: int = 10, batch: int = 4, lloyd_iter: int = MAX_ROUNDS,
                     pid: str = "pdv_id", k0: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """C-07 (and the k search of C-15): k starts at `k0` (default ceil(n / cap))
     per group and grows by one until the largest cluster fits `cap` (if given)
@@ -436,7 +436,7 @@ def dense_subset(points: DataFrame, cap: int, group: list[str], pid: str = "pdv_
 # ----------------------------------------------------------------- C-08 / C-10
 def kmeans_balanced(points: DataFrame, group: list[str], k: DataFrame, cap: int, kmh: float,
                     service_min: float, tempo_max_min: float, pid: str = "pdv_id",
-                    lloyd_iter: int = 15) -> tuple[DataFrame, DataFrame]:
+                    lloyd_iter: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """C-08: Lloyd, then every cluster above `cap` is split once into ceil(n/cap)
     (grouped Lloyd keyed by the parent label); a route estimate (nearest-neighbour
     tour from the cluster centre + service) marks each cluster OK or EXCEDIDO.
@@ -468,34 +468,43 @@ def kmeans_balanced(points: DataFrame, group: list[str], k: DataFrame, cap: int,
 
 
 def recluster_recursive(points: DataFrame, group: list[str], label: str, cap: int, tempo_max_min: float,
-                        kmh: float, max_levels: int = 8, pid: str = "pdv_id") -> DataFrame:
+                        kmh: float, pid: str = "pdv_id") -> DataFrame:
     """C-10: clusters over the size limit max(4, cap) or the time limit are split
-    in two, level by level (all failing clusters of a level in one job);
-    labels grow hierarchically (`3.1.0`).  Leaves that still fail are kept (Q11)."""
+    in two, level by level (all failing clusters of a level in one job), until
+    every cluster fits or cannot be split (one point, or all points in one
+    place); labels grow hierarchically (`3.1.0`).  Leaves that still fail are
+    kept with status EXCEDIDO (Q11), the others are OK."""
     limit = max(4, cap)
-    cur = cut_lineage(points.select(*group, pid, "lat", "lon", F.col(label).cast("string").alias("_lab")))
-    for _ in range(max_levels):
-        cen = cur.groupBy(*group, "_lab").agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"),
+    key = [*group, "_lab"]
+    cur = cut_lineage(points.select(*group, pid, "lat", "lon", F.col(label).cast("string").alias("_lab"),
+                                    F.lit(False).alias("_whole")))
+    while True:
+        cen = cur.groupBy(*key, "_whole").agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"),
                                               F.count(F.lit(1)).alias("_n"))
-        j = cur.join(cen, [*group, "_lab"])
-        fit = j.groupBy(*group, "_lab", "_n").agg(
+        fit = cur.drop("_whole").join(cen, key).groupBy(*key, "_n", "_whole").agg(
             F.max(travel_min(haversine_km("lat", "lon", "_clat", "_clon"), kmh)).alias("_t"))
-        bad = cut_lineage(fit.filter(((F.col("_n") > limit) | (F.col("_t") > tempo_max_min)) & (F.col("_n") >= 2))
-                          .select(*group, "_lab").withColumn("k", F.lit(2)))
+        fit = cut_lineage(fit.select(*key, "_n", "_whole",
+                                     ((F.col("_n") > limit) | (F.col("_t") > tempo_max_min)).alias("_over")))
+        bad = fit.filter(F.col("_over") & ~F.col("_whole") & (F.col("_n") >= 2)).select(*key, F.lit(2).alias("k"))
         if bad.isEmpty():
             break
-        pts = cur.join(bad.select(*group, "_lab"), [*group, "_lab"])
-        res, _ = kmeans(pts, bad, [*group, "_lab"], pid=pid, max_iter=15)
-        split = res.select(*group, pid, "lat", "lon",
-                           F.concat_ws(".", F.col("_lab"), F.col("c").cast("string")).alias("_lab"))
-        cur = cut_lineage(cur.join(bad.select(*group, "_lab"), [*group, "_lab"], "left_anti").unionByName(split))
-    return cur.withColumnRenamed("_lab", "cluster_label")
+        res, _ = kmeans(cur.join(bad.select(*key), key), bad, key, pid=pid)
+        res = cut_lineage(res.select(*key, pid, "lat", "lon", "c"))
+        parts = res.groupBy(*key).agg((F.min("c") == F.max("c")).alias("_whole"))
+        split = res.join(parts, key).select(
+            *group, pid, "lat", "lon",
+            F.when(F.col("_whole"), F.col("_lab")).otherwise(F.concat_ws(".", F.col("_lab"), F.col("c").cast("string"))).alias("_lab"),
+            "_whole")
+        rest = cur.join(bad.select(*key), key, "left_anti").select(*split.columns)
+        cur = cut_lineage(rest.unionByName(split))
+    status = F.when(F.col("_over"), F.lit("EXCEDIDO")).otherwise(F.lit("OK")).alias("status")
+    return cur.drop("_whole").join(fit.select(*key, status), key).withColumnRenamed("_lab", "cluster_label")
 
 
 # ----------------------------------------------------------------- C-19
 def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min: float, kmh: float,
                    drop_outliers: bool = False, z: float = 1.5, pid: str = "pdv_id",
-                   max_tries: int = 8) -> tuple[DataFrame, DataFrame]:
+                   max_tries: int = 10) -> tuple[DataFrame, DataFrame]:
     """C-19: de-duplicate by (lat, lon, cnpj) keeping the last row, flag outliers
     (optionally drop them), capacity k-search, labels 0..k-1 per group, then the
     sectors with centre and metrics.  Returns (sectors, point -> sector)."""
@@ -522,7 +531,7 @@ def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min:
 
 # ----------------------------------------------------------------- C-18
 def active_balanced(points: DataFrame, centres: DataFrame, min_pdv: int, max_pdv: int, tempo_max_min: float,
-                    kmh: float, merge_km: float, rounds: int = 6, pid: str = "pdv_id",
+                    kmh: float, merge_km: float, rounds: int = 10, pid: str = "pdv_id",
                     centre_id: str = "centro_id") -> tuple[DataFrame, DataFrame]:
     """C-18: fixed centres (already geocoded), one centre per distinct coordinate,
     every point to its nearest centre (J-07), balancing (C-16), labels 0..k-1

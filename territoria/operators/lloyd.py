@@ -12,8 +12,10 @@ squared degrees, as in the reference's k-means on raw coordinates.
   expression, so points are never grouped or shuffled by point;
 * update: `avg` per (group, c), rounded to 6 decimals; an empty cluster keeps
   its centre;
-* stop when no centre moved or after `max_iter` rounds; the centre table is
-  checkpointed to the shared folder every round so lineage stays short.
+* stop when the centres of every group moved by at most `TOLERANCE` of the group's
+  variance (squared shifts against the mean variance of the coordinates); `MAX_ROUNDS`
+  is the user's limit.  The centre table is checkpointed to the shared folder every
+  round so lineage stays short.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ..session import cut_lineage
 from .windows import ranked
 
 DIGITS = 6
+MAX_ROUNDS = 300
+TOLERANCE = 1e-4
 
 
 def init_centres(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id") -> DataFrame:
@@ -140,7 +144,7 @@ def update(assigned: DataFrame, old: DataFrame, group: list[str], label: str = "
     return j.select(*group, "c", F.coalesce("_nlat", "lat").alias("lat"), F.coalesce("_nlon", "lon").alias("lon"))
 
 
-def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id", max_iter: int = 20,
+def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id", max_iter: int = MAX_ROUNDS,
            fixed_iter: bool = False, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run grouped Lloyd; returns (points with `c`, centres).
 
@@ -153,12 +157,16 @@ def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id
     cen = cut_lineage(init_centres(pts, k, group, pid))
     k_max = k.agg(F.max("k")).first()[0] or 0
     edge = grid_edge(cen, group) if k_max > ARRAY_K_MAX else None  # centres move little: size cells once
+    slack = None if fixed_iter else cut_lineage(pts.groupBy(*group).agg(
+        (F.lit(TOLERANCE / 2) * (F.var_pop("lat") + F.var_pop("lon"))).alias("_slack")))
     for _ in range(max_iter):
         a = assign(pts, cen, group, k_max=k_max, edge=edge)
         new = cut_lineage(update(a, cen, group, weight=weight))
         if not fixed_iter:
             moved = (new.alias("n").join(cen.alias("o"), [*group, "c"])
-                     .filter((F.col("n.lat") != F.col("o.lat")) | (F.col("n.lon") != F.col("o.lon"))).limit(1).count())
+                     .groupBy(*group).agg(F.sum(F.pow(F.col("n.lat") - F.col("o.lat"), 2)
+                                                + F.pow(F.col("n.lon") - F.col("o.lon"), 2)).alias("_shift"))
+                     .join(slack, group).filter(F.col("_shift") > F.col("_slack")).limit(1).count())
             cen = new
             if moved == 0:
                 break

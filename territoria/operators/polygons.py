@@ -18,8 +18,6 @@ from ..functions.geo import valid_coord
 from ..functions.text import city_key
 
 BANDS = 64
-# Polygons (one row per city) broadcast only below this many rows.
-POLY_BROADCAST_ROWS = 200_000
 
 
 def polygon_edges(vertices: DataFrame, keys: list[str], ring: str | None = None) -> DataFrame:
@@ -45,15 +43,7 @@ def point_in_polygon(points: DataFrame, vertices: DataFrame, pid: str, keys: lis
     e = (edges.join(boxes, keys)
          .withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
          .select(*keys, "_band", "x1", "y1", "x2", "y2"))
-    n_poly = None
-    bx = boxes
-    try:
-        n_poly = boxes.count()
-    except Exception:  # noqa: BLE001
-        n_poly = None
-    if n_poly is not None and n_poly <= POLY_BROADCAST_ROWS:
-        bx = F.broadcast(boxes)
-    p = points.join(bx, keys, "left")
+    p = points.join(boxes, keys, "left")
     inbox = (F.col(lat) >= F.col("_ymin")) & (F.col(lat) <= F.col("_ymax")) \
         & (F.col(lon) >= F.col("_xmin")) & (F.col(lon) <= F.col("_xmax"))
     p = p.withColumn("_has", F.col("_ymin").isNotNull()).withColumn("_inbox", F.coalesce(inbox, F.lit(False)))

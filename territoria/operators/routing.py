@@ -223,10 +223,10 @@ def multi_stop_cost(stops: DataFrame, route: list[str], order: str, cache: DataF
 
 
 def split_routes(points: DataFrame, cluster: list[str], k: DataFrame, pid: str = "pdv_id",
-                 lloyd_iter: int = 15) -> DataFrame:
+                 lloyd_iter: int | None = None) -> DataFrame:
     """R-06: every cluster cut into its k routes by grouped Lloyd (all clusters in one job)."""
-    from .lloyd import kmeans
-    res, _ = kmeans(points, k, cluster, pid=pid, max_iter=lloyd_iter)
+    from .lloyd import MAX_ROUNDS, kmeans
+    res, _ = kmeans(points, k, cluster, pid=pid, max_iter=lloyd_iter or MAX_ROUNDS)
     return res.withColumn("subcluster_seq", (F.col("c") + 1).cast("int")).drop("c", "_d2")
 
 
@@ -250,26 +250,27 @@ def plan_routes(points: DataFrame, depots: DataFrame, cluster: list[str], dias:
 
 def split_until_feasible(points: DataFrame, depots: DataFrame, cluster: list[str], max_min: float,
                          max_km: float, kmh: float, service_min: float, alpha: float,
-                         max_rounds: int = 10, pid: str = "pdv_id", k_start: int = 1,
+                         pid: str = "pdv_id", k_start: int = 1,
                          batch: int = 4) -> tuple[DataFrame, DataFrame]:
-    """R-07 (and C-09 with `k_start`): k = k_start, k_start+1, ... per cluster until
-    every route fits `max_min` and `max_km` or k = n (then the last k is kept).
-
-    `batch` candidate k values per cluster are planned in one job, with
-    (cluster, k) as the planning key; only clusters without a feasible k go on
-    to the next batch.
+    """R-07 (and C-09 with `k_start`): the smallest k >= k_start per cluster whose
+    every route fits `max_min` and `max_km`, or k = n; the routes carry `status`
+    (OK, or EXCEDIDO where even one stop a route does not fit).
+
+    A route lasts at least its stops' service time, so k below
+    n * service_min / max_min is skipped.  Several candidate k values per cluster
+    are planned in one job, with (cluster, k) as the planning key; only clusters
+    without a feasible k go on, with twice as many candidates each time.
     """
     n = points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"))
-    pending = cut_lineage(n.select(*cluster, F.least(F.lit(k_start), F.col("_n")).alias("_k0"), "_n"))
+    # one unit less than the bound, so that rounding cannot skip a feasible k
+    least = F.greatest(F.lit(k_start).cast("long"), F.ceil(F.col("_n") * F.lit(service_min / max_min)) - 1)
+    pending = cut_lineage(n.select(*cluster, F.least(least, F.col("_n")).alias("_k0"), "_n"))
+    key = [*cluster, "k"]
     routes_out, stops_out = None, None
-    tried = 0
-    while tried < max_rounds:
-        width = min(batch, max_rounds - tried)
+    while not pending.isEmpty():
         cands = cut_lineage(
-            pending.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-            .withColumn("k", F.least(F.col("_k0") + F.col("_j"), F.col("_n")).cast("int"))
-            .select(*cluster, "k", "_n").dropDuplicates([*cluster, "k"]))
-        key = [*cluster, "k"]
+            pending.withColumn("k", F.explode(F.sequence("_k0", F.least(F.col("_k0") + F.lit(batch - 1), F.col("_n")))))
+            .select(*cluster, F.col("k").cast("int").alias("k"), "_n"))
         pts = points.join(cands.select(*key), cluster)
         dep = depots.join(cands.select(*key), cluster)
         totals, seq = plan_routes(pts, dep, key, 1, 1, kmh, service_min, alpha, improve=False, pid=pid,
@@ -277,20 +278,15 @@ def split_until_feasible(points: DataFrame, depots: DataFrame, cluster: list[str
         totals = cut_lineage(totals)
         fit = (totals.groupBy(*key).agg(F.max("tempo_total_min").alias("_t"), F.max("dist_total_km").alias("_d"))
                .join(cands, key)
-               .withColumn("_ok", ((F.col("_t") <= max_min) & (F.col("_d") <= max_km)) | (F.col("k") >= F.col("_n"))))
-        last = tried + width >= max_rounds
-        pick = fit.filter("_ok").groupBy(*cluster).agg(F.min("k").alias("_kf"))
-        if last:
-            pick = (fit.groupBy(*cluster).agg(F.max("k").alias("_kmax")).join(pick, cluster, "left")
-                    .select(*cluster, F.coalesce("_kf", "_kmax").alias("_kf")))
-        pick = cut_lineage(pick.withColumnRenamed("_kf", "k"))
+               .withColumn("_fits", (F.col("_t") <= max_min) & (F.col("_d") <= max_km)))
+        pick = cut_lineage(fit.filter(F.col("_fits") | (F.col("k") >= F.col("_n"))).groupBy(*cluster)
+                           .agg(F.min(F.struct("k", "_fits")).alias("_p"))
+                           .select(*cluster, "_p.k", F.when(F.col("_p._fits"), F.lit("OK")).otherwise(F.lit("EXCEDIDO")).alias("status")))
         r = totals.join(pick, key).withColumnRenamed("k", "k_final")
-        st = seq.join(pick, key).withColumnRenamed("k", "k_final")
+        st = seq.join(pick.select(*key), key).withColumnRenamed("k", "k_final")
         routes_out = r if routes_out is None else routes_out.unionByName(r)
         stops_out = st if stops_out is None else stops_out.unionByName(st)
         pending = cut_lineage(pending.join(pick.select(*cluster), cluster, "left_anti")
-                              .withColumn("_k0", F.col("_k0") + width))
-        tried += width
-        if pending.isEmpty():
-            break
+                              .withColumn("_k0", F.least(F.col("_k0") + F.lit(batch), F.col("_n"))))
+        batch *= 2
     return routes_out, stops_out

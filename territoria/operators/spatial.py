@@ -8,9 +8,8 @@ candidate found inside the neighbourhood that is closer than that bound is
 provably the true answer.  Points whose answer is not yet proven move on to a
 coarser level (edge x4); the last level has edge 2 and covers the whole
 sphere, so the search always ends exact.  Each level is an equi-join on the
-cell key: Catalyst plans it as a broadcast hash join when the centre side is
-small (its size is checked first) and as a sort-merge join otherwise, with AQE
-splitting skewed cells.
+cell key: the adaptive plan broadcasts the centre side where its measured bytes
+are few and else sort-merges, splitting skewed cells.
 """
 
 from __future__ import annotations
@@ -26,9 +25,6 @@ from ..functions.geo import chord_for_km, haversine_km, km_for_chord, unit_xyz
 from ..session import cut_lineage
 
 OFFSETS = list(product((-1, 0, 1), repeat=3))
-# Rows of (exploded) centre cells we are willing to broadcast; above it the
-# join falls back to a shuffle join on the cell key.
-BROADCAST_ROW_LIMIT = 2_000_000
 _SAFETY = 1.0 - 1e-9
 _MIN_CELL = chord_for_km(0.01)
 
@@ -107,10 +103,8 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
     c = c.groupBy(*by, "_clat", "_clon").agg(F.min("_cid").alias("_cid"))
     if cell_km is not None:
         s0 = chord_for_km(cell_km)
-        n_c = None
     else:
-        s0, n_c = _spacing_chord(c, "_clat", "_clon", per_cell=2.0, by=by)
-    small = n_c is not None and n_c * len(OFFSETS) <= BROADCAST_ROW_LIMIT
+        s0, _ = _spacing_chord(c, "_clat", "_clon", per_cell=2.0, by=by)
 
     cols = points.columns
     cur = points
@@ -121,8 +115,6 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
         cc = _neighbour_cells(cc, "_k")
         cells = (cc.groupBy(*by, "_kx", "_ky", "_kz")
                  .agg(F.collect_list(F.struct("_cid", "_clat", "_clon")).alias("_cands")))
-        if small:
-            cells = F.broadcast(cells)
         p = cur.select("*", *_cell_cols(F.col(lat), F.col(lon), s, "_k"))
         j = p.join(cells, on=[*by, "_kx", "_ky", "_kz"], how="left")
         scored = j.withColumn("_best", F.array_min(F.transform(

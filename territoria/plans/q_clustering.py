@@ -151,7 +151,7 @@ def q_kmeans_capacity(spark, sf_dir):
     within 30 minutes of their centre; candidate k values evaluated in batches."""
     from ..operators.clustering import kmeans_capacity
     pts = fx.points(spark, sf_dir).select("pdv_id", "zona", "lat", "lon")
-    return kmeans_capacity(pts, ["zona"], CAP_PURE, TEMPO_PURE, KMH, max_tries=8, batch=4)
+    return kmeans_capacity(pts, ["zona"], CAP_PURE, TEMPO_PURE, KMH, batch=4)
 
 
 BAL_MIN, BAL_MAX, BAL_TEMPO, BAL_MERGE = 5, 25, 60.0, 50.0
@@ -165,7 +165,7 @@ def q_balance_fixed_centres(spark, sf_dir):
     pts = fx.points(spark, sf_dir)
     cen = fx.centers(spark, sf_dir).select(F.col("centro_id").alias("label"), "lat", "lon")
     start = nearest(pts, cen, "label", out_id="label").select("pdv_id", "lat", "lon", "label")
-    a, kept = balance_points(start, cen, BAL_MIN, BAL_MAX, BAL_TEMPO, KMH, BAL_MERGE, rounds=6)
+    a, kept = balance_points(start, cen, BAL_MIN, BAL_MAX, BAL_TEMPO, KMH, BAL_MERGE)
     return a.select("pdv_id", F.col("label").alias("centro_id"))
 
 
@@ -209,7 +209,7 @@ def q_cep_clusters_by_time(spark, sf_dir):
     p = fx.points(spark, sf_dir).select(
         F.lpad(((F.col("pdv_id") * 6553) % 100000000).cast("string"), 8, "0").alias("cep"), "lat", "lon")
     ceps = m.join(p, "cep").select("tenant_id", "cep", "lat", "lon", "clientes_total", "clientes_target")
-    out = cluster_ceps_by_time(ceps, ["tenant_id"], 40.0, KMH, max_tries=6)
+    out = cluster_ceps_by_time(ceps, ["tenant_id"], 40.0, KMH)
     return out.select("tenant_id", "cep", "cluster_id", "k_final", F.round("cluster_lat", 6).alias("cluster_lat"),
                       F.round("cluster_lon", 6).alias("cluster_lon"), F.round("distancia_km", 3).alias("distancia_km"),
                       F.round("tempo_min", 3).alias("tempo_min"), "is_outlier")
@@ -230,7 +230,7 @@ def q_recluster_recursive(spark, sf_dir):
     """C-10: zones split in two, level by level, until every cluster holds <= 20 points within 30 minutes."""
     from ..operators.clustering import recluster_recursive
     pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "zona", "lat", "lon")
-    return recluster_recursive(pts, ["tenant_id"], "zona", 20, 30.0, KMH, max_levels=6)
+    return recluster_recursive(pts, ["tenant_id"], "zona", 20, 30.0, KMH)
 
 
 @register("refine_by_workload")
@@ -240,7 +240,7 @@ def q_refine_by_workload(spark, sf_dir):
     p = fx.points(spark, sf_dir).select("pdv_id", F.col("zona").alias("cluster_id"), "lat", "lon")
     dep = p.groupBy("cluster_id").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
     totals, _ = R.split_until_feasible(p, dep, ["cluster_id"], 480.0, 200.0, KMH, 10.0, 1.3,
-                                       max_rounds=4, k_start=21 // 4)
+                                       k_start=21 // 4)
     return totals
 
 
@@ -249,7 +249,7 @@ def q_run_clustering(spark, sf_dir):
     """C-19: dedupe, outlier flags, capacity k-search per tenant, sectors with centres and metrics."""
     from ..operators.clustering import run_clustering
     pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "cnpj", "lat", "lon")
-    sectors, _ = run_clustering(pts, ["tenant_id"], 60, 90.0, KMH, max_tries=4)
+    sectors, _ = run_clustering(pts, ["tenant_id"], 60, 90.0, KMH)
     return sectors
 
 
@@ -264,7 +264,7 @@ def q_balance_ceps(spark, sf_dir):
     ceps = m.join(p, "cep")
     cen = fx.centers(spark, sf_dir).select(F.col("centro_id").alias("label"), "lat", "lon")
     start = nearest(ceps, cen, "label", out_id="label").select("pdv_id", "cep", "lat", "lon", "label")
-    a, kept = balance_points(start.drop("cep"), cen, 8, 30, 60.0, KMH, 50.0, rounds=5, undersize="merge_nearest")
+    a, kept = balance_points(start.drop("cep"), cen, 8, 30, 60.0, KMH, 50.0, undersize="merge_nearest")
     return a.join(start.select("pdv_id", "cep"), "pdv_id").select("cep", F.col("label").alias("centro_id"))
 
 
@@ -274,5 +274,5 @@ def q_active_balanced(spark, sf_dir):
     dense labels and sector metrics."""
     from ..operators.clustering import active_balanced
     sectors, _ = active_balanced(fx.points(spark, sf_dir), fx.centers(spark, sf_dir), BAL_MIN, BAL_MAX,
-                                 BAL_TEMPO, KMH, BAL_MERGE, rounds=4)
+                                 BAL_TEMPO, KMH, BAL_MERGE)
     return sectors

@@ -156,7 +156,7 @@ def q_plan_routing(spark, sf_dir):
 def q_routes_until_feasible(spark, sf_dir):
     """R-07: per zone, the smallest number of routes whose every route fits 8 hours and 250 km."""
     p, dep = _zone_points(spark, sf_dir)
-    totals, _ = R.split_until_feasible(p, dep, ["cluster_id"], 480.0, 250.0, KMH, SERVICE, ALPHA, max_rounds=6)
+    totals, _ = R.split_until_feasible(p, dep, ["cluster_id"], 480.0, 250.0, KMH, SERVICE, ALPHA)
     return totals
 
 

@@ -90,3 +90,14 @@ def test_purge_keeps_other_tenants(spark):
     assert out["cluster_setor_pdv"].filter(F.col("tenant_id") == 1).count() == 0
     assert out["pdvs"].count() == pts.count()                # preprocessing level not reached
     assert out["historico_pdv_jobs"].count() == pts.count()  # histories are kept
+
+
+def test_recluster_ends_and_marks_what_cannot_be_split(spark):
+    from territoria.operators.clustering import recluster_recursive
+    rows = [(i, 1, 0, -10.0, -40.0) for i in range(9)] + [(100 + i, 1, 1, -10.0 - 0.1 * (i % 3), -41.0) for i in range(12)]
+    p = spark.createDataFrame(rows, "pdv_id long, t long, zona long, lat double, lon double")
+    out = recluster_recursive(p, ["t"], "zona", 5, 60.0, 35.0)
+    assert out.count() == 21
+    n = {(r["cluster_label"], r["status"]): r["count"] for r in out.groupBy("cluster_label", "status").count().collect()}
+    assert n[("0", "EXCEDIDO")] == 9  # all in one place
+    assert all(v <= 5 for (lab, s), v in n.items() if s == "OK") and all(lab == "0" for lab, s in n if s != "OK")

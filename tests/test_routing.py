@@ -47,3 +47,14 @@ def test_sequence_is_permutation(spark):
 def test_until_feasible(spark):
     totals = E.queries()["routes_until_feasible"](spark, SF_SMALL)
     assert totals.agg(F.sum("n_pdvs")).first()[0] == fx.points(spark, SF_SMALL).count()
+
+
+def test_until_feasible_goes_on_to_n(spark):
+    rows = [(i, 1, -10.0 + 0.5 * (i % 5), -40.0 + 0.5 * (i // 5)) for i in range(15)] + [(99, 2, -10.0, -40.001)]
+    p = spark.createDataFrame(rows, "pdv_id long, cluster_id long, lat double, lon double")
+    dep = spark.createDataFrame([(1, -9.0, -39.0), (2, -10.0, -40.0)], "cluster_id long, lat double, lon double")
+    totals, stops = R.split_until_feasible(p, dep, ["cluster_id"], 1.0, 1.0, 35.0, 0.1, 1.3)
+    got = {r["cluster_id"]: (r["k"], r["s"], r["n"]) for r in totals.groupBy("cluster_id").agg(
+        F.max("k_final").alias("k"), F.min("status").alias("s"), F.sum("n_pdvs").alias("n")).collect()}
+    assert got == {1: (15, "EXCEDIDO", 15), 2: (1, "OK", 1)}
+    assert stops.count() == 16
