@@ -280,3 +280,16 @@ def test_quality_ledger(spark):
     for rule in quality_ledger.RULES:
         mask = quality_ledger.mask_of(quality_ledger.POLICIES["prose-2"])
         assert alone[rule] == full.where((F.col("failure_bits").bitwiseAND(mask)) == quality_ledger.mask_of((rule,))).count()
+
+
+def test_a_linked_pair_does_not_keep_its_whole_block():
+    import numpy as np
+    from territoria.llm import ngram_jaccard as nj
+
+    word = lambda i: f"w{i * 7919 % 10007}"
+    twin = " ".join(word(i) for i in range(300))
+    texts = [twin, twin + " more", *(" ".join(word(i + 400 * k) for i in range(301)) for k in range(1, 9))]
+    sets = sorted(map(nj.shingles, texts), key=len)
+    stay = nj._ruled_in(np.array([len(s) for s in sets]), [np.frombuffer(nj.sketch(s), np.uint8) for s in sets])
+    linked = [any(nj.linked(len(np.intersect1d(a, b)), len(a), len(b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    assert sum(linked) == 2 and stay.tolist() == linked
