@@ -79,7 +79,7 @@ class MergeAutomaton:
         key = token << 20 | arc
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 500_000:
                 self.arcs.clear()
             known = self.arcs[key] = self._find(token, arc)
         return known
@@ -141,7 +141,7 @@ class WordTokenizer:
     #: Unicode white space, which the file's pattern \s stands for.
     SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 50_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
