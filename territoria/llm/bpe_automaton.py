@@ -141,7 +141,7 @@ class WordTokenizer:
     #: Unicode white space, which the file's pattern \s stands for.
     SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
-    def __init__(self, path: str, cache: int = 50_000):
+    def __init__(self, path: str, cache: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
