@@ -7,7 +7,9 @@ fewer than min_docs documents of the leaf have at that place is variable and bec
 wildcard; lines with the same remaining fields share a template, provided that at least
 `similarity` of the fields are constant.  A template found in min_docs documents or more
 recurs: its lines are dropped, but for those in the document with the smallest doc_id
-that has it, so no content leaves the corpus altogether.
+that has it, so no content leaves the corpus altogether.  Lines of LONG tokens or more
+recur from long_docs documents on, whole or as templates, since no such line stands in two
+documents by chance.
 
 The tree is never held in one place: its leaves and field counts are grouped rows, equal
 lines meet before the first shuffle, and per line a fixed number of hashes is moved, not
@@ -29,7 +31,8 @@ from territoria.llm.common import IdFilter, skew_join, text_udf, written
 
 LEADING = 3
 FIELDS = 16
-ROWS = "array<struct<line_no: int, is_first: boolean, leaf: bigint, line: bigint, fields: array<int>>>"
+LONG = 50
+ROWS = "array<struct<line_no: int, is_first: boolean, is_long: boolean, leaf: bigint, line: bigint, fields: array<int>>>"
 
 _DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 _SIGNED = 1 << 63
@@ -52,7 +55,7 @@ def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list
 
 
 def parsed_lines(docs: DataFrame, text: str, key: str, min_tokens: int, min_generalised: int) -> DataFrame:
-    """key, _row, line_no, is_first (within its document), leaf, line, fields: lines of at least min_tokens tokens."""
+    """key, _row, line_no, is_first (within its document), is_long, leaf, line, fields: lines of at least min_tokens tokens."""
     def run(texts: list) -> list:
         out = []
         for t in texts:
@@ -60,7 +63,7 @@ def parsed_lines(docs: DataFrame, text: str, key: str, min_tokens: int, min_gene
             for i, line in enumerate((t or "").split("\n")):
                 n, leaf, whole, fields = parse_line(line, min_generalised)
                 if n >= min_tokens:
-                    rows.append({"line_no": i, "is_first": whole not in seen, "leaf": leaf, "line": whole, "fields": fields})
+                    rows.append({"line_no": i, "is_first": whole not in seen, "is_long": n >= LONG, "leaf": leaf, "line": whole, "fields": fields})
                     seen.add(whole)
             out.append(rows)
         return out
@@ -69,33 +72,36 @@ def parsed_lines(docs: DataFrame, text: str, key: str, min_tokens: int, min_gene
     return lines.select(key, "_row", F.explode("_l").alias("_l")).select(key, "_row", "_l.*")
 
 
-def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float) -> DataFrame:
+def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float, long_docs: int = 2) -> DataFrame:
     """line, owner: every masked line whose template recurs, and the document that keeps it."""
-    forms = written(lines.where("is_first").groupBy("leaf", "line", "fields").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("owner")), "forms")
-    exact = forms.where(F.col("docs") >= min_docs).select("line", "owner")
-    several = forms.where(F.size("fields") > 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d")) \
-        .where((F.col("n") > 1) & (F.col("d") >= min_docs)).select("leaf")
+    least = F.when(F.col("is_long"), long_docs).otherwise(min_docs)
+    forms = written(lines.where("is_first").groupBy("leaf", "is_long", "line", "fields").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("owner")), "forms")
+    exact = forms.where(F.col("docs") >= least).select("line", "owner")
+    # The token count is part of the leaf, so the lines of a leaf are all long or all short.
+    several = forms.where(F.size("fields") > 0).groupBy("leaf", "is_long").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d")) \
+        .where((F.col("n") > 1) & (F.col("d") >= least)).select("leaf")
     busy = skew_join(forms.where(F.size("fields") > 0), several, ["leaf"])
-    fields = busy.select("leaf", "line", "docs", "owner", F.size("fields").alias("n_fields"), F.posexplode("fields").alias("at", "field"))
+    fields = busy.select("leaf", "is_long", "line", "docs", "owner", F.size("fields").alias("n_fields"), F.posexplode("fields").alias("at", "field"))
     fields = written(fields, "fields")
-    constant = fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("leaf", "at", "field")
+    constant = fields.groupBy("leaf", "is_long", "at", "field").agg(F.sum("docs").alias("d")).where(F.col("d") >= least).select("leaf", "at", "field")
     # At most FIELDS rows for each line meet here; variable fields are simply missing.
-    shape = skew_join(fields, constant, ["leaf", "at", "field"]).groupBy("leaf", "line", "docs", "owner", "n_fields") \
+    shape = skew_join(fields, constant, ["leaf", "at", "field"]).groupBy("leaf", "is_long", "line", "docs", "owner", "n_fields") \
         .agg(F.sort_array(F.collect_list(F.struct("at", "field"))).alias("shape"))
-    shape = shape.where(F.size("shape") >= similarity * F.col("n_fields")).select("line", "docs", "owner", F.xxhash64("leaf", "shape").alias("template"))
+    shape = shape.where(F.size("shape") >= similarity * F.col("n_fields")) \
+        .select("line", "is_long", "docs", "owner", F.xxhash64("leaf", "shape").alias("template"))
     shape = written(shape, "shape")
-    templates = shape.groupBy("template").agg(F.sum("docs").alias("d"), F.min("owner").alias("first")).where(F.col("d") >= min_docs)
-    general = skew_join(shape, templates.select("template", "first"), ["template"]).select("line", F.col("first").alias("owner"))
+    templates = shape.groupBy("template", "is_long").agg(F.sum("docs").alias("d"), F.min("owner").alias("first")).where(F.col("d") >= least)
+    general = skew_join(shape.drop("is_long"), templates.select("template", "first"), ["template"]).select("line", F.col("first").alias("owner"))
     return exact.unionByName(general).groupBy("line").agg(F.min("owner").alias("owner"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, similarity: float = 0.5, min_tokens: int = 4, min_generalised: int = 8,
-                   text: str = "text", key: str = "doc_id") -> DataFrame:
+                   text: str = "text", key: str = "doc_id", long_docs: int = 2) -> DataFrame:
     """All columns of docs, text without the recurring lines, and n_lines, n_dropped (which replace columns of these names)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_row")]
     docs = docs.select(*own).withColumn("_row", F.xxhash64(docs[key], docs[text]))
     lines = written(parsed_lines(docs, text, key, min_tokens, min_generalised), "lines")
-    keys = recurring_lines(lines, key, min_docs, similarity)
+    keys = recurring_lines(lines, key, min_docs, similarity, long_docs)
     hit = skew_join(lines.select(key, "_row", "line_no", "line"), keys, ["line"]).where(~F.col(key).eqNullSafe(F.col("owner")))
     drops = written(hit.groupBy("_row").agg(F.collect_set("line_no").alias("_gone")), "drops")
     touched = IdFilter(drops, "_row")

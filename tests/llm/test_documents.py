@@ -293,3 +293,12 @@ def test_a_linked_pair_does_not_keep_its_whole_block():
     stay = nj._ruled_in(np.array([len(s) for s in sets]), [np.frombuffer(nj.sketch(s), np.uint8) for s in sets])
     linked = [any(nj.linked(len(np.intersect1d(a, b)), len(a), len(b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
     assert sum(linked) == 2 and stay.tolist() == linked
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    long = " ".join(f"l{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(50))
+    form = [" ".join([f"m{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(63)] + [last]) for last in ("one", "two")]
+    short = " ".join(long.split()[:49])
+    rows = [(i, f"{long}\n{form[i - 1]}\n{short}\nown {'xy'[i - 1]} words here", 0) for i in (1, 2)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_templates.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == (f"{short}\nown y words here", 2)
