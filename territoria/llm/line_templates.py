@@ -11,18 +11,28 @@ that has it, so no content leaves the corpus altogether.  Lines of LONG tokens o
 recur from long_docs documents on, whole or as templates, since no such line stands in two
 documents by chance.
 
+A passage inside lines of LONG tokens or more, whatever surrounds it, is found by pieces in
+a second step over the lines left: runs of PIECE tokens at content-defined places, the least
+hash of every SPREAD runs in a row.  PIECE + SPREAD - 1 = LONG, so texts that share LONG
+tokens in a row within such lines share a piece.  A piece of two documents or more recurs
+and is cut out of all but the one with the smallest doc_id.  The tokens of a shared passage
+before its first and behind its last common piece, at most SPREAD - 1 each, stay.
+
 The tree is never held in one place: its leaves and field counts are grouped rows, equal
 lines meet before the first shuffle, and per line a fixed number of hashes is moved, not
 its text.  A document that holds two forms of one template counts for both.
 
 Defined cases: null and empty texts pass unchanged; lines of fewer than min_tokens tokens
 are never dropped (lines of fewer than min_generalised are compared as a whole); a null
-doc_id is never the smallest where there is another; repeated rows share an id and so
+doc_id is never the smallest where there is another (and keeps its pieces where all are null); repeated rows share an id and so
 keep or lose the same lines; other columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +42,16 @@ from territoria.llm.common import IdFilter, skew_join, text_udf, written
 LEADING = 3
 FIELDS = 16
 LONG = 50
+PIECE, SPREAD = 26, 25
 ROWS = "array<struct<line_no: int, is_first: boolean, is_long: boolean, leaf: bigint, line: bigint, fields: array<int>>>"
 
 _DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 _SIGNED = 1 << 63
+_TOKEN = re.compile(rb"[^ \t\r\x0b\x0c]+[ \t\r\x0b\x0c]*")  # what split() takes for a token, and the white space behind it
+_ODD = 0x9E3779B97F4A7C15  # any odd number does
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+_known: dict[bytes, int] = {}
 
 
 def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list[int]]:
@@ -95,9 +111,105 @@ def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float
     return exact.unionByName(general).groupBy("line").agg(F.min("owner").alias("owner"))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _ODD and of its inverse modulo 2^64."""
+    out = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line number, first token) of every piece of the text's long lines."""
+    words, numbers, sizes = [], [], []
+    for i, line in enumerate((text or "").split("\n")):
+        tokens = line.encode().translate(_DIGITS).split()
+        if len(tokens) >= LONG:
+            words += tokens
+            numbers.append(i)
+            sizes.append(len(tokens))
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(_known) > 100_000:
+        _known.clear()
+    for w in set(words):
+        if w not in _known:
+            _known[w] = xxhash.xxh64_intdigest(w)
+    power, back = _powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)) * power[:-1], dtype=np.uint64)])
+    runs = (sums[PIECE:] - sums[:-PIECE]) * back[:len(words) - PIECE + 1]
+    runs ^= runs >> np.uint64(30)
+    runs *= _MIX
+    runs ^= runs >> np.uint64(31)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(line[:len(words) - LONG + 1] == line[LONG - 1:])  # LONG tokens from here on are of one line
+    least = np.lib.stride_tricks.sliding_window_view(runs, SPREAD)[inside].argmin(1)
+    at = np.unique(inside + least)
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return runs[at].view(np.int64), np.array(numbers)[line[at]], at - start[line[at]]
+
+
+def cut(text: str, spans: list) -> tuple[str, int]:
+    """The text without the pieces that begin at (line number, token), and how many of its lines they cut; empty lines go."""
+    gone: dict[int, list[int]] = {}
+    for i, at in spans:
+        gone.setdefault(i, []).append(at)
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        if i in gone:
+            raw = line.encode()
+            places = [(m.start(), m.end()) for m in _TOKEN.finditer(raw)]
+            stay = np.ones(len(places), bool)
+            for at in gone[i]:
+                stay[at:at + PIECE] = False
+            if not stay.any():
+                continue
+            line = (raw[:places[0][0]] + b"".join(raw[a:b] for (a, b), s in zip(places, stay) if s)).decode()
+        out.append(line)
+    return "\n".join(out), len(gone)
+
+
+def cut_recurring(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """All columns of docs, text without the pieces that other documents keep, and n_dropped more by the lines cut."""
+    columns = docs.columns
+    docs = docs.withColumn("_row", F.xxhash64(key, text))
+
+    def hashes(texts: list) -> list:
+        return [np.unique(pieces(t)[0]).tolist() for t in texts]
+
+    def placed(texts: list) -> list:
+        return [[{"piece": p, "line_no": i, "at": a} for p, i, a in zip(*(x.tolist() for x in pieces(t)))] for t in texts]
+
+    found = docs.select(docs[key].alias("_key"), F.explode(text_udf(hashes, "array<bigint>")(F.col(text))).alias("piece"))
+    keys = found.groupBy("piece").agg(F.min("_key").alias("owner"), F.max("_key").alias("last"), F.max(F.col("_key").isNull()).alias("unnamed")) \
+        .where("owner is not null and (owner != last or unnamed)").select("piece", "owner")
+    keys = written(keys, "pieces")
+    at = docs.select(docs[key].alias("_key"), "_row", F.explode(text_udf(placed, "array<struct<piece: bigint, line_no: int, at: int>>")(F.col(text))).alias("_p")) \
+        .select("_key", "_row", "_p.*").where(IdFilter(keys, "piece").may_hold(F.col("piece")))
+    hit = skew_join(at, keys, ["piece"]).where(~F.col("_key").eqNullSafe(F.col("owner")))
+    spans = written(hit.groupBy("_row").agg(F.collect_set(F.struct("line_no", "at")).alias("_spans")), "spans")
+    marked = docs.withColumn("_maybe", IdFilter(spans, "_row").may_hold(F.col("_row")))
+
+    def run(rows: list) -> list:
+        out = []
+        for r in rows:
+            left, n = cut(r["t"], [(x["line_no"], x["at"]) for x in r["s"]])
+            out.append({"t": left, "n": n})
+        return out
+
+    whole = [F.col(f"`{c}`") for c in columns]
+    joined = marked.where("_maybe").join(spans, "_row", "left")
+    given = F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))
+    less = joined.where("_spans is not null").select(*whole, text_udf(run, "struct<t: string, n: int>")(given).alias("_cut")) \
+        .select(*[F.col("_cut.t").alias(c) if c == text else (F.col(c) + F.col("_cut.n")).cast("long").alias(c) if c == "n_dropped" else F.col(f"`{c}`") for c in columns])
+    return marked.where("not _maybe").select(*whole).unionByName(joined.where("_spans is null").select(*whole)).unionByName(less)
+
+
 def drop_recurring(docs: DataFrame, min_docs: int = 3, similarity: float = 0.5, min_tokens: int = 4, min_generalised: int = 8,
                    text: str = "text", key: str = "doc_id", long_docs: int = 2) -> DataFrame:
-    """All columns of docs, text without the recurring lines, and n_lines, n_dropped (which replace columns of these names)."""
+    """All columns of docs, text without the recurring lines, without pieces of long lines that recur, and n_lines, n_dropped (which replace columns of these names; lines cut count)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_row")]
     docs = docs.select(*own).withColumn("_row", F.xxhash64(docs[key], docs[text]))
     lines = written(parsed_lines(docs, text, key, min_tokens, min_generalised), "lines")
@@ -110,6 +222,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, similarity: float = 0.5,
     joined = marked.where("_maybe").join(drops, "_row", "left").unionByName(marked.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<int>")))
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in own],
+    thinned = joined.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in own],
                          F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
                          F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    return cut_recurring(written(thinned, "thinned"), text, key)

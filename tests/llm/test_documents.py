@@ -302,3 +302,30 @@ def test_long_lines_recur_from_two_documents(spark):
     rows = [(i, f"{long}\n{form[i - 1]}\n{short}\nown {'xy'[i - 1]} words here", 0) for i in (1, 2)]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_templates.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == (f"{short}\nown y words here", 2)
+
+
+def test_pieces_meet_whatever_surrounds_them():
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop') * rng.randint(1, 4)}{rng.choice('xyz')}{''.join(rng.choices('qrstuv', k=4))}" for _ in range(n)]
+    for _ in range(200):
+        shared = words(50)
+        a, b = (" ".join([*words(rng.randint(0, 60)), *shared, *words(rng.randint(0, 60))]) for _ in range(2))
+        common = set(line_templates.pieces(f"x y\n{a}")[0].tolist()) & set(line_templates.pieces(f"{b}\n{' '.join(words(70))}")[0].tolist())
+        assert common
+    assert [len(x) for x in line_templates.pieces(" ".join(words(49)) + "\n" + " ".join(words(49)))] == [0, 0, 0] == [len(x) for x in line_templates.pieces(None)]
+
+
+def test_passages_inside_long_lines(spark):
+    word = lambda d, i: f"{d}{'abcdefghijklmnop'[i % 16]}{'qrstuvwxyz'[i // 16 % 10]}{'abcdefghij'[i // 160]}"
+    shared = [word("s", i) for i in range(120)]
+    rows = [(d, " ".join([*(word(f"p{'xyz'[d]}", i) for i in range(10 + 7 * d)), *shared, *(word(f"q{'xyz'[d]}", i) for i in range(30))]) + f"\n\nown {'xyz'[d]} end", 0)
+            for d in range(3)]
+    rows += [(None, rows[0][1], 0), (9, "a  b\tc", 0)]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0]["text"] == rows[0][1] and got[9]["text"] == "a  b\tc"
+    for d in (1, 2):
+        left = got[d]["text"].split("\n")[0].split()
+        assert [w for w in left if w not in shared] == [w for w in rows[d][1].split("\n")[0].split() if w not in shared]
+        assert sum(w in shared for w in left) <= 48 and got[d]["text"].endswith(f"\n\nown {'xyz'[d]} end") and got[d]["n_dropped"] == 1
+    again = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame([(1, None, 0), (2, "", 0)], DOCS)).collect()}
+    assert again == {1: None, 2: ""}
