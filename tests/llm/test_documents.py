@@ -329,3 +329,33 @@ def test_passages_inside_long_lines(spark):
         assert sum(w in shared for w in left) <= 48 and got[d]["text"].endswith(f"\n\nown {'xyz'[d]} end") and got[d]["n_dropped"] == 1
     again = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame([(1, None, 0), (2, "", 0)], DOCS)).collect()}
     assert again == {1: None, 2: ""}
+
+
+def test_second_pass_holds_two_chunks_at_most(spark, monkeypatch, tmp_path):
+    rng = random.Random(23)
+    head = [f"h{i}" for i in range(60)]  # the template: shared by all, less than a link
+    rows = [(i, " ".join(head + [f"w{i}x{rng.randrange(10**9)}" for _ in range(40)]), 0) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + " more", 0) for i in range(0, 240, 8)]
+    real, folder = ngram_jaccard._verify_apart, str(tmp_path)
+
+    def watched(batches):
+        import collections
+        import uuid
+
+        held = collections.Counter()
+
+        def seen():
+            for b in batches:
+                held.update(zip(b.column("leader").to_pylist(), b.column("chunk").to_pylist()))
+                yield b
+
+        yield from real(seen())
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(map(str, held.values())))
+
+    monkeypatch.setattr(ngram_jaccard, "_verify_apart", watched)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), chunk=20, sketch_block=10_000).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _, _ in rows}
+    sizes = [int(n) for p in tmp_path.iterdir() for n in p.read_text().split()]
+    # 270 texts in 14 chunks dealt by hash; the block has the texts that share the template in their prefix.
+    assert max(sizes, default=0) <= 100
