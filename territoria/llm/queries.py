@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territoria.llm import (bpe_automaton, chat_format, decontaminate, line_templates, ngram_jaccard, quality_crf,
-                            quality_ledger, token_attribution, toxicity, warc)
+from territoria.llm import (bpe_automaton, chat_format, decontaminate, line_templates, merkle_manifest, ngram_jaccard,
+                            quality_crf, quality_ledger, simhash_segments, token_attribution, toxicity, warc, whitening)
 from territoria.llm.common import scratch_path, table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(formatted, BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the document as found still folds to the root."""
+    rows = merkle_manifest.manifest(table(spark, sf_dir, "documents")) \
+        .withColumn("proof", merkle_manifest.path_digest(F.col("path"))).withColumn("fold", merkle_manifest.folded(F.col("observed"), F.col("path")))
+    digests = {name: F.lower(F.hex(column)) for name, column in
+               (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof_sha256", "proof"), ("folded_root", "fold"))}
+    return rows.select("doc_id", *[c.alias(name) for name, c in digests.items()], (F.col("fold") == F.col("root")).alias("verified"))
+
+
+def op12_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash_segments.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 
@@ -131,7 +150,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length(x) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 20 + length(y) END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""".replace("CONTROL", chat_format._CONTROL)
 
+_FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR, '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+SQL_OP11 = f"""
+WITH RECURSIVE bits AS (SELECT i AS b, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+tab AS (SELECT list(v ORDER BY b) AS v FROM bits),
+d AS (SELECT doc_id, coalesce('v' || source, '') AS tree, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+  sha256({_HEAD} || {_FIELD.format("replace(text, chr(10), '')")}) AS touched,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, x: xor(c >> 8, tab.v[xor(c & 255, x) + 1])), 4294967295) % 2 = 0 AS tampered FROM documents, tab),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t AS (SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY tree, level, i // 3, n),
+s AS (SELECT tree, h, level AS top, row_number() OVER (ORDER BY tree::BLOB) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, h, n FROM s
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+steps AS (SELECT l.tree, l.i, k.level, coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i < l.i // power(3, k.level)::BIGINT), '') || '|'
+    || coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i > l.i // power(3, k.level)::BIGINT), '') AS step
+  FROM l JOIN t k ON k.tree = l.tree AND k.n > 1 AND k.i // 3 = l.i // power(3, k.level + 1)::BIGINT GROUP BY l.tree, l.i, k.level),
+above AS (SELECT s.tree, k.level, coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i < s.i // power(3, k.level)::BIGINT), '') || '|'
+    || coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i > s.i // power(3, k.level)::BIGINT), '') AS step
+  FROM s JOIN u k ON k.n > 1 AND k.i // 3 = s.i // power(3, k.level + 1)::BIGINT GROUP BY s.tree, k.level),
+low AS (SELECT tree, i, list(step ORDER BY level) AS steps FROM steps GROUP BY tree, i),
+high AS (SELECT tree, list(step ORDER BY level) AS steps FROM above GROUP BY tree),
+e AS (SELECT l.*, s.h AS subroot, r.h AS root, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+  FROM l JOIN s ON s.tree = l.tree JOIN (SELECT h FROM u WHERE n = 1) r ON true LEFT JOIN low ON low.tree = l.tree AND low.i = l.i LEFT JOIN high ON high.tree = l.tree),
+f AS (SELECT *, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+  list_reduce(list_concat([CASE WHEN tampered THEN touched ELSE leaf END], steps), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root FROM e)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
 QUERIES = {f.__name__: f for f in (op1_line_templates, op2_warc_archive, op3_ngram_jaccard, op4_decontamination, op5_bpe_automaton, op6_toxicity,
-                                   op7_token_attribution, op8_quality_ledger, op9_quality_crf, op10_chat_format)}
+                                   op7_token_attribution, op8_quality_ledger, op9_quality_crf, op10_chat_format,
+                                   op11_merkle_manifest, op12_simhash_segments, op13_whitening)}
 #: The other operators are tested against brute force, the tokenizer's own library or held-out labels.
-SQL = {"op2_warc_archive": SQL_OP2, "op3_ngram_jaccard": SQL_OP3, "op8_quality_ledger": SQL_OP8, "op10_chat_format": SQL_OP10}
+SQL = {"op2_warc_archive": SQL_OP2, "op3_ngram_jaccard": SQL_OP3, "op8_quality_ledger": SQL_OP8, "op10_chat_format": SQL_OP10, "op11_merkle_manifest": SQL_OP11}
