@@ -47,8 +47,9 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
                     pid: str = "pdv_id", k0: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """C-07 (and the k search of C-15): k starts at `k0` (default ceil(n / cap))
     per group and grows by one until the largest cluster fits `cap` (if given)
-    and every point is within `tempo_max_min` of its centre, or `max_tries`
-    values were tried (then the last one is kept).
+    and every point is within `tempo_max_min` of its centre (status OK), or k has
+    reached the number of points, or `max_tries` values were tried, which is the
+    user's limit; then the last one is kept with status EXCEDIDO.
 
     Candidate k values are evaluated `batch` at a time in one grouped Lloyd
     job, with (group, k) as the Lloyd group.
@@ -83,14 +84,11 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
             ok = ok & (F.col("max_pdvs") <= cap)
         fit = cut_lineage(fit.withColumn("_ok", ok).join(cands.select(*group, "k"), [*group, "k"]))
         last_round = tried + width >= max_tries
-        pick_ok = fit.filter("_ok").groupBy(*group).agg(F.min("k").alias("k_final"))
-        if last_round:
-            pick_last = fit.groupBy(*group).agg(F.max("k").alias("_kmax"))
-            pick = pick_last.join(pick_ok, group, "left").select(
-                *group, F.coalesce("k_final", "_kmax").alias("k_final"))
-        else:
-            pick = pick_ok
-        pick = cut_lineage(pick)
+        # one candidate a point is the end of the search as well: no larger k exists
+        ends = fit.join(pending, group).select(*group, "k", "_ok", (F.col("k") >= F.col("_n")).alias("_end"))
+        fits, last = F.min(F.when(F.col("_ok"), F.col("k"))), F.max(F.when(F.lit(last_round) | F.col("_end"), F.col("k")))
+        pick = ends.groupBy(*group).agg(F.coalesce(fits, last).alias("k_final"), F.when(fits.isNotNull(), "OK").otherwise("EXCEDIDO").alias("status"))
+        pick = cut_lineage(pick.filter("k_final is not null"))
         chosen = pick if chosen is None else chosen.unionByName(pick)
         pending = cut_lineage(pending.join(pick.select(*group), group, "left_anti")
                               .withColumn("_k0", F.col("_k0") + width))
@@ -102,7 +100,7 @@ def kmeans_capacity(points: DataFrame, group: list[str], cap: int | None, tempo_
     labels = kept_labels[0]
     for more in kept_labels[1:]:
         labels = labels.unionByName(more)
-    final = labels.join(k_final, [*group, "k"]).select(pid, F.col("c").alias("cluster_id"), F.col("k").alias("k_final"))
+    final = labels.join(k_final, [*group, "k"]).select(pid, F.col("c").alias("cluster_id"), F.col("k").alias("k_final"), "status")
     return points.join(final, pid)
 
 
@@ -501,6 +499,100 @@ def recluster_recursive(points: DataFrame, group: list[str], label: str, cap: in
     return cur.drop("_whole").join(fit.select(*key, status), key).withColumnRenamed("_lab", "cluster_label")
 
 
+# ----------------------------------------------------------------- C-09 / C-10 by tours
+def _tour_status(points: DataFrame, centres: DataFrame, key: list[str], max_min: float, max_km: float, kmh: float,
+                 service_min: float, pid: str) -> DataFrame:
+    """key, centre, n_pdvs, dist_km, tempo_min, status of every cluster: its nearest-neighbour tour from the centre and back."""
+    from .routing import sequence_stops, tour_costs
+    seq = sequence_stops(points, centres, key, key, pid=pid).join(points.select(*key, pid, "lat", "lon"), [*key, pid])
+    cost = tour_costs(seq, centres, key, key, kmh, service_min)
+    over = (F.col("tempo_min") > max_min) | (F.col("dist_km") > max_km)
+    return cost.join(centres.select(*key, F.col("lat").alias("centro_lat"), F.col("lon").alias("centro_lon")), key) \
+        .withColumn("status", F.when(over, F.lit("EXCEDIDO")).otherwise(F.lit("OK")))
+
+
+def refine_macro(points: DataFrame, group: list[str], k_start: DataFrame, n_sub: int, max_min: float, max_km: float,
+                 kmh: float, service_min: float, pid: str = "pdv_id", batch: int = 2) -> tuple[DataFrame, DataFrame]:
+    """C-09: the smallest number k of macro clusters per group, from `k_start` on, for which every
+    sub-cluster's tour fits `max_min` and `max_km`; a macro cluster has min(size, `n_sub`)
+    sub-clusters.  k ends at the number of points; then tours that still do not fit are
+    EXCEDIDO.
+
+    Two nested grouped Lloyd runs a step, keyed (group, k) and (group, k, macro), with
+    all groups and several candidate k in the same jobs; only groups without a feasible k go
+    on.  Returns (sub-clusters with centre, tour, status and k_final; point -> macro, sub).
+    Macro labels are 0.. without gaps, subs count from 1.
+    """
+    n = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    pending = cut_lineage(n.join(k_start.select(*group, F.col("k").cast("int").alias("_k0")), group)
+                          .select(*group, "_n", F.least(F.greatest("_k0", F.lit(1)), F.col("_n")).cast("int").alias("_k0")))
+    macro, sub = [*group, "k"], [*group, "k", "macro"]
+    routes_out = members_out = None
+    while not pending.isEmpty():
+        cands = cut_lineage(pending.withColumn("k", F.explode(F.sequence("_k0", F.least(F.col("_k0") + F.lit(batch - 1), F.col("_n").cast("int")))))
+                            .select(*group, "k", "_n"))
+        assigned, _ = kmeans(points.select(*group, pid, "lat", "lon").join(cands.select(*macro), group), cands.select(*macro), macro, pid=pid)
+        assigned = cut_lineage(assigned.select(*macro, pid, "lat", "lon", F.col("c").alias("macro")))
+        parts = assigned.groupBy(*sub).agg(F.least(F.count(F.lit(1)), F.lit(n_sub)).cast("int").alias("_k")).withColumnRenamed("k", "_macro_k")
+        own = [*group, "_macro_k", "macro"]
+        inner, centres = kmeans(assigned.withColumnRenamed("k", "_macro_k"), parts.withColumnRenamed("_k", "k"), own, pid=pid)
+        key = [*sub, "seq"]
+        inner = cut_lineage(inner.select(*group, F.col("_macro_k").alias("k"), "macro", (F.col("c") + 1).alias("seq"), pid, "lat", "lon"))
+        centres = centres.select(*group, F.col("_macro_k").alias("k"), "macro", (F.col("c") + 1).alias("seq"), "lat", "lon")
+        tours = cut_lineage(_tour_status(inner, centres, key, max_min, max_km, kmh, service_min, pid))
+        fits = tours.groupBy(*macro).agg(F.bool_and(F.col("status") == "OK").alias("_fits")).join(cands, macro)
+        pick = cut_lineage(fits.filter(F.col("_fits") | (F.col("k") >= F.col("_n"))).groupBy(*group).agg(F.min("k").cast("int").alias("k")))
+        done, placed = tours.join(pick, macro), inner.join(pick, macro)
+        routes_out = done if routes_out is None else routes_out.unionByName(done)
+        members_out = placed if members_out is None else members_out.unionByName(placed)
+        pending = cut_lineage(pending.join(pick.select(*group), group, "left_anti").withColumn("_k0", F.least(F.col("_k0") + F.lit(batch), F.col("_n")).cast("int")))
+        batch *= 2
+    # empty macro clusters leave gaps in the labels
+    names = routes_out.groupBy(*group).agg(F.sort_array(F.collect_set("macro")).alias("_names"))
+    relabel = (F.array_position("_names", F.col("macro")) - 1).cast("int")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(names, group).withColumn("macro", relabel).drop("_names").withColumnRenamed("k", "k_final")
+
+    return named(routes_out), named(members_out).select(*group, pid, "k_final", "macro", "seq")
+
+
+def recluster_by_route(points: DataFrame, group: list[str], label: str, cap: int, max_min: float, max_km: float, kmh: float,
+                       service_min: float, pid: str = "pdv_id") -> tuple[DataFrame, DataFrame]:
+    """C-10: clusters whose tour does not fit `max_min` or `max_km` are split in 2, their failing
+    parts in 3, and so on, all failing clusters of a level in one job; labels grow by
+    `.1`, `.2`.  A cluster of max(4, `cap`) points or fewer, or whose points no split
+    separates, is not split again and stays with status EXCEDIDO.
+
+    Returns (point -> cluster_label; clusters with centre, tour, divisions and status).
+    """
+    key = [*group, "cluster_label"]
+    cur = cut_lineage(points.select(*group, pid, "lat", "lon", F.col(label).cast("string").alias("cluster_label"), F.lit(2).alias("_div")))
+    centres = cur.groupBy(*key).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    members, clusters = [], []
+    while True:
+        size = cur.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_div").alias("_div"))
+        tours = cut_lineage(_tour_status(cur, centres, key, max_min, max_km, kmh, service_min, pid).join(size, key))
+        # _div 0: the split that made this cluster did not separate its points
+        bad = cut_lineage(tours.filter((F.col("status") != "OK") & (F.col("_n") > max(4, cap)) & (F.col("_div") > 0)).select(*key, F.col("_div").alias("k")))
+        ended = tours.join(bad.select(*key), key, "left_anti")
+        clusters.append(ended.select(*key, "centro_lat", "centro_lon", "n_pdvs", "dist_km", "tempo_min", "status"))
+        members.append(cur.join(ended.select(*key, "status"), key).select(*group, pid, "cluster_label", "status"))
+        if bad.isEmpty():
+            break
+        split, found = kmeans(cur.join(bad.select(*key), key), bad, key, pid=pid)
+        split = cut_lineage(split.select(*key, pid, "lat", "lon", "c").join(bad, key))
+        whole = split.groupBy(*key).agg((F.min("c") == F.max("c")).alias("_whole"))
+        part = F.concat_ws(".", F.col("cluster_label"), (F.col("c") + 1).cast("string"))
+        cur = cut_lineage(split.join(whole, key).select(*group, pid, "lat", "lon", part.alias("cluster_label"),
+                                                        F.when(F.col("_whole"), 0).otherwise(F.col("k") + 1).alias("_div")))
+        centres = cut_lineage(found.select(*group, part.alias("cluster_label"), "lat", "lon"))
+    all_members, all_clusters = members[0], clusters[0]
+    for m, c in zip(members[1:], clusters[1:]):
+        all_members, all_clusters = all_members.unionByName(m), all_clusters.unionByName(c)
+    return all_members, all_clusters
+
+
 # ----------------------------------------------------------------- C-19
 def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min: float, kmh: float,
                    drop_outliers: bool = False, z: float = 1.5, pid: str = "pdv_id",

@@ -14,14 +14,19 @@ squared degrees, as in the reference's k-means on raw coordinates.
   its centre;
 * stop when the centres of every group moved by at most `TOLERANCE` of the group's
   variance (squared shifts against the mean variance of the coordinates); `MAX_ROUNDS`
-  is the user's limit.  The centre table is checkpointed to the shared folder every
-  round so lineage stays short.
+  is the user's limit.  Groups that have come to rest leave the rounds.  The centre
+  table, with the verdict on each group, is checkpointed to the shared folder every
+  round, so lineage stays short and a round is one job over the points.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .windows import ranked
@@ -29,6 +34,7 @@ from .windows import ranked
 DIGITS = 6
 MAX_ROUNDS = 300
 TOLERANCE = 1e-4
+BROADCAST_CENTRES = 50_000  # centre rows (about 40 bytes each) up to which they are broadcast; counted before
 
 
 def init_centres(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id") -> DataFrame:
@@ -45,23 +51,33 @@ ARRAY_K_MAX = 64  # up to this many centres per group the arg-min runs over one
 
 
 def assign(points: DataFrame, centres: DataFrame, group: list[str], out: str = "c",
-           k_max: int | None = None, edge: float | None = None) -> DataFrame:
+           k_max: int | None = None, edge: float | None = None, small: bool = False, inner: bool = False) -> DataFrame:
     """Nearest centre of the point's own group by squared degrees (ties -> smaller c).
 
     Few centres per group: the group's centres travel as one array and the
     arg-min is an array expression.  Many centres: an exact planar grid
     (`assign_grid`), so a point only meets the centres of nearby cells.
+
+    `small` says that all centres together are few enough to broadcast, so that
+    the points are not shuffled; with `inner`, points of groups without centres
+    are left out.
     """
     if k_max is None:
         k_max = centres.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if k_max > ARRAY_K_MAX:
+        if inner:
+            points = points.join(centres.select(*group).distinct(), group, "left_semi")
         return assign_grid(points, centres, group, out, edge=edge)
-    arr = centres.groupBy(*group).agg(F.collect_list(F.struct("c", F.col("lat").alias("clat"),
-                                                              F.col("lon").alias("clon"))).alias("_cs"))
-    j = points.join(arr, group, "left")
+    arr = centres.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("c", F.col("lat").alias("clat"),
+                                                                           F.col("lon").alias("clon")))).alias("_cs"))
+    return nearest_of_array(points.join(F.broadcast(arr) if small else arr, group, "inner" if inner else "left"), out)
+
+
+def nearest_of_array(joined: DataFrame, out: str = "c") -> DataFrame:
+    """The arg-min over the centres in `_cs` as `out`, its squared distance as `_d2`."""
     best = F.array_min(F.transform("_cs", lambda e: F.struct(
         (F.pow(F.col("lat") - e["clat"], 2) + F.pow(F.col("lon") - e["clon"], 2)).alias("d2"), e["c"].alias("c"))))
-    return j.withColumn(out, best["c"]).withColumn("_d2", best["d2"]).drop("_cs")
+    return joined.withColumn(out, best["c"]).withColumn("_d2", best["d2"]).drop("_cs")
 
 
 def grid_edge(centres: DataFrame, group: list[str]) -> tuple[float, float]:
@@ -126,22 +142,25 @@ def assign_grid(points: DataFrame, centres: DataFrame, group: list[str], out: st
     return res
 
 
+def means(assigned: DataFrame, group: list[str], weight: str | None = None, label: str = "c") -> DataFrame:
+    """group, c, _nlat, _nlon: (weighted) mean of each cluster's points."""
+    g = assigned.groupBy(*group, F.col(label).alias("c"))
+    if not weight:
+        return g.agg(F.round(F.avg("lat"), DIGITS).alias("_nlat"), F.round(F.avg("lon"), DIGITS).alias("_nlon"))
+    w = F.col(weight)
+    s = g.agg(F.sum(w).alias("_sw"), F.sum(w * F.col("lat")).alias("_swl"), F.sum(w * F.col("lon")).alias("_swo"),
+              F.avg("lat").alias("_al"), F.avg("lon").alias("_ao"))
+    return s.select(*group, "c", F.round(F.when(F.col("_sw") > 0, F.col("_swl") / F.col("_sw")).otherwise(F.col("_al")), DIGITS).alias("_nlat"),
+                    F.round(F.when(F.col("_sw") > 0, F.col("_swo") / F.col("_sw")).otherwise(F.col("_ao")), DIGITS).alias("_nlon"))
+
+
 def update(assigned: DataFrame, old: DataFrame, group: list[str], label: str = "c",
-           weight: str | None = None) -> DataFrame:
-    """New centre = (weighted) mean of the cluster's points; empty clusters keep theirs."""
-    if weight:
-        w = F.col(weight)
-        means = (assigned.groupBy(*group, F.col(label).alias("c"))
-                 .agg(F.sum(w).alias("_sw"), F.sum(w * F.col("lat")).alias("_swl"), F.sum(w * F.col("lon")).alias("_swo"),
-                      F.avg("lat").alias("_al"), F.avg("lon").alias("_ao"))
-                 .select(*group, "c",
-                         F.round(F.when(F.col("_sw") > 0, F.col("_swl") / F.col("_sw")).otherwise(F.col("_al")), DIGITS).alias("_nlat"),
-                         F.round(F.when(F.col("_sw") > 0, F.col("_swo") / F.col("_sw")).otherwise(F.col("_ao")), DIGITS).alias("_nlon")))
-    else:
-        means = (assigned.groupBy(*group, F.col(label).alias("c"))
-                 .agg(F.round(F.avg("lat"), DIGITS).alias("_nlat"), F.round(F.avg("lon"), DIGITS).alias("_nlon")))
-    j = old.join(means, [*group, "c"], "left")
-    return j.select(*group, "c", F.coalesce("_nlat", "lat").alias("lat"), F.coalesce("_nlon", "lon").alias("lon"))
+           weight: str | None = None, small: bool = False) -> DataFrame:
+    """New centre = (weighted) mean of the cluster's points, and its squared shift; empty clusters keep theirs."""
+    new = means(assigned, group, weight, label)
+    j = old.join(F.broadcast(new) if small else new, [*group, "c"], "left")
+    shift = F.coalesce(F.pow(F.col("_nlat") - F.col("lat"), 2) + F.pow(F.col("_nlon") - F.col("lon"), 2), F.lit(0.0))
+    return j.select(*group, "c", F.coalesce("_nlat", "lat").alias("lat"), F.coalesce("_nlon", "lon").alias("lon"), shift.alias("_shift"))
 
 
 def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id", max_iter: int = MAX_ROUNDS,
@@ -153,29 +172,118 @@ def kmeans(points: DataFrame, k: DataFrame, group: list[str], pid: str = "pdv_id
     """
     # The rounds re-read the points many times: materialise the narrow input once
     # (as iterative MLlib estimators cache theirs) instead of re-running its plan.
-    pts = cut_lineage(points.select(*group, pid, "lat", "lon", *([weight] if weight else [])))
+    # Each round costs a distance a centre and point, far more than its bytes: spread by
+    # count, since adaptive coalescing by bytes would leave few tasks.
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pts = cut_lineage(points.select(*group, pid, "lat", "lon", *([weight] if weight else [])).repartition(spread))
     cen = cut_lineage(init_centres(pts, k, group, pid))
-    k_max = k.agg(F.max("k")).first()[0] or 0
+    size = cen.agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).first()
+    k_max, small = (size["c"] or 0) + 1, size["n"] <= BROADCAST_CENTRES
     edge = grid_edge(cen, group) if k_max > ARRAY_K_MAX else None  # centres move little: size cells once
     slack = None if fixed_iter else cut_lineage(pts.groupBy(*group).agg(
         (F.lit(TOLERANCE / 2) * (F.var_pop("lat") + F.var_pop("lon"))).alias("_slack")))
+    if small and k_max <= ARRAY_K_MAX:
+        cen = _rounds_with_small_centres(pts, cen, slack, group, max_iter, fixed_iter, weight)
+        return assign(pts, cen, group, k_max=k_max, small=True), cen
+    settled = []
     for _ in range(max_iter):
-        a = assign(pts, cen, group, k_max=k_max, edge=edge)
-        new = cut_lineage(update(a, cen, group, weight=weight))
-        if not fixed_iter:
-            moved = (new.alias("n").join(cen.alias("o"), [*group, "c"])
-                     .groupBy(*group).agg(F.sum(F.pow(F.col("n.lat") - F.col("o.lat"), 2)
-                                                + F.pow(F.col("n.lon") - F.col("o.lon"), 2)).alias("_shift"))
-                     .join(slack, group).filter(F.col("_shift") > F.col("_slack")).limit(1).count())
-            cen = new
-            if moved == 0:
-                break
-        else:
-            cen = new
-    final = assign(points, cen, group, k_max=k_max, edge=edge)
+        a = assign(pts, cen, group, k_max=k_max, edge=edge, small=small, inner=True)
+        new = update(a, cen, group, weight=weight, small=small)
+        if fixed_iter:
+            cen = cut_lineage(new.drop("_shift"))
+            continue
+        moved = F.sum("_shift").over(Window.partitionBy(*group)) > F.col("_slack")
+        new = cut_lineage(new.join(F.broadcast(slack) if small else slack, group).withColumn("_moving", moved).drop("_shift", "_slack"))
+        moving, still = (new.agg(F.count_if("_moving"), F.count_if(~F.col("_moving"))).first())
+        if still:
+            settled.append(new.filter(~F.col("_moving")).drop("_moving"))
+        cen = (new.filter("_moving") if still else new).drop("_moving")
+        if not moving:
+            break
+    for s in settled:  # groups that have come to rest; when the rounds ran out, `cen` holds the others
+        cen = cen.unionByName(s)
+    if settled:
+        cen = cut_lineage(cen)
+    final = assign(pts, cen, group, k_max=k_max, edge=edge, small=small)
     return final, cen
 
 
+_PART = "gi int, c int, n long, slat double, slon double, w double, wlat double, wlon double"
+
+
+def partial_sums(batches, centres: list[np.ndarray]):
+    """Rows (gi, lat, lon, weight), sorted by gi, to the sums of each centre's points, one row a centre and task.
+
+    centres[gi] has the group's centres as rows; an empty array stands for a group at rest.
+    """
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        gi, lat, lon, w = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+        edges = np.flatnonzero(np.diff(gi)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(gi)]):
+            cs = centres[gi[lo]] if hi > lo else np.empty((0, 2))
+            if not len(cs):
+                continue
+            acc = sums.setdefault(int(gi[lo]), np.zeros((6, len(cs))))
+            step = max(1, 2_000_000 // len(cs))  # distances held at once
+            for at in range(lo, hi, step):
+                x, y, v = lat[at:min(at + step, hi)], lon[at:min(at + step, hi)], w[at:min(at + step, hi)]
+                near = ((x[:, None] - cs[:, 0]) ** 2 + (y[:, None] - cs[:, 1]) ** 2).argmin(1)  # first, so smallest, c of ties
+                for row, values in enumerate((None, x, y, v, v * x, v * y)):
+                    acc[row] += np.bincount(near, values, len(cs))
+    for g, acc in sums.items():
+        used = np.flatnonzero(acc[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g, np.int32)), pa.array(used.astype(np.int32)), pa.array(acc[0][used].astype(np.int64)),
+                                          *(pa.array(acc[i][used]) for i in range(1, 6))], names=["gi", "c", "n", "slat", "slon", "w", "wlat", "wlon"])
+
+
+def _rounds_with_small_centres(pts: DataFrame, cen: DataFrame, slack: DataFrame | None, group: list[str], max_iter: int,
+                               fixed_iter: bool, weight: str | None) -> DataFrame:
+    """The rounds where all centres are at most BROADCAST_CENTRES rows: one job a round.
+
+    As in any k-means, the centres are the model: they are sent to the tasks, which
+    add their points up by centre, and the new means, one row a centre, come back.
+    The points stay where they are; only sums are shuffled.
+    """
+    spark, k = pts.sparkSession, len(group)
+    found: dict[tuple, dict[int, tuple[float, float]]] = {}
+    for r in cen.select(*group, "c", "lat", "lon").collect():
+        found.setdefault(tuple(r[:k]), {})[r["c"]] = (r["lat"], r["lon"])
+    if not found:
+        return cen
+    groups = list(found)
+    centres = [np.array([found[g][c] for c in sorted(found[g])], float) for g in groups]
+    labels = [sorted(found[g]) for g in groups]
+    keys = [StructField(f"_g{i}", pts.schema[g].dataType) for i, g in enumerate(group)]
+    numbered = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], StructType([*keys, StructField("gi", IntegerType())]))
+    on = [F.col(g) == F.col(f"_g{i}") for i, g in enumerate(group)]
+    rows = pts.where("lat is not null and lon is not null").join(F.broadcast(numbered), on)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0)
+    rows = cut_lineage(rows.select("gi", F.col("lat").cast("double"), F.col("lon").cast("double"), w.alias("w")).sortWithinPartitions("gi"))
+    limit = {}
+    if slack is not None:
+        limit = {tuple(r[:k]): r["_slack"] for r in slack.select(*group, "_slack").collect()}
+    moving = set(range(len(groups)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        shared = spark.sparkContext.broadcast([c if i in moving else c[:0] for i, c in enumerate(centres)])
+        sums = rows.mapInArrow(lambda batches, shared=shared: partial_sums(batches, shared.value), _PART) \
+            .groupBy("gi", "c").agg(*[F.sum(x).alias(x) for x in ("n", "slat", "slon", "w", "wlat", "wlon")])
+        new = sums.select("gi", "c", *[F.round(F.when(F.col("w") > 0, F.col(f"w{x}") / F.col("w")).otherwise(F.col(f"s{x}") / F.col("n")), DIGITS)
+                                       for x in ("lat", "lon")]).collect()
+        shift = [0.0] * len(groups)
+        for i, c, x, y in new:
+            shift[i] += (x - centres[i][c][0]) ** 2 + (y - centres[i][c][1]) ** 2
+            centres[i][c] = (x, y)
+        shared.destroy()
+        if not fixed_iter:
+            moving = {i for i in moving if shift[i] > (limit[groups[i]] or 0.0)}
+    out = [(*g, c, float(x), float(y)) for g, names, own in zip(groups, labels, centres) for c, (x, y) in zip(names, own)]
+    schema = StructType([*[pts.schema[g] for g in group], StructField("c", IntegerType()), StructField("lat", DoubleType()), StructField("lon", DoubleType())])
+    return spark.createDataFrame(out, schema)
+
+
 def k_for_capacity(points: DataFrame, group: list[str], cap: int, freq: float = 1.0) -> DataFrame:
     """C-05: k = ceil(n / (cap * max(freq, 1))) per group."""
     return (points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))

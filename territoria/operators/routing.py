@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km, travel_min
 from ..session import cut_lineage
+from .windows import ranked
 
-# A route is one day's work; the stop solver holds one route in memory, so
-# routes above this size are refused before any task starts.
+# The stop solver holds one route in memory.  Longer routes are divided into pieces of at
+# most PIECE_STOPS stops, solved in parallel and joined (`sequence_long_routes`).
 MAX_STOPS_PER_ROUTE = 20_000
+PIECE_STOPS = 4_000
+SEAM_STOPS = 100
 SAME_POINT_DEG = 1e-5
 
 
@@ -68,16 +71,19 @@ def _tour_km(depot, pts, order):
     return float(_hav_np(path[:-1, 0], path[:-1, 1], path[1:, 0], path[1:, 1]).sum())
 
 
-def two_opt(depot: np.ndarray, pts: np.ndarray, order: np.ndarray, eps_km: float = 1e-3) -> np.ndarray:
+def two_opt(depot: np.ndarray, pts: np.ndarray, order: np.ndarray, eps_km: float = 1e-3,
+            end: np.ndarray | None = None) -> np.ndarray:
     """R-03: segment reversals until no move gains more than eps (local optimum, Q13).
 
+    The tour leads from the depot back to it, or to `end`, a fixed last place.
+
     A reversal changes two edges only, so a move's gain is two old edges less
     two new ones.  For each start the gains of all ends are one vector; the
     best of them is taken.  The tour's coordinates are kept in tour order and
     no distance matrix is built, so memory is linear in the stops.
     """
     tour = np.concatenate([[-1], order, [-1]])
-    xy = np.vstack([depot, pts[order], depot]).astype(float)
+    xy = np.vstack([depot, pts[order], depot if end is None else end]).astype(float)
     stuck = 0
     i, n = 0, len(order)
     while n > 1 and stuck < n:
@@ -97,35 +103,136 @@ def two_opt(depot: np.ndarray, pts: np.ndarray, order: np.ndarray, eps_km: float
     return tour[1:-1]
 
 
-def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str],
-                   pid: str = "pdv_id", improve: bool = False) -> DataFrame:
-    """R-02 (+R-03): stop order 1..n of every route, all routes in parallel.
+def _schema_of(df: DataFrame, keys: list[str], pid: str) -> str:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return f"{fields}, {pid} long, sequencia_ordem int"
 
-    One `applyInPandas` group per route; the route-size bound is checked with
-    one aggregate first, so no group can exceed what a task may hold.
-    """
-    biggest = stops.groupBy(*route).count().agg(F.max("count")).first()[0] or 0
-    if biggest > MAX_STOPS_PER_ROUTE:
-        raise ValueError(f"a route has {biggest} stops (limit {MAX_STOPS_PER_ROUTE}); split it first")
-    d = depots.select(*depot_keys, F.col("lat").alias("depot_lat"), F.col("lon").alias("depot_lon"))
-    s = stops.select(*route, *[k for k in depot_keys if k not in route], pid, "lat", "lon").join(d, depot_keys)
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*route).schema.fields)
-    out_schema += f", {pid} long, sequencia_ordem int"
 
+def _solver(keys: list[str], pid: str, improve: bool):
+    """Stop order of one group; from (depot_lat, depot_lon) back to it, or on to (end_lat, end_lon) where given."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf[pid].to_numpy(dtype=np.int64)
         lat = pdf["lat"].to_numpy(dtype=float)
         lon = pdf["lon"].to_numpy(dtype=float)
-        dlat, dlon = float(pdf["depot_lat"].iloc[0]), float(pdf["depot_lon"].iloc[0])
+        first = pdf.iloc[0]
+        dlat, dlon = float(first["depot_lat"]), float(first["depot_lon"])
         order = nearest_neighbour_order(dlat, dlon, ids, lat, lon)
         if improve and len(order) > 3:
-            order = two_opt(np.array([dlat, dlon]), np.column_stack([lat, lon]), order)
-        res = pdf.iloc[order][list(route)].copy()
+            end = np.array([first["end_lat"], first["end_lon"]], float) if "end_lat" in pdf else None
+            order = two_opt(np.array([dlat, dlon]), np.column_stack([lat, lon]), order, end=end)
+        res = pdf.iloc[order][list(keys)].copy()
         res[pid] = ids[order]
         res["sequencia_ordem"] = np.arange(1, len(order) + 1, dtype=np.int32)
         return res
 
-    return s.groupBy(*route).applyInPandas(solve, schema=out_schema)
+    return solve
+
+
+def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str],
+                   pid: str = "pdv_id", improve: bool = False, limit: int = MAX_STOPS_PER_ROUTE,
+                   piece: int = PIECE_STOPS) -> DataFrame:
+    """R-02 (+R-03): stop order 1..n of every route, all routes in parallel.
+
+    One `applyInPandas` group per route of at most `limit` stops; sizes are counted
+    first, so no group can exceed what a task may hold, and longer routes go through
+    `sequence_long_routes`.
+    """
+    d = depots.select(*depot_keys, F.col("lat").alias("depot_lat"), F.col("lon").alias("depot_lon"))
+    s = stops.select(*route, *[k for k in depot_keys if k not in route], pid, "lat", "lon").join(d, depot_keys)
+    long = cut_lineage(s.groupBy(*route).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+    if long.isEmpty():
+        return s.groupBy(*route).applyInPandas(_solver(route, pid, improve), schema=_schema_of(s, route, pid))
+    short = s.join(long.select(*route), route, "left_anti")
+    done = short.groupBy(*route).applyInPandas(_solver(route, pid, improve), schema=_schema_of(s, route, pid))
+    return done.unionByName(sequence_long_routes(s.join(long, route), route, pid, improve, limit, piece))
+
+
+def _tiles(stops: DataFrame, route: list[str], pid: str, piece: int) -> DataFrame:
+    """`_t`: tiles of at most `piece` stops and near-equal size, by strips of longitude cut by latitude.
+
+    Ranks are distributed, so one route with most of the stops is spread as well.
+    """
+    p = F.ceil(F.col("_n") / F.lit(piece))
+    strips = F.ceil(F.sqrt(p))
+    s = ranked(stops.withColumns({"_strips": strips, "_cuts": F.ceil(p / strips)}), route, ["lon", "lat", pid], out="_r")
+    s = s.withColumn("_strip", F.floor((F.col("_r") - 1) * F.col("_strips") / F.col("_n")))
+    m = s.groupBy(*route, "_strip").agg(F.count(F.lit(1)).alias("_m"))
+    s = ranked(s.drop("_r").join(m, [*route, "_strip"]), [*route, "_strip"], ["lat", "lon", pid], out="_r")
+    # rounding may give a strip a few stops more than its share: cut it so that no tile exceeds the bound
+    cuts = F.greatest(F.col("_cuts"), F.ceil(F.col("_m") / F.lit(piece)))
+    t = F.col("_strip") * 1_000_000 + F.floor((F.col("_r") - 1) * cuts / F.col("_m"))
+    return s.withColumn("_t", t.cast("long")).drop("_r", "_m", "_strip", "_strips", "_cuts")
+
+
+def sequence_long_routes(stops: DataFrame, route: list[str], pid: str, improve: bool, limit: int, piece: int) -> DataFrame:
+    """Stop order of routes that no single task should hold.
+
+    Divide (tiles of at most `piece` stops), order the tiles by a tour over their
+    centres from the depot, solve every tile in parallel as a path from the centre of
+    the tile before to that of the tile behind, and join them in that order.  The
+    seams are mended: the stops around each border are improved by segment
+    reversals with the stops outside them fixed, so a seam never gets longer.
+    `stops` carries depot_lat, depot_lon and the route's size `_n`.
+    """
+    tiled = cut_lineage(_tiles(stops.select(*route, pid, "lat", "lon", "depot_lat", "depot_lon", "_n"), route, pid, piece))
+    depot = tiled.groupBy(*route).agg(F.min("depot_lat").alias("lat"), F.min("depot_lon").alias("lon"))
+    centre = cut_lineage(tiled.groupBy(*route, "_t").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("_m")))
+    tour = sequence_stops(centre, depot, route, route, pid="_t", improve=True, limit=limit, piece=piece)
+    tour = tour.join(centre, [*route, "_t"])
+    w = Window.partitionBy(*route).orderBy("sequencia_ordem")  # one row a tile
+    ends = depot.select(*route, F.col("lat").alias("_dlat"), F.col("lon").alias("_dlon"))
+    tour = cut_lineage(tour.join(ends, route).select(
+        *route, "_t", F.col("sequencia_ordem").alias("_at"), "_m",
+        F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.coalesce(F.lag("lat").over(w), "_dlat").alias("depot_lat"), F.coalesce(F.lag("lon").over(w), "_dlon").alias("depot_lon"),
+        F.coalesce(F.lead("lat").over(w), "_dlat").alias("end_lat"), F.coalesce(F.lead("lon").over(w), "_dlon").alias("end_lon")))
+    paths = tiled.select(*route, "_t", pid, "lat", "lon").join(tour.select(*route, "_t", "depot_lat", "depot_lon", "end_lat", "end_lon"), [*route, "_t"])
+    key = [*route, "_t"]
+    solved = paths.groupBy(*key).applyInPandas(_solver(key, pid, improve), schema=_schema_of(paths, key, pid))
+    placed = solved.join(tour.select(*key, "_at", "_m", "_before"), key).join(tiled.select(*key, pid, "lat", "lon"), [*key, pid]) \
+        .withColumn("_pos", F.col("_before") + F.col("sequencia_ordem"))
+    placed = cut_lineage(placed)
+
+    # A seam is the border behind tile _at: its last stops and the first of the next tile, at most
+    # a quarter of a tile each, so that no stop is in two seams.  One stop more on each side is fixed.
+    near = F.least(F.lit(SEAM_STOPS), F.floor(F.col("_m") / 4))
+    tail = placed.filter(F.col("sequencia_ordem") > F.col("_m") - near).withColumn("_seam", F.col("_at"))
+    head = placed.filter(F.col("sequencia_ordem") <= near).withColumn("_seam", F.col("_at") - 1)
+    seam = tail.unionByName(head).select(*route, "_seam", "_pos", pid, "lat", "lon")
+
+    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        inner = pdf.iloc[1:-1]
+        res = inner[[*route, pid]].copy()
+        res["_new"] = inner["_pos"].to_numpy()
+        if len(inner) > 1:
+            xy = pdf[["lat", "lon"]].to_numpy(float)
+            order = two_opt(xy[0], xy[1:-1], np.arange(len(inner)), end=xy[-1])
+            res[pid] = inner[pid].to_numpy()[order]
+        return res
+
+    fields = _schema_of(placed, route, pid).rsplit(",", 1)[0]
+    mended = seam.groupBy(*route, "_seam").applyInPandas(mend, schema=f"{fields}, _new long")
+    out = placed.select(*route, pid, "_pos").join(mended, [*route, pid], "left")
+    return out.select(*route, pid, F.coalesce("_new", "_pos").cast("int").alias("sequencia_ordem"))
+
+
+def tour_costs(seq: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str], kmh: float,
+               service_min: float, order: str = "sequencia_ordem") -> DataFrame:
+    """km and minutes of the closed tour depot -> stops in order -> depot, both with 2 decimals.
+
+    Great-circle km at a constant speed plus the service time of every stop.  Each stop
+    meets the next by its number, an equi-join, so a long route needs no window.
+    """
+    d = depots.select(*depot_keys, F.col("lat").alias("_dlat"), F.col("lon").alias("_dlon"))
+    here = seq.select(*route, *[k for k in depot_keys if k not in route], F.col(order).cast("long").alias("_o"), "lat", "lon")
+    after = here.select(*route, (F.col("_o") - 1).alias("_o"), F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"))
+    j = here.join(after, [*route, "_o"], "left").join(d, depot_keys)
+    leg = haversine_km("lat", "lon", F.coalesce("_nlat", "_dlat"), F.coalesce("_nlon", "_dlon"))
+    first = F.when(F.col("_o") == 1, haversine_km("_dlat", "_dlon", "lat", "lon")).otherwise(0.0)
+    km = F.sum(leg + first)
+    return j.groupBy(*route).agg(F.count(F.lit(1)).alias("n_pdvs"), F.round(km, 2).alias("dist_km"),
+                                 F.round(km / F.lit(float(kmh)) * 60.0 + F.count(F.lit(1)) * F.lit(float(service_min)), 2).alias("tempo_min"))
 
 
 # ----------------------------------------------------------------- leg costs

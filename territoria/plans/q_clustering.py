@@ -276,3 +276,35 @@ def q_active_balanced(spark, sf_dir):
     sectors, _ = active_balanced(fx.points(spark, sf_dir), fx.centers(spark, sf_dir), BAL_MIN, BAL_MAX,
                                  BAL_TEMPO, KMH, BAL_MERGE)
     return sectors
+
+
+REFINE = {"max_min": 480.0, "max_km": 200.0, "kmh": KMH, "service_min": 10.0}
+
+
+@register("refine_macro_clusters")
+def q_refine_macro_clusters(spark, sf_dir):
+    """C-09: per tenant the smallest number of macro clusters, from ceil(n / 250) on, whose int(21/4)
+    sub-clusters each fit a tour of 8 h and 200 km."""
+    from ..operators.clustering import refine_macro
+    from ..operators.lloyd import k_for_capacity
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "lat", "lon")
+    subs, _ = refine_macro(pts, ["tenant_id"], k_for_capacity(pts, ["tenant_id"], 250), 21 // 4, **REFINE)
+    return subs
+
+
+@register("recluster_by_route")
+def q_recluster_by_route(spark, sf_dir):
+    """C-10: zones whose tour exceeds 8 h or 200 km split in 2, 3, ... parts, labels by level."""
+    from ..operators.clustering import recluster_by_route
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "zona", "lat", "lon")
+    members, _ = recluster_by_route(pts, ["tenant_id"], "zona", 5, **REFINE)
+    return members
+
+
+@register("recluster_by_route_clusters")
+def q_recluster_by_route_clusters(spark, sf_dir):
+    """C-10: the clusters of `recluster_by_route` with centre, tour km, minutes and status."""
+    from ..operators.clustering import recluster_by_route
+    pts = fx.points(spark, sf_dir).select("pdv_id", "tenant_id", "zona", "lat", "lon")
+    _, clusters = recluster_by_route(pts, ["tenant_id"], "zona", 5, **REFINE)
+    return clusters
