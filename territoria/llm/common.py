@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,26 +94,24 @@ BLOOM_BITS = 1 << 23
 
 
 class IdFilter:
-    """Bloom filter of fixed size (1 MB): says of a 64-bit id that it may be among those given, or is not.
+    """Bloom filter of fixed size (1 MB of bits): says of an id that it may be among those given, or is not.
 
-    Only saves shuffling rows that cannot match; the join behind it decides.
+    Only saves shuffling rows that cannot match; the join behind it decides.  The bits are a
+    table of at most BLOOM_BITS / 64 rows, which is joined by broadcast: rows are
+    tested where they are, without leaving the JVM.
     """
 
     def __init__(self, ids: DataFrame, column: str):
         bit = F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS))
         one = F.expr("shiftleft(1L, cast(_bit & 63 as int))")
-        words = ids.select(bit.alias("_bit")).select(F.shiftright("_bit", 6).alias("w"), one.alias("b")) \
+        self.words = ids.select(bit.alias("_bit")).select(F.shiftright("_bit", 6).alias("w"), one.alias("b")) \
             .groupBy("w").agg(F.bit_or("b").alias("b"))
-        bits = np.zeros(BLOOM_BITS // 64, np.int64)
-        for r in words.collect():  # at most BLOOM_BITS / 64 rows
-            bits[r["w"]] = r["b"]
-        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
 
-    def may_hold(self, column: Column) -> Column:
-        shared = self.shared
-
-        def run(bit: pa.Array) -> pa.Array:
-            b = bit.to_numpy(zero_copy_only=False)
-            return pa.array((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
-
-        return F.arrow_udf(run, "boolean").asNondeterministic()(F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)))
+    def marked(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """df with a boolean column `out`: the value may be among the ids."""
+        w, b = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in "wb")
+        bit = F.pmod(F.xxhash64(df[column]), F.lit(BLOOM_BITS))
+        words = F.broadcast(self.words.select(F.col("w").alias(w), F.col("b").alias(b)))
+        joined = df.join(words, F.shiftright(bit, 6) == F.col(w), "left")
+        held = F.getbit(F.col(b), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return joined.select(*[df[c] for c in df.columns], F.coalesce(held, F.lit(False)).alias(out))
