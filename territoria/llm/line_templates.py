@@ -5,20 +5,23 @@ masked) name its leaf.  Lines of a leaf are compared field by field, a field bei
 token, or for lines of more than FIELDS tokens an equal run of them.  A field value that
 fewer than min_docs documents of the leaf have at that place is variable and becomes a
 wildcard; lines with the same remaining fields share a template, provided that at least
-`similarity` of the fields are constant.  A template found in min_docs documents or more
-recurs: its lines are dropped, but for those in the document with the smallest doc_id
-that has it, so no content leaves the corpus altogether.  Lines of LONG tokens or more
+`similarity` of the fields are constant and the wildcards stand for variable_words tokens
+at most: a line with more words of its own is no variant of the others.  A template found
+in min_docs documents or more recurs: its lines are dropped, but for those in the document
+with the smallest doc_id that has it.  What leaves the corpus altogether is thus what wildcards
+and masked digits stand for, variable_words tokens a line at most.  Lines of LONG tokens or more
 recur from long_docs documents on, whole or as templates, since no such line stands in two
 documents by chance.
 
 A passage inside lines of LONG tokens or more, whatever surrounds it, is found by pieces in
-a second step over the lines left: runs of PIECE tokens at content-defined places, the least
+the lines that are left: runs of PIECE tokens at content-defined places, the least
 hash of every SPREAD runs in a row.  PIECE + SPREAD - 1 = LONG, so texts that share LONG
 tokens in a row within such lines share a piece.  A piece of two documents or more recurs
 and is cut out of all but the one with the smallest doc_id.  The tokens of a shared passage
 before its first and behind its last common piece, at most SPREAD - 1 each, stay.
 
-The tree is never held in one place: its leaves and field counts are grouped rows, equal
+A text is parsed once, for lines and pieces; the tables of both are written, and texts
+are read again only to be edited.  The tree is never held in one place: its leaves and field counts are grouped rows, equal
 lines meet before the first shuffle, and per line a fixed number of hashes is moved, not
 its text.  A document that holds two forms of one template counts for both.
 
@@ -31,6 +34,7 @@ keep or lose the same lines; other columns, whatever their names, are untouched.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import xxhash
@@ -43,7 +47,8 @@ LEADING = 3
 FIELDS = 16
 LONG = 50
 PIECE, SPREAD = 26, 25
-ROWS = "array<struct<line_no: int, is_first: boolean, is_long: boolean, leaf: bigint, line: bigint, fields: array<int>>>"
+PARSED = ("struct<lines: array<struct<line_no: int, is_first: boolean, n: int, leaf: bigint, line: bigint, fields: array<int>>>, "
+          "pieces: struct<piece: array<bigint>, line_no: array<int>, at: array<int>>>")
 
 _DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 _SIGNED = 1 << 63
@@ -54,12 +59,11 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _known: dict[bytes, int] = {}
 
 
-def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list[int]]:
+def parse_tokens(tokens: list[bytes], min_generalised: int = 8) -> tuple[int, int, int, list[int]]:
     """(token count, leaf, whole masked line, hash of each field)."""
-    tokens = line.encode().translate(_DIGITS).split()
-    n = len(tokens)
-    whole = xxhash.xxh64_intdigest(b" ".join(tokens)) - _SIGNED
-    leaf = xxhash.xxh64_intdigest(b" ".join(tokens[:LEADING]), n) - _SIGNED
+    n, digest = len(tokens), xxhash.xxh64_intdigest
+    whole = digest(b" ".join(tokens)) - _SIGNED
+    leaf = digest(b" ".join(tokens[:LEADING]), n) - _SIGNED
     if n < min_generalised:
         return n, leaf, whole, []
     if n <= FIELDS:
@@ -70,44 +74,55 @@ def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list
     return n, leaf, whole, [xxhash.xxh32_intdigest(p) - (1 << 31) for p in parts]
 
 
-def parsed_lines(docs: DataFrame, text: str, key: str, min_tokens: int, min_generalised: int) -> DataFrame:
-    """key, _row, line_no, is_first (within its document), is_long, leaf, line, fields: lines of at least min_tokens tokens."""
+def masked_lines(text: str | None) -> list[list[bytes]]:
+    """The tokens of each line, digits masked."""
+    return [line.split() for line in (text or "").encode().translate(_DIGITS).split(b"\n")]
+
+
+def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list[int]]:
+    return parse_tokens(line.encode().translate(_DIGITS).split(), min_generalised)
+
+
+def parsed(docs: DataFrame, text: str, key: str, row: str, min_tokens: int, min_generalised: int) -> DataFrame:
+    """_key, _row, lines (line_no, is_first within the document, n, leaf, line, fields; of at least min_tokens tokens), pieces (piece, line_no, at)."""
     def run(texts: list) -> list:
         out = []
         for t in texts:
-            rows, seen = [], set()
-            for i, line in enumerate((t or "").split("\n")):
-                n, leaf, whole, fields = parse_line(line, min_generalised)
-                if n >= min_tokens:
-                    rows.append({"line_no": i, "is_first": whole not in seen, "is_long": n >= LONG, "leaf": leaf, "line": whole, "fields": fields})
+            rows, seen, lines = [], set(), masked_lines(t)
+            for i, tokens in enumerate(lines):
+                if len(tokens) >= min_tokens:
+                    n, leaf, whole, fields = parse_tokens(tokens, min_generalised)
+                    rows.append({"line_no": i, "is_first": whole not in seen, "n": n, "leaf": leaf, "line": whole, "fields": fields})
                     seen.add(whole)
-            out.append(rows)
+            piece, line_no, at = pieces_of(lines)
+            out.append({"lines": rows, "pieces": {"piece": piece.tolist(), "line_no": line_no.tolist(), "at": at.tolist()}})
+        _known.clear()
         return out
 
-    lines = docs.select(docs[key].alias(key), docs["_row"], text_udf(run, ROWS)(docs[text]).alias("_l"))
-    return lines.select(key, "_row", F.explode("_l").alias("_l")).select(key, "_row", "_l.*")
+    return docs.select(docs[key].alias("_key"), docs[row].alias("_row"), text_udf(run, PARSED, rows=1024)(docs[text]).alias("_p")).select("_key", "_row", "_p.*")
 
 
-def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float, long_docs: int = 2) -> DataFrame:
+def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float, long_docs: int = 2, variable_words: int = 8) -> DataFrame:
     """line, owner: every masked line whose template recurs, and the document that keeps it."""
-    least = F.when(F.col("is_long"), long_docs).otherwise(min_docs)
-    forms = written(lines.where("is_first").groupBy("leaf", "is_long", "line", "fields").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("owner")), "forms")
+    least = F.when(F.col("n") >= LONG, long_docs).otherwise(min_docs)
+    forms = written(lines.where("is_first").groupBy("leaf", "n", "line", "fields").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("owner")), "forms")
     exact = forms.where(F.col("docs") >= least).select("line", "owner")
-    # The token count is part of the leaf, so the lines of a leaf are all long or all short.
-    several = forms.where(F.size("fields") > 0).groupBy("leaf", "is_long").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("d")) \
-        .where((F.col("n") > 1) & (F.col("d") >= least)).select("leaf")
-    busy = skew_join(forms.where(F.size("fields") > 0), several, ["leaf"])
-    fields = busy.select("leaf", "is_long", "line", "docs", "owner", F.size("fields").alias("n_fields"), F.posexplode("fields").alias("at", "field"))
+    # The token count n is part of the leaf.
+    several = forms.where(F.size("fields") > 0).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("forms"), F.sum("docs").alias("d")) \
+        .where((F.col("forms") > 1) & (F.col("d") >= least)).select("leaf", "n")
+    busy = skew_join(forms.where(F.size("fields") > 0), several, ["leaf", "n"])
+    fields = busy.select("leaf", "n", "line", "docs", "owner", F.size("fields").alias("n_fields"), F.posexplode("fields").alias("at", "field"))
     fields = written(fields, "fields")
-    constant = fields.groupBy("leaf", "is_long", "at", "field").agg(F.sum("docs").alias("d")).where(F.col("d") >= least).select("leaf", "at", "field")
+    constant = fields.groupBy("leaf", "n", "at", "field").agg(F.sum("docs").alias("d")).where(F.col("d") >= least).select("leaf", "n", "at", "field")
+    words = F.when(F.col("n") <= FIELDS, 1).otherwise(F.floor((F.col("at") + 1) * F.col("n") / FIELDS) - F.floor(F.col("at") * F.col("n") / FIELDS))
     # At most FIELDS rows for each line meet here; variable fields are simply missing.
-    shape = skew_join(fields, constant, ["leaf", "at", "field"]).groupBy("leaf", "is_long", "line", "docs", "owner", "n_fields") \
-        .agg(F.sort_array(F.collect_list(F.struct("at", "field"))).alias("shape"))
-    shape = shape.where(F.size("shape") >= similarity * F.col("n_fields")) \
-        .select("line", "is_long", "docs", "owner", F.xxhash64("leaf", "shape").alias("template"))
+    shape = skew_join(fields, constant, ["leaf", "n", "at", "field"]).groupBy("leaf", "n", "line", "docs", "owner", "n_fields") \
+        .agg(F.sort_array(F.collect_list(F.struct("at", "field"))).alias("shape"), F.sum(words).alias("fixed"))
+    shape = shape.where((F.size("shape") >= similarity * F.col("n_fields")) & (F.col("n") - F.col("fixed") <= variable_words)) \
+        .select("line", "n", "docs", "owner", F.xxhash64("leaf", "shape").alias("template"))
     shape = written(shape, "shape")
-    templates = shape.groupBy("template", "is_long").agg(F.sum("docs").alias("d"), F.min("owner").alias("first")).where(F.col("d") >= least)
-    general = skew_join(shape.drop("is_long"), templates.select("template", "first"), ["template"]).select("line", F.col("first").alias("owner"))
+    templates = shape.groupBy("template", "n").agg(F.sum("docs").alias("d"), F.min("owner").alias("first")).where(F.col("d") >= least)
+    general = skew_join(shape, templates.select("template", "n", "first"), ["template", "n"]).select("line", F.col("first").alias("owner"))
     return exact.unionByName(general).groupBy("line").agg(F.min("owner").alias("owner"))
 
 
@@ -121,11 +136,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line number, first token) of every piece of the text's long lines."""
+def pieces_of(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line number, first token) of every piece of the long ones of a text's masked lines."""
     words, numbers, sizes = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        tokens = line.encode().translate(_DIGITS).split()
+    for i, tokens in enumerate(lines):
         if len(tokens) >= LONG:
             words += tokens
             numbers.append(i)
@@ -151,78 +165,78 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs[at].view(np.int64), np.array(numbers)[line[at]], at - start[line[at]]
 
 
-def cut(text: str, spans: list) -> tuple[str, int]:
-    """The text without the pieces that begin at (line number, token), and how many of its lines they cut; empty lines go."""
-    gone: dict[int, list[int]] = {}
-    for i, at in spans:
-        gone.setdefault(i, []).append(at)
-    out = []
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pieces_of(masked_lines(text))
+
+
+def edited(text: str, gone: list | None, spans: list | None) -> tuple[str, int]:
+    """The text without the lines `gone` and the pieces that begin at (line number, token), and how many lines these are; lines cut empty go."""
+    cuts: dict[int, list[int]] = {}
+    for s in spans or ():
+        cuts.setdefault(s["line_no"], []).append(s["at"])
+    out, drop = [], set(gone or ())
     for i, line in enumerate(text.split("\n")):
-        if i in gone:
+        if i in drop:
+            continue
+        if i in cuts:
             raw = line.encode()
             places = [(m.start(), m.end()) for m in _TOKEN.finditer(raw)]
             stay = np.ones(len(places), bool)
-            for at in gone[i]:
+            for at in cuts[i]:
                 stay[at:at + PIECE] = False
             if not stay.any():
                 continue
             line = (raw[:places[0][0]] + b"".join(raw[a:b] for (a, b), s in zip(places, stay) if s)).decode()
         out.append(line)
-    return "\n".join(out), len(gone)
-
-
-def cut_recurring(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """All columns of docs, text without the pieces that other documents keep, and n_dropped more by the lines cut."""
-    columns = docs.columns
-    docs = docs.withColumn("_row", F.xxhash64(key, text))
+    return "\n".join(out), len(drop) + len(cuts)
 
-    def hashes(texts: list) -> list:
-        return [np.unique(pieces(t)[0]).tolist() for t in texts]
 
-    def placed(texts: list) -> list:
-        return [[{"piece": p, "line_no": i, "at": a} for p, i, a in zip(*(x.tolist() for x in pieces(t)))] for t in texts]
-
-    found = docs.select(docs[key].alias("_key"), F.explode(text_udf(hashes, "array<bigint>")(F.col(text))).alias("piece"))
+def recurring_pieces(table: DataFrame, drops: DataFrame) -> DataFrame:
+    """_row, spans: the pieces (line_no, at) that another document keeps, of the lines that stay."""
+    own = table.where(F.size("pieces.piece") > 0).select("_key", "_row", "pieces.*") \
+        .select("_key", "_row", F.arrays_zip("piece", "line_no", "at").alias("_all")).join(drops, "_row", "left")
+    left = F.filter("_all", lambda p: ~F.coalesce(F.array_contains(F.col("gone"), p["line_no"]), F.lit(False)))
+    found = written(own.select("_key", "_row", F.explode(left).alias("_p")).select("_key", "_row", "_p.*"), "pieces")
     keys = found.groupBy("piece").agg(F.min("_key").alias("owner"), F.max("_key").alias("last"), F.max(F.col("_key").isNull()).alias("unnamed")) \
         .where("owner is not null and (owner != last or unnamed)").select("piece", "owner")
-    keys = written(keys, "pieces")
-    at = docs.select(docs[key].alias("_key"), "_row", F.explode(text_udf(placed, "array<struct<piece: bigint, line_no: int, at: int>>")(F.col(text))).alias("_p")) \
-        .select("_key", "_row", "_p.*").where(IdFilter(keys, "piece").may_hold(F.col("piece")))
+    keys = written(keys, "owners")
+    at = IdFilter(keys, "piece").marked(found, "piece", "_maybe").where("_maybe")
     hit = skew_join(at, keys, ["piece"]).where(~F.col("_key").eqNullSafe(F.col("owner")))
-    spans = written(hit.groupBy("_row").agg(F.collect_set(F.struct("line_no", "at")).alias("_spans")), "spans")
-    marked = docs.withColumn("_maybe", IdFilter(spans, "_row").may_hold(F.col("_row")))
+    return hit.groupBy("_row").agg(F.collect_set(F.struct("line_no", "at")).alias("spans"))
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 3, similarity: float = 0.5, min_tokens: int = 4, min_generalised: int = 8,
+                   text: str = "text", key: str = "doc_id", long_docs: int = 2, variable_words: int = 8) -> DataFrame:
+    """All columns of docs, text without the recurring lines, without pieces of long lines that recur, and n_lines, n_dropped (which replace columns of these names; lines cut count)."""
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    tag = uuid.uuid4().hex[:8]  # names of our own cannot clash with columns
+    row, maybe, edit = f"_row_{tag}", f"_maybe_{tag}", f"_edit_{tag}"
+    # A row is named by two hashes, 128 bits: equal only for equal keys and texts.
+    docs = docs.select(*[docs[c] for c in own], F.struct(F.xxhash64(docs[key], docs[text]).alias("a"), F.xxhash64(F.lit(tag), docs[text], docs[key]).alias("b")).alias(row))
+    table = written(parsed(docs, text, key, row, min_tokens, min_generalised), "parsed")
+    lines = table.select("_key", "_row", F.explode("lines").alias("_l")).select("_key", "_row", "_l.*")
+    keys = recurring_lines(lines, "_key", min_docs, similarity, long_docs, variable_words)
+    hit = skew_join(lines.select("_key", "_row", "line_no", "line"), keys, ["line"]).where(~F.col("_key").eqNullSafe(F.col("owner")))
+    drops = written(hit.groupBy("_row").agg(F.collect_set("line_no").alias("gone")), "drops")
+    edits = written(drops.join(recurring_pieces(table, drops), "_row", "full").withColumnRenamed("_row", row), "edits")
+    # Only documents that may lose something are shuffled.
+    marked = IdFilter(edits, row).marked(docs, row, maybe)
+    joined = marked.where(F.col(maybe)).join(edits.select(row, F.struct("gone", "spans").alias(edit)), row, "left")
 
     def run(rows: list) -> list:
         out = []
         for r in rows:
-            left, n = cut(r["t"], [(x["line_no"], x["at"]) for x in r["s"]])
+            left, n = edited(r["t"], r["e"]["gone"], r["e"]["spans"])
             out.append({"t": left, "n": n})
         return out
 
-    whole = [F.col(f"`{c}`") for c in columns]
-    joined = marked.where("_maybe").join(spans, "_row", "left")
-    given = F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))
-    less = joined.where("_spans is not null").select(*whole, text_udf(run, "struct<t: string, n: int>")(given).alias("_cut")) \
-        .select(*[F.col("_cut.t").alias(c) if c == text else (F.col(c) + F.col("_cut.n")).cast("long").alias(c) if c == "n_dropped" else F.col(f"`{c}`") for c in columns])
-    return marked.where("not _maybe").select(*whole).unionByName(joined.where("_spans is null").select(*whole)).unionByName(less)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long").alias("n_lines")
+    whole = [F.col(f"`{c}`") for c in own]
 
+    def same(df: DataFrame) -> DataFrame:
+        return df.select(*whole, n_lines, F.lit(0).cast("long").alias("n_dropped"))
 
-def drop_recurring(docs: DataFrame, min_docs: int = 3, similarity: float = 0.5, min_tokens: int = 4, min_generalised: int = 8,
-                   text: str = "text", key: str = "doc_id", long_docs: int = 2) -> DataFrame:
-    """All columns of docs, text without the recurring lines, without pieces of long lines that recur, and n_lines, n_dropped (which replace columns of these names; lines cut count)."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_row")]
-    docs = docs.select(*own).withColumn("_row", F.xxhash64(docs[key], docs[text]))
-    lines = written(parsed_lines(docs, text, key, min_tokens, min_generalised), "lines")
-    keys = recurring_lines(lines, key, min_docs, similarity, long_docs)
-    hit = skew_join(lines.select(key, "_row", "line_no", "line"), keys, ["line"]).where(~F.col(key).eqNullSafe(F.col("owner")))
-    drops = written(hit.groupBy("_row").agg(F.collect_set("line_no").alias("_gone")), "drops")
-    touched = IdFilter(drops, "_row")
-    marked = docs.withColumn("_maybe", touched.may_hold(F.col("_row")))
-    # Only documents that may lose a line are shuffled.
-    joined = marked.where("_maybe").join(drops, "_row", "left").unionByName(marked.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<int>")))
-    parts = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    thinned = joined.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in own],
-                         F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-                         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
-    return cut_recurring(written(thinned, "thinned"), text, key)
+    less = joined.where(F.col(edit).isNotNull()) \
+        .select(*whole, n_lines, text_udf(run, "struct<t: string, n: int>")(F.struct(F.col(text).alias("t"), F.col(edit).alias("e"))).alias(edit)) \
+        .select(*[F.col(f"{edit}.t").alias(c) if c == text else F.col(f"`{c}`") for c in own], "n_lines", F.col(f"{edit}.n").cast("long").alias("n_dropped"))
+    return same(marked.where(~F.col(maybe))).unionByName(same(joined.where(F.col(edit).isNull()))).unionByName(less)
