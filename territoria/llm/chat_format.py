@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import text_udf
+from territoria.llm.common import encode_text, text_udf
 
 #: The template's control strings.
 MARKS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[/TURN]")
@@ -70,14 +70,14 @@ def assemble(turns: DataFrame, path: str, pattern: str) -> DataFrame:
         out = []
         for role, text in rows:
             role, text = role or "", escape(text or "")
-            body = enc.encode_ordinary(text)
+            body = encode_text(enc, text)
             if role in TEMPLATE:
                 head, (opening, closing) = [], TEMPLATE[role]
                 ids = [mark[opening], *body, mark[closing]]
                 n_chars = len(opening) + len(text) + len(closing)
             else:
                 shown = escape(role)
-                head, closing = enc.encode_ordinary(shown), "[/TURN]"
+                head, closing = encode_text(enc, shown), "[/TURN]"
                 ids = [mark["[ROLE]"], *head, mark["[/ROLE]"], *body, mark[closing]]
                 n_chars = len("[ROLE][/ROLE]") + len(shown) + len(text) + len(closing)
             step = np.zeros(len(ids), np.int8)

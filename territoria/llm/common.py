@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -48,6 +49,26 @@ def text_udf(fn: Callable[[list], list], returns: str, rows: int = 256):
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
+#: What the pre-tokenizer's \\s stands for, in runs so long that its pattern would exhaust the stack.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode_text(enc, text: str) -> list[int]:
+    """enc.encode_ordinary(text) for texts with white space of any length.
+
+    The pattern takes a run of white space whole at the end of a text, and else but for its
+    last character, which may belong to the word behind it.  Such a piece of a very long run is
+    encoded as the piece it is, and the texts around it apart: the ids are the same.
+    """
+    ids, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc.encode_ordinary(text[at:m.start()])
+        ids += enc._encode_single_piece(text[m.start():end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def with_struct(df: DataFrame, result: Column, keep: list[str]) -> DataFrame:
     """`keep` columns and the fields of a struct result; other columns of df cannot clash with them."""
     tmp = f"_r_{uuid.uuid4().hex[:8]}"

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import text_udf, with_struct
+from territoria.llm.common import encode_text, text_udf, with_struct
 
 RESULT = "struct<n_tokens: bigint, n_sections: bigint, n_crossing: bigint, section_tokens: array<int>>"
 
@@ -65,7 +65,7 @@ def attribute(start: np.ndarray, end: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 def _count(text: str, ends: np.ndarray, path: str, pattern: str) -> dict:
     enc, lengths = _encoding(path, pattern)
-    ids = enc.encode_ordinary(text)
+    ids = encode_text(enc, text)
     start, end = token_spans(text, ids, lengths)
     counts, crossing = attribute(start, end, ends)
     return {"n_tokens": len(ids), "n_sections": len(ends), "n_crossing": crossing, "section_tokens": counts.tolist()}

@@ -442,3 +442,27 @@ def test_jaccard_of_rows_that_share_an_id(spark):
         for bounds in ({}, {"chunk": 2}, {"chunk_shingles": 60, "sketch_shingles": 50}):
             got = ngram_jaccard.near_duplicates(docs, **bounds)
             assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == expected
+
+
+def test_very_long_runs_are_encoded_whole():
+    from territoria.llm.common import encode_text
+
+    enc, _ = token_attribution._encoding(BYTE_BPE, public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    for run in (" ", "\n", "\t", " \u3000\n", "a"):
+        for n in (9_999, 10_000, 40_003):
+            for before, after in (("", ""), ("word", "next"), ("word", ""), ("", "\u00e9 x"), ("a.", " 's")):
+                text = before + "".join(rng.choice(run) for _ in range(n)) + after
+                assert encode_text(enc, text) == enc.encode_ordinary(text)
+
+
+def test_five_million_spaces(spark):
+    n = 5_000_000
+    rows = [(1, f"a{' ' * n}b\nc"), (2, "\n" * n), (3, "\t" * n + "x"), (4, "a" * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_attribution.line_token_counts(docs, BYTE_BPE, public_tokenizers.PATTERN).collect()}
+    assert got[1]["n_sections"] == 2 and got[2]["n_sections"] == n + 1
+    assert all(sum(r["section_tokens"]) == r["n_tokens"] > 0 for r in got.values())
+    turns = spark.createDataFrame([(1, 0, "user", rows[0][1]), (1, 1, "assistant", " " * n)], "conv_id long, turn long, role string, text string")
+    back = chat_format.read_back(chat_format.assemble(turns, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN).first()
+    assert (back["n_turns"], back["loss_chars"], back["loss_sha256"]) == (2, n, hashlib.sha256(b" " * n).hexdigest())
