@@ -27,6 +27,8 @@ from ..session import cut_lineage
 OFFSETS = list(product((-1, 0, 1), repeat=3))
 _SAFETY = 1.0 - 1e-9
 _MIN_CELL = chord_for_km(0.01)
+_SAME_PLACE = chord_for_km(1e-4)  # 10 cm: what six decimals of a degree tell apart
+NEIGHBOURHOOD = 32  # locations a wanted neighbour that the 27 cells of a first search may hold
 
 
 def _cell_cols(lat: Column, lon: Column, s: float, prefix: str) -> list[Column]:
@@ -146,6 +148,32 @@ def _dedupe_locations(df: DataFrame, pid: str, lat: str, lon: str, by: tuple[str
     return loc, members
 
 
+def start_edges(loc: DataFrame, s0: float, by: tuple[str, ...], most: float) -> dict[float, DataFrame]:
+    """Cell edge -> the locations whose search begins there: the largest of s0, s0 / 2, s0 / 4, ...
+    at which the 27 cells around a location's own hold at most `most` locations.
+
+    An adaptive tree walked level by level: only cells above the bound are split again, until
+    none is left or the cells are as small as coordinates can tell apart.  Cells are
+    counted first, so what spreads to neighbours is one row a cell and not a location.
+    """
+    out: dict[float, DataFrame] = {}
+    cells = ["_kx", "_ky", "_kz"]
+    pending, edge = loc, s0
+    while True:
+        count = loc.select(*by, *_cell_cols(F.col("_lat"), F.col("_lon"), edge, "_k")).groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_c"))
+        around = _neighbour_cells(count, "_k").groupBy(*by, *cells).agg(F.sum("_c").alias("_around"))
+        seen = cut_lineage(pending.select(*loc.columns, *_cell_cols(F.col("_lat"), F.col("_lon"), edge, "_k")).join(around, [*by, *cells], "left"))
+        last = edge / 2 < _SAME_PLACE
+        dense = F.lit(False) if last else F.coalesce(F.col("_around") > F.lit(most), F.lit(False))
+        fits = seen.filter(~dense).select(*loc.columns)
+        if not fits.isEmpty():
+            out[edge] = fits
+        pending = seen.filter(dense).select(*loc.columns)
+        if last or pending.isEmpty():
+            return out
+        edge /= 2
+
+
 def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "lat", lon: str = "lon",
                   by: tuple[str, ...] = ()) -> DataFrame:
     """Distances to the k nearest other points (J-09): returns pid, d1 (nearest), dk_mean.
@@ -153,30 +181,42 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
     Identical coordinates are folded into one location with a multiplicity
     first, so a hot spot holding a third of all rows is one row here: for a
     location of multiplicity m, m-1 neighbours sit at distance 0.  The search
-    then runs on distinct locations, level by level: one join to the 27
-    neighbour cells, one grouped collect per query location, and only
-    locations whose k-th distance is not yet proven go on to the next,
-    coarser level.  Each level's per-location result is checkpointed once.
+    then runs on distinct locations, level by level, from fine to coarse: one join
+    to the 27 neighbour cells, the k nearest by a ranked limit (applied before and
+    after the shuffle, so no list grows with the neighbourhood), and only locations
+    whose k-th distance is not yet proven go on to the next, coarser level.
+    A location enters at the level that fits its own surroundings
+    (`start_edges`), so a dense district costs no more a location than a
+    sparse one.  Each level's per-location result is checkpointed once.
     """
     by = tuple(by)
     loc, members = _dedupe_locations(points, pid, lat, lon, by)
     loc = cut_lineage(loc)
     s0, n = _spacing_chord(loc, "_lat", "_lon", per_cell=float(k + 1), by=by)
-    levels = _levels(s0)
-    cur = loc
+    entering = start_edges(loc, s0, by, most=NEIGHBOURHOOD * (k + 1)) or {s0: loc}
+    levels = [*sorted(e for e in entering if e < s0), *_levels(s0)]
+    cur = None
     results: list[DataFrame] = []
     for i, s in enumerate(levels):
+        new = entering.get(s)
+        cur = new if cur is None else cur if new is None else cur.unionByName(new)
+        if cur is None:
+            continue
         q = cur.select(*by, "_loc", "_lat", "_lon", "_m", *_cell_cols(F.col("_lat"), F.col("_lon"), s, "_k"))
         cand = loc.select(*by, F.col("_loc").alias("_oloc"), F.col("_lat").alias("_olat"),
                           F.col("_lon").alias("_olon"), F.col("_m").alias("_om"),
                           *_cell_cols(F.col("_lat"), F.col("_lon"), s, "_k"))
         cand = _neighbour_cells(cand, "_k")
-        pairs = (q.join(cand, on=[*by, "_kx", "_ky", "_kz"], how="left")
-                 .filter(F.col("_oloc").isNull() | (F.col("_oloc") != F.col("_loc"))))
-        nb = F.when(F.col("_oloc").isNotNull(),
+        # A location meets itself too: as no neighbour, which keeps those that meet no other.
+        pairs = q.join(cand, on=[*by, "_kx", "_ky", "_kz"], how="left")
+        nb = F.when(F.col("_oloc") != F.col("_loc"),
                     F.struct(haversine_km("_lat", "_lon", "_olat", "_olon").alias("d"), F.col("_oloc").alias("o"),
                              F.col("_om").alias("m")))
-        agg = pairs.groupBy(*by, "_loc", "_lat", "_lon", "_m").agg(F.array_sort(F.collect_list(nb)).alias("_nb"))
+        # Every neighbour counts once at least, so the k nearest locations are enough.
+        first = Window.partitionBy(*by, "_loc", "_lat", "_lon", "_m").orderBy(F.col("_nb1").asc_nulls_last())
+        pairs = pairs.select(*by, "_loc", "_lat", "_lon", "_m", nb.alias("_nb1")) \
+            .withColumn("_rk", F.row_number().over(first)).filter(F.col("_rk") <= k)
+        agg = pairs.groupBy(*by, "_loc", "_lat", "_lon", "_m").agg(F.array_sort(F.collect_list("_nb1")).alias("_nb"))
         # k distances: m-1 zeros (co-located copies), then neighbours by multiplicity.
         zeros = F.least(F.col("_m") - 1, F.lit(k)).cast("int")
         dist_k = F.slice(F.concat(
@@ -193,8 +233,11 @@ def knn_distances(points: DataFrame, k: int, pid: str = "pdv_id", lat: str = "la
         if final:
             break
         rest = scored.filter(~ok).select(*by, "_loc", "_lat", "_lon", "_m")
+        waiting = any(e in entering for e in levels[i + 1:])
         if rest.isEmpty():
-            break
+            if not waiting:
+                break
+            rest = None
         cur = rest
     out = results[0]
     for r in results[1:]:
