@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_udf(fn: Callable[[list], list], returns: str, rows: int = 256):
-    """Arrow function over one column: fn gets at most `rows` values as a Python list and gives as many results.
+def text_udf(fn: Callable[[list], list | pa.Array], returns: str, rows: int = 256):
+    """Arrow function over one column: fn gets at most `rows` values as a Python list and gives as many results, as a list or an Arrow array.
 
     A batch is worked through in such slices, so that its results are Python objects a few at a time only.
 
@@ -43,7 +43,8 @@ def text_udf(fn: Callable[[list], list], returns: str, rows: int = 256):
     arrow = to_arrow_type(DataType.fromDDL(returns))
 
     def run(col: pa.Array) -> pa.Array:
-        parts = [pa.array(fn(col.slice(lo, rows).to_pylist()), type=arrow) for lo in range(0, len(col), rows)]
+        results = (fn(col.slice(lo, rows).to_pylist()) for lo in range(0, len(col), rows))
+        parts = [r.cast(arrow) if isinstance(r, pa.Array) else pa.array(r, type=arrow) for r in results]
         return pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
 
     return F.arrow_udf(run, returns).asNondeterministic()

@@ -37,6 +37,7 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ LEADING = 3
 FIELDS = 16
 LONG = 50
 PIECE, SPREAD = 26, 25
+HELD_POWERS = 1 << 16
 PARSED = ("struct<lines: array<struct<line_no: int, is_first: boolean, n: int, leaf: bigint, line: bigint, fields: array<int>>>, "
           "pieces: struct<piece: array<bigint>, line_no: array<int>, at: array<int>>>")
 
@@ -56,9 +58,6 @@ _TOKEN = re.compile(rb"[^ \t\r\x0b\x0c]+[ \t\r\x0b\x0c]*")  # what split() takes
 _ODD = 0x9E3779B97F4A7C15  # any odd number does
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-_known: dict[bytes, int] = {}
-
-
 def parse_tokens(tokens: list[bytes], min_generalised: int = 8) -> tuple[int, int, int, list[int]]:
     """(token count, leaf, whole masked line, hash of each field)."""
     n, digest = len(tokens), xxhash.xxh64_intdigest
@@ -85,19 +84,37 @@ def parse_line(line: str, min_generalised: int = 8) -> tuple[int, int, int, list
 
 def parsed(docs: DataFrame, text: str, key: str, row: str, min_tokens: int, min_generalised: int) -> DataFrame:
     """_key, _row, lines (line_no, is_first within the document, n, leaf, line, fields; of at least min_tokens tokens), pieces (piece, line_no, at)."""
-    def run(texts: list) -> list:
-        out = []
+    def run(texts: list) -> pa.Array:
+        # Column by column: as many rows of lines would be slow as Python objects.
+        no, first, count, leaf_of, line_of, fields_of, places = [], [], [], [], [], [], []
+        line_ends, field_ends, piece_ends = [0], [0], [0]
         for t in texts:
-            rows, seen, lines = [], set(), masked_lines(t)
+            seen, lines = set(), masked_lines(t)
             for i, tokens in enumerate(lines):
                 if len(tokens) >= min_tokens:
                     n, leaf, whole, fields = parse_tokens(tokens, min_generalised)
-                    rows.append({"line_no": i, "is_first": whole not in seen, "n": n, "leaf": leaf, "line": whole, "fields": fields})
+                    no.append(i)
+                    first.append(whole not in seen)
+                    count.append(n)
+                    leaf_of.append(leaf)
+                    line_of.append(whole)
+                    fields_of += fields
+                    field_ends.append(len(fields_of))
                     seen.add(whole)
-            piece, line_no, at = pieces_of(lines)
-            out.append({"lines": rows, "pieces": {"piece": piece.tolist(), "line_no": line_no.tolist(), "at": at.tolist()}})
-        _known.clear()
-        return out
+            line_ends.append(len(no))
+            places.append(pieces_of(lines))
+            piece_ends.append(piece_ends[-1] + len(places[-1][0]))
+
+        def lists(ends: list, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+        names = ["line_no", "is_first", "n", "leaf", "line", "fields"]
+        columns = [pa.array(no, pa.int32()), pa.array(first, pa.bool_()), pa.array(count, pa.int32()), pa.array(leaf_of, pa.int64()),
+                   pa.array(line_of, pa.int64()), lists(field_ends, pa.array(fields_of, pa.int32()))]
+        piece, line_no, at = (np.concatenate([p[x] for p in places]) for x in range(3))
+        pieces = [lists(piece_ends, pa.array(x.astype(kind))) for x, kind in ((piece, np.int64), (line_no, np.int32), (at, np.int32))]
+        return pa.StructArray.from_arrays([lists(line_ends, pa.StructArray.from_arrays(columns, names)),
+                                           pa.StructArray.from_arrays(pieces, ["piece", "line_no", "at"])], ["lines", "pieces"])
 
     return docs.select(docs[key].alias("_key"), docs[row].alias("_row"), text_udf(run, PARSED, rows=1024)(docs[text]).alias("_p")).select("_key", "_row", "_p.*")
 
@@ -126,8 +143,19 @@ def recurring_lines(lines: DataFrame, key: str, min_docs: int, similarity: float
     return exact.unionByName(general).groupBy("line").agg(F.min("owner").alias("owner"))
 
 
+_held: list[tuple[np.ndarray, np.ndarray]] = []  # powers for the texts of usual length, worked out once a worker
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _ODD and of its inverse modulo 2^64."""
+    """The first n powers of _ODD and of its inverse modulo 2^64."""
+    if n <= HELD_POWERS:
+        if not _held:
+            _held.append(_count_powers(HELD_POWERS))
+        return _held[0][0][:n], _held[0][1][:n]
+    return _count_powers(n)
+
+
+def _count_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_ODD, pow(_ODD, -1, 1 << 64)):
         p = np.full(n, base, np.uint64)
@@ -136,6 +164,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(30)
+    h *= _MIX
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of each word: a polynomial over its bytes, all words in one pass over them."""
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    power, back = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * power[:-1], out=sums[1:])  # no byte counts as 0, so no word equals a longer one
+    starts = np.concatenate([[0], ends[:-1]])
+    return _mixed((sums[ends] - sums[starts]) * back[starts])
+
+
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` values the place of its least one, the first of equals; the width is reached by doubling."""
+    least, place, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        keep = least[:-step] <= least[step:]
+        least, place = np.where(keep, least[:-step], least[step:]), np.where(keep, place[:-step], place[step:])
+        have += step
+    return place
+
+
 def pieces_of(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, line number, first token) of every piece of the long ones of a text's masked lines."""
     words, numbers, sizes = [], [], []
@@ -146,21 +202,13 @@ def pieces_of(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
             sizes.append(len(tokens))
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(_known) > 100_000:
-        _known.clear()
-    for w in set(words):
-        if w not in _known:
-            _known[w] = xxhash.xxh64_intdigest(w)
     power, back = _powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)) * power[:-1], dtype=np.uint64)])
-    runs = (sums[PIECE:] - sums[:-PIECE]) * back[:len(words) - PIECE + 1]
-    runs ^= runs >> np.uint64(30)
-    runs *= _MIX
-    runs ^= runs >> np.uint64(31)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * power[:-1], dtype=np.uint64)])
+    runs = _mixed((sums[PIECE:] - sums[:-PIECE]) * back[:len(words) - PIECE + 1])
     line = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.flatnonzero(line[:len(words) - LONG + 1] == line[LONG - 1:])  # LONG tokens from here on are of one line
-    least = np.lib.stride_tricks.sliding_window_view(runs, SPREAD)[inside].argmin(1)
-    at = np.unique(inside + least)
+    chosen = first_least(runs, SPREAD)[inside]
+    at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen  # places never go back
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return runs[at].view(np.int64), np.array(numbers)[line[at]], at - start[line[at]]
 
