@@ -23,6 +23,7 @@ def address_fallback(stored, logradouro, numero, bairro, cidade, uf) -> Column:
     return F.coalesce(F.nullif(_c(stored), F.lit("")), built)
 
 
+# Fixed value: a street and its number, letters allowed.
 CENTRE_NUMBER = r"(.*?)[, ]+(\d+[A-Za-z\-/]*)$"
 
 

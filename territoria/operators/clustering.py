@@ -252,35 +252,53 @@ def _drop_undersize(a, cen, min_pdv, max_pdv, tempo_max_min, kmh, merge_km, radi
 KM_PER_DEG = 111.0
 
 
+# Rule for eps (km) and min_samples from the median distance to the next place.
+EPS_PER_MEDIAN = 20.0
+SMALL_GROUP, SMALL_MIN, SMALL_MAX = 60, 3, 30
+DENSITY_LOW, DENSITY_SPAN = 0.05, 0.1
+
+
 def adaptive_dbscan_params(points: DataFrame, pid: str = "pdv_id", by: tuple[str, ...] = (),
                            eps_min_km: float = 2.0, eps_max_km: float = 6.0,
-                           ms_min: int = 10, ms_max: int = 30) -> tuple[float, int]:
-    """eps = clip(20 x median nearest-other-location km, 2, 6); min_samples from
-    density (small inputs: clip(n // 2, 3, 30)).  The median is exact (kNN on
-    distinct locations, `percentile`), not from a sample."""
+                           ms_min: int = 10, ms_max: int = 30) -> DataFrame:
+    """Per group: eps_km = EPS_PER_MEDIAN x the median km from a place to the next other one, within
+    [eps_min_km, eps_max_km]; min_samples grows from ms_min to ms_max with the density 1 / median,
+    and is half the points, 3 to 30, for groups of fewer than SMALL_GROUP points.
+
+    The median is exact: places ranked by distance over all tasks, so a group of any
+    size is never gathered.  A group with one place only counts as infinitely dense.
+    """
     from .spatial import knn_distances
-    locs = points.groupBy(*by, "lat", "lon").agg(F.min(pid).alias(pid))
-    nn = knn_distances(locs, 1, pid=pid, by=by)
-    r = nn.agg(F.percentile("d1_km", 0.5).alias("med"), F.count(F.lit(1)).alias("n")).first()
-    n = points.count()
-    med = float(r["med"] or 0.0)
-    eps = min(max(med * 20.0, eps_min_km), eps_max_km)
-    if n < 60:
-        ms = max(3, min(30, n // 2))
-    else:
-        dens = min(max((1.0 / (med + 1e-6) - 0.05) / 0.1, 0.0), 1.0)
-        ms = int(min(max(int(ms_min + dens * (ms_max - ms_min)), ms_min), ms_max))
-    return eps, ms
+    if not by:  # one group
+        return adaptive_dbscan_params(points.withColumn("_all", F.lit(0)), pid, ("_all",), eps_min_km, eps_max_km, ms_min, ms_max).drop("_all")
+    by = list(by)
+    places = points.groupBy(*by, "lat", "lon").agg(F.min(pid).alias(pid))
+    near = cut_lineage(knn_distances(places, 1, pid=pid, by=tuple(by)).select(*by, pid, "d1_km").filter(F.col("d1_km").isNotNull()))
+    sizes = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    spots = ranked(near, by, ["d1_km", pid], out="_rk").join(sizes, by)
+    middle = F.col("_rk").isin(F.floor((F.col("_m") + 1) / 2), F.floor(F.col("_m") / 2) + 1)
+    median = spots.filter(middle).groupBy(*by).agg(F.avg("d1_km").alias("_med"))
+    total = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    g = total.join(median, by, "left")
+    med = F.coalesce("_med", F.lit(0.0))
+    density = F.least(F.greatest((F.lit(1.0) / (med + 1e-6) - DENSITY_LOW) / DENSITY_SPAN, F.lit(0.0)), F.lit(1.0))
+    small = F.least(F.greatest(F.floor(F.col("_n") / 2), F.lit(SMALL_MIN)), F.lit(SMALL_MAX))
+    ms = F.when(F.col("_n") < SMALL_GROUP, small).otherwise(F.floor(ms_min + density * (ms_max - ms_min)))
+    return g.select(*by, F.least(F.greatest(med * EPS_PER_MEDIAN, F.lit(float(eps_min_km))), F.lit(float(eps_max_km))).alias("eps_km"),
+                    ms.cast("int").alias("min_samples"))
 
 
 def _cell_id(a, b):
     return (a.cast("long") * F.lit(4294967296) + (b.cast("long") + F.lit(2147483648)))
 
 
-def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_id",
-           by: tuple[str, ...] = ()) -> DataFrame:
+def dbscan(points: DataFrame, eps_km: float | None = None, min_samples: int | None = None, pid: str = "pdv_id",
+           by: tuple[str, ...] = (), params: DataFrame | None = None) -> DataFrame:
     """C-13: density clusters with eps in degrees (eps_km / 111, planar), every point labelled.
 
+    eps_km and min_samples hold for all groups, or `params` has them for each group
+    (columns `by`, eps_km, min_samples); cells then have the size of the group's own eps.
+
     * fine cells of side eps/sqrt(2): all points of a cell are neighbours, so a
       cell holding >= min_samples points makes all of them core with no pairs;
     * only points of sparse cells count neighbours, against the 5x5 cells
@@ -289,31 +307,38 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
       cores are within eps, and components come from min-label propagation
       on the cell graph (checkpointed per round);
     * border points join the component of their nearest core; noise points
-      join the nearest cluster mean (haversine); no cluster at all -> label 0.
+      join the nearest cluster mean (haversine); a group without any cluster -> label 0.
     Labels are 0..k-1 in order of each cluster's smallest point id.
     """
+    if params is not None and not by:  # one group
+        return dbscan(points.withColumn("_all", F.lit(0)), pid=pid, by=("_all",), params=params.withColumn("_all", F.lit(0))).drop("_all")
     by = tuple(by)
-    eps = eps_km / KM_PER_DEG
-    side = eps / 2 ** 0.5
-    p = points.select(pid, *by, "lat", "lon",
-                      F.floor(F.col("lat") / side).alias("_ca"), F.floor(F.col("lon") / side).alias("_cb"))
+    if params is None:
+        p = points.withColumn("_eps", F.lit(eps_km / KM_PER_DEG)).withColumn("_ms", F.lit(min_samples))
+    else:
+        own = params.select(*by, (F.col("eps_km") / KM_PER_DEG).alias("_eps"), F.col("min_samples").alias("_ms"))
+        p = points.join(own, list(by))
+    side = F.col("_eps") / 2 ** 0.5
+    p = p.select(pid, *by, "lat", "lon", "_eps", "_ms",
+                 F.floor(F.col("lat") / side).alias("_ca"), F.floor(F.col("lon") / side).alias("_cb"))
     p = cut_lineage(p)
     cnt = p.groupBy(*by, "_ca", "_cb").agg(F.count(F.lit(1)).alias("_cc"))
     p = p.join(cnt, [*by, "_ca", "_cb"])
     offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
     other = p.select(F.col(pid).alias("_o"), *by, F.col("lat").alias("_olat"), F.col("lon").alias("_olon"),
                      "_ca", "_cb", F.col("_cc").alias("_occ"))
-    sparse = p.filter(F.col("_cc") < min_samples)
+    sparse = p.filter(F.col("_cc") < F.col("_ms"))
+    reach = F.col("_eps") * F.col("_eps")
     q = (sparse.withColumn("_off", F.explode(offs))
          .withColumn("_na", F.col("_ca") + F.col("_off.i")).withColumn("_nb", F.col("_cb") + F.col("_off.j"))
          .drop("_off"))
     d2 = lambda a, b, c, d: F.pow(F.col(a) - F.col(c), 2) + F.pow(F.col(b) - F.col(d), 2)
     pairs = (q.join(other.withColumnRenamed("_ca", "_na").withColumnRenamed("_cb", "_nb"), [*by, "_na", "_nb"])
-             .filter((F.col("_o") != F.col(pid)) & (d2("lat", "lon", "_olat", "_olon") <= eps * eps)))
+             .filter((F.col("_o") != F.col(pid)) & (d2("lat", "lon", "_olat", "_olon") <= reach)))
     pairs = cut_lineage(pairs.select(pid, "_o", "_olat", "_olon", "_occ", "lat", "lon", *by))
     ncount = pairs.groupBy(pid).agg(F.count(F.lit(1)).alias("_nn"))
     p = (p.join(ncount, pid, "left")
-         .withColumn("_core", (F.col("_cc") >= min_samples) | (F.coalesce("_nn", F.lit(0)) + 1 >= min_samples)))
+         .withColumn("_core", (F.col("_cc") >= F.col("_ms")) | (F.coalesce("_nn", F.lit(0)) + 1 >= F.col("_ms"))))
     p = cut_lineage(p.drop("_nn"))
     cores = p.filter("_core")
     if cores.isEmpty():
@@ -321,12 +346,12 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
     cid = _cell_id(F.col("_ca"), F.col("_cb"))
     core_cells = cores.select(*by, "_ca", "_cb").distinct().withColumn("_cell", cid)
     # edges between cells: a core pair within eps (both ends core)
-    cq = (cores.select(pid, *by, "lat", "lon", "_ca", "_cb").withColumn("_off", F.explode(offs))
+    cq = (cores.select(pid, *by, "lat", "lon", "_eps", "_ca", "_cb").withColumn("_off", F.explode(offs))
           .withColumn("_na", F.col("_ca") + F.col("_off.i")).withColumn("_nb", F.col("_cb") + F.col("_off.j"))
           .filter((F.col("_off.i") > 0) | ((F.col("_off.i") == 0) & (F.col("_off.j") > 0))).drop("_off"))
     co = cores.select(*by, F.col("lat").alias("_olat"), F.col("lon").alias("_olon"),
                       F.col("_ca").alias("_na"), F.col("_cb").alias("_nb"))
-    edges = (cq.join(co, [*by, "_na", "_nb"]).filter(d2("lat", "lon", "_olat", "_olon") <= eps * eps)
+    edges = (cq.join(co, [*by, "_na", "_nb"]).filter(d2("lat", "lon", "_olat", "_olon") <= reach)
              .select(*by, _cell_id(F.col("_ca"), F.col("_cb")).alias("_u"),
                      _cell_id(F.col("_na"), F.col("_nb")).alias("_v")).distinct())
     edges = cut_lineage(edges.unionByName(edges.select(*by, F.col("_v").alias("_u"), F.col("_u").alias("_v"))))
@@ -357,13 +382,15 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "pdv_i
     clustered = lab_all.filter(F.col("_lab").isNotNull())
     noise = lab_all.filter(F.col("_lab").isNull()).drop("_lab")
     means = clustered.groupBy(*by, "_lab").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    if by:  # groups without any cluster have nothing to join
+        noise = noise.join(means.select(*by).distinct(), list(by), "left_semi")
     from .spatial import nearest
     fixed = nearest(noise, means, "_lab", by=by, out_id="_lab", out_km="_nk").drop("_nk")
     everything = clustered.select(pid, *by, "_lab").unionByName(fixed.select(pid, *by, "_lab"))
     order = everything.groupBy(*by, "_lab").agg(F.min(pid).alias("_first"))
     order = ranked(order, list(by), ["_first"], out="_r").withColumn("cluster_id", (F.col("_r") - 1).cast("int"))
     res = everything.join(order.select(*by, "_lab", "cluster_id"), [*by, "_lab"]).select(pid, "cluster_id")
-    return points.join(res, pid)
+    return points.join(res, pid, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)))
 
 
 # ----------------------------------------------------------------- C-12

@@ -86,7 +86,7 @@ def normalize_for_geocoding(e: str) -> str:
         s = word_replace(s, a, b)
     s = rr(strip(s), "(?i)" + STREET_PREFIX, "", "")
     lead = f"(' ' || {s})"
-    s = f"substring({rr(lead, '(?i)(' + W + ')(?:' + '|'.join(UNIT_WORDS) + ')(' + W + '.*)?$', chr(92) + '1', '')}, 2)"
+    s = f"substring({rr(lead, '(?i)(' + W + ')' + UNIT_WORDS + '(' + W + '.*)?$', chr(92) + '1', '')}, 2)"
     return tidy(s)
 
 

@@ -79,7 +79,7 @@ def q_vendor_base(spark, sf_dir):
     return A.vendor_base(a, pv)
 
 
-@register("vendor_summary", sql=ASSIGN_SQL + f""",
+VENDOR_SUMMARY_SQL = ASSIGN_SQL + f""",
 sales as (
   select a.vendedor_id, sum(cast(round(p.pdv_vendas * 100, 0) as bigint)) as cents, count(p.pdv_vendas) as nv
   from route_stops s join assigned a on a.cluster_id = s.cluster_id and a.subcluster_seq = s.subcluster_seq
@@ -96,7 +96,10 @@ select t.vendedor_id, t.total_rotas, t.total_pdvs, t.km_total, t.tempo_total_min
        coalesce(s.cents, 0) / 100.0 as vendas_total,
        coalesce(floor((2 * s.cents + s.nv) / cast(2 * s.nv as double)) / 100.0, 0.0) as vendas_media
 from tot t left join sales s on s.vendedor_id = t.vendedor_id
-""")
+"""
+
+
+@register("vendor_summary", sql=VENDOR_SUMMARY_SQL)
 def q_vendor_summary(spark, sf_dir):
     """X-03 / A-12 / A-13 / P-35: per vendor routes, km, minutes, sales and means."""
     a, stops = _assigned(spark, sf_dir)
@@ -123,7 +126,11 @@ def q_vendor_summary(spark, sf_dir):
                     F.coalesce("_vm", F.lit(0.0)).alias("vendas_media"))
 
 
-@register("vendor_summary_ptbr")
+PTBR_DECIMALS = ("km_total", "km_medio_por_rota", "km_medio_diario", "tempo_total_min", "tempo_medio_por_rota", "vendas_total", "vendas_media")
+
+
+@register("vendor_summary_ptbr", sql="select vendedor_id, total_rotas, total_pdvs, " + ", ".join(
+    f"translate(format('{{:,.1f}}', cast({c} as double)), ',.', '.,') as {c}" for c in PTBR_DECIMALS) + " from (" + VENDOR_SUMMARY_SQL + ") t")
 def q_vendor_summary_ptbr(spark, sf_dir):
     """P-32: the vendor summary with `1.234,5` number text for the export."""
     s = q_vendor_summary(spark, sf_dir)

@@ -172,7 +172,35 @@ def q_balance_fixed_centres(spark, sf_dir):
 DB_EPS_KM, DB_MIN_SAMPLES = 15.0, 6
 
 
-@register("dbscan_sectors")
+def _density_sql(group: str, params: str) -> str:
+    """Density sectors by definition: neighbours by all pairs of a group, components by recursion.
+    `params` defines par (grp, eps, ms)."""
+    return fx.with_fixtures("points").replace("with ", "with recursive ", 1) + f""",
+g as (select pdv_id, {group} as grp, lat, lon from points),
+{params},
+nb as (select a.grp, a.pdv_id as a, b.pdv_id as b, power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2) as d2
+       from g a join g b on b.grp = a.grp join par on par.grp = a.grp
+       where power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2) <= par.eps * par.eps),
+core as (select nb.a from nb join par on par.grp = nb.grp group by nb.a, par.ms having count(*) >= par.ms),
+edge as (select nb.a, nb.b from nb join core x on x.a = nb.a join core y on y.a = nb.b),
+reach(a, b) as (select a, a from core union select r.a, e.b from reach r join edge e on e.a = r.b),
+comp as (select a, min(b) as comp from reach group by a),
+border as (select nb.a, arg_min(c.comp, nb.d2) as comp from nb join comp c on c.a = nb.b
+           where nb.a not in (select a from core) group by nb.a),
+placed as (select g.*, t.comp from g join (select * from comp union all select * from border) t on t.a = g.pdv_id),
+means as (select grp, comp, avg(lat) as lat, avg(lon) as lon from placed group by grp, comp),
+noise as (select g.pdv_id, g.grp, m.comp, row_number() over (partition by g.pdv_id order by {_hav('g', 'm')}, m.comp) as rn
+          from g join means m on m.grp = g.grp where g.pdv_id not in (select pdv_id from placed)),
+everything as (select pdv_id, grp, comp from placed union all select pdv_id, grp, comp from noise where rn = 1),
+labels as (select grp, comp, row_number() over (partition by grp order by min(pdv_id)) - 1 as cluster_id
+           from everything group by grp, comp)
+select g.pdv_id, g.grp as {group}, g.lat, g.lon, cast(coalesce(l.cluster_id, 0) as int) as cluster_id
+from g left join everything e on e.pdv_id = g.pdv_id left join labels l on l.grp = e.grp and l.comp = e.comp
+"""
+
+
+@register("dbscan_sectors", sql=_density_sql("tenant_id", f"""
+par as (select distinct grp, cast({DB_EPS_KM} as double) / 111.0 as eps, {DB_MIN_SAMPLES} as ms from g)"""))
 def q_dbscan_sectors(spark, sf_dir):
     """C-13 / J-10: density sectors per tenant (eps 15 km, min 6 points); noise joins the nearest cluster."""
     from ..operators.clustering import dbscan
@@ -180,6 +208,40 @@ def q_dbscan_sectors(spark, sf_dir):
     return dbscan(pts, DB_EPS_KM, DB_MIN_SAMPLES, by=("tenant_id",))
 
 
+ADAPTIVE = {"eps_min_km": 2.0, "eps_max_km": 12.0, "ms_min": 2, "ms_max": 6}
+ADAPTIVE_CTE = f"""
+place as (select grp, lat, lon, min(pdv_id) as pdv_id from g group by grp, lat, lon),
+near as (select a.grp, a.pdv_id, min({_hav('a', 'b')}) as d
+         from place a join place b on b.grp = a.grp and b.pdv_id <> a.pdv_id group by a.grp, a.pdv_id),
+med as (select grp, quantile_cont(d, 0.5) as med from near group by grp),
+par0 as (
+  select n.grp, least(greatest(coalesce(med, 0.0) * 20.0, 2.0), 12.0) as eps_km,
+         case when n < 60 then least(greatest(n // 2, 3), 30)
+              else floor(2 + least(greatest((1.0 / (coalesce(med, 0.0) + 1e-6) - 0.05) / 0.1, 0.0), 1.0) * 4) end as ms
+  from (select grp, count(*) as n from g group by grp) n left join med on med.grp = n.grp),
+par as (select grp, eps_km / 111.0 as eps, ms from par0)"""
+
+
+@register("density_params", sql=fx.with_fixtures("points") + f""",
+g as (select pdv_id, zona as grp, lat, lon from points),
+{ADAPTIVE_CTE}
+select grp as zona, round(eps_km, 6) as eps_km, cast(ms as int) as min_samples from par0
+""")
+def q_density_params(spark, sf_dir):
+    """C-05 / C-13: eps and min_samples of every zone from the exact median distance between its places."""
+    from ..operators.clustering import adaptive_dbscan_params
+    p = adaptive_dbscan_params(fx.points(spark, sf_dir).select("pdv_id", "zona", "lat", "lon"), by=("zona",), **ADAPTIVE)
+    return p.select("zona", F.round("eps_km", 6).alias("eps_km"), "min_samples")
+
+
+@register("dbscan_adaptive", sql=_density_sql("zona", ADAPTIVE_CTE))
+def q_dbscan_adaptive(spark, sf_dir):
+    """C-13: density sectors per zone, each zone with its own eps and min_samples."""
+    from ..operators.clustering import adaptive_dbscan_params, dbscan
+    pts = fx.points(spark, sf_dir).select("pdv_id", "zona", "lat", "lon")
+    return dbscan(pts, by=("zona",), params=adaptive_dbscan_params(pts, by=("zona",), **ADAPTIVE))
+
+
 DENSE_CAP = 25
 
 

@@ -11,7 +11,7 @@ from ..operators.spatial import nearest
 from ..operators.windows import dense_relabel, duplicate_flag, keep_first, ranked
 from ..sources import dims
 from ..sources import fixtures as fx
-from ..sources.tables import scan_ceps, scan_points
+from ..sources.tables import latest_run, scan_ceps, scan_points
 from .q_clustering import NEAREST_CTE
 from .q_text import CLEAN_SQL
 from .registry import register
@@ -65,9 +65,7 @@ order by id desc limit 1
 """)
 def q_latest_done_job(spark, sf_dir):
     """S-09 / F-05 / L-01: newest `done` row with a null-safe key match."""
-    j = fx.job_log(spark, sf_dir)
-    f = j.filter((F.col("status") == "done") & F.col("input_id").eqNullSafe(F.lit("input-7")))
-    return f.orderBy(F.col("id").desc()).limit(1).select("id", "job_id", "input_id", "status")
+    return latest_run(fx.job_log(spark, sf_dir), match={"input_id": "input-7"}).select("id", "job_id", "input_id", "status")
 
 
 @register("points_validate_existing", sql=CLEAN_SQL.replace(

@@ -57,13 +57,13 @@ def scan_ceps(marketplace: DataFrame | None, points: DataFrame | None, use_marke
     return f.select(*cols)
 
 
-def latest_run(runs: DataFrame, uf: str | None = None, cidade: str | None = None,
-               status: str = "done") -> DataFrame:
-    """S-09: newest run with the status; city matched null-safely (F-05)."""
+def latest_run(runs: DataFrame, uf: str | None = None, match: dict | None = None, status: str = "done") -> DataFrame:
+    """S-09: newest run with the status; the columns of `match` (a run's city, say) are matched null-safely (F-05)."""
     f = runs.filter(F.col("status") == status)
     if uf is not None:
         f = f.filter(F.col("uf") == uf)
-    f = f.filter(F.col("cidade").eqNullSafe(F.lit(cidade)))
+    for column, value in (match or {}).items():
+        f = f.filter(F.col(column).eqNullSafe(F.lit(value)))
     return f.orderBy(F.col("id").desc()).limit(1)
 
 
