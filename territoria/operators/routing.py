@@ -20,6 +20,7 @@ MAX_STOPS_PER_ROUTE = 20_000
 PIECE_STOPS = 4_000
 SEAM_STOPS = 100
 SAME_POINT_DEG = 1e-5
+CENTRE_DEG = 1e-4
 
 
 def route_count(n, dias: int, freq: float, mode: str = "proporcional"):
@@ -255,17 +256,23 @@ def route_legs(seq: DataFrame, depots: DataFrame, route: list[str], depot_keys:
 
 def leg_costs(legs: DataFrame, cache: DataFrame | None, kmh: float, alpha: float) -> DataFrame:
     """J-13: leg km/min from the cache on 6-decimal coordinates, else haversine x alpha;
-    identical points cost nothing (service time is added per stop)."""
+    identical points cost nothing (service time is added per stop).
+
+    A cache with the column `rota_coord` (array of {lat, lon}) passes on the way of its
+    leg as `caminho`, null elsewhere."""
     k = ["_k1", "_k2", "_k3", "_k4"]
 
     def keys(a, b, c, d):
         return [F.round(F.col(x), 6).alias(n) for x, n in zip((a, b, c, d), k)]
 
     l2 = legs.select("*", *keys("a_lat", "a_lon", "b_lat", "b_lon"))
+    with_path = cache is not None and "rota_coord" in cache.columns
     if cache is not None:
+        ways = [F.col("rota_coord").alias("caminho")] if with_path else []
         c = (cache.select(*keys("origem_lat", "origem_lon", "destino_lat", "destino_lon"),
-                          F.col("distancia_km").alias("_ckm"), F.col("tempo_min").alias("_cmin"))
-             .groupBy(*k).agg(F.min(F.struct("_ckm", "_cmin")).alias("_c")).select(*k, "_c._ckm", "_c._cmin"))
+                          F.col("distancia_km").alias("_ckm"), F.col("tempo_min").alias("_cmin"), *ways)
+             .groupBy(*k).agg(F.min(F.struct("_ckm", "_cmin", *[F.col("caminho") for _ in ways])).alias("_c"))
+             .select(*k, "_c.*"))
         l2 = l2.join(c, k, "left")
     else:
         l2 = l2.withColumn("_ckm", F.lit(None).cast("double")).withColumn("_cmin", F.lit(None).cast("double"))
@@ -276,7 +283,46 @@ def leg_costs(legs: DataFrame, cache: DataFrame | None, kmh: float, alpha: float
             .otherwise(travel_min(fb_km, kmh)))
     fonte = F.when(same, F.lit("mesmo_ponto")).when(F.col("_ckm").isNotNull(), F.lit("cache")).otherwise(F.lit("haversine"))
     return l2.select(*[c for c in legs.columns], F.round(km, 3).alias("km"), F.round(mins, 1).alias("min"),
-                     fonte.alias("fonte"))
+                     fonte.alias("fonte"), *([F.when(~same, F.col("caminho")).alias("caminho")] if with_path else []))
+
+
+def route_paths(costed: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str]) -> DataFrame:
+    """R-04: the way of every route, one row a vertex, numbered from 1 by `ponto`.
+
+    `costed` is the result of `leg_costs`.  A leg gives its stored way, or its two ends where
+    it has none; a leg between identical points gives nothing.  The way begins and ends at
+    the centre: where its first or last vertex is more than 1e-4 degrees off, the centre is
+    put before or after it.  A route all of whose legs are empty goes centre, stops, centre.
+    One row a vertex keeps a route of any length out of a single value.
+    """
+    def at(lat, lon):
+        return F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+
+    ends = F.array(at("a_lat", "a_lon"), at("b_lat", "b_lon"))
+    stored = F.when(F.size("caminho") > 0, F.col("caminho")) if "caminho" in costed.columns else F.lit(None)
+    moved = F.col("fonte") != "mesmo_ponto"
+    g = costed.groupBy(*route).agg(
+        F.count_if(moved).alias("_moved"), F.max("leg").alias("_last"),
+        F.min_by(F.coalesce(stored, ends), F.when(moved, F.col("leg"))).alias("_first"),
+        F.max_by(F.coalesce(stored, ends), F.when(moved, F.col("leg"))).alias("_final"))
+    legs = costed.join(g.select(*route, "_moved"), route)
+    way = F.when(moved, F.coalesce(stored, ends)).when(F.col("_moved") == 0, F.array(at("a_lat", "a_lon")))
+    v = legs.select(*route, F.col("leg").cast("long").alias("leg"), F.posexplode(way).alias("_i", "_xy"))
+
+    d = depots.select(*depot_keys, F.col("lat").alias("_dlat"), F.col("lon").alias("_dlon"))
+    centre = at("_dlat", "_dlon")
+
+    def off(p):
+        return (F.abs(p["lat"] - F.col("_dlat")) > CENTRE_DEG) | (F.abs(p["lon"] - F.col("_dlon")) > CENTRE_DEG)
+
+    extra = g.join(d, depot_keys).select(*route, F.explode(F.array(
+        F.when((F.col("_moved") > 0) & off(F.col("_first")[0]), F.struct(F.lit(0).cast("long").alias("leg"), centre.alias("p"))),
+        F.when((F.col("_moved") == 0) | off(F.element_at("_final", -1)),
+               F.struct((F.col("_last") + 1).cast("long").alias("leg"), centre.alias("p"))))).alias("_e")).filter(F.col("_e").isNotNull())
+    rows = v.select(*route, "leg", "_i", "_xy").unionByName(
+        extra.select(*route, F.col("_e.leg").alias("leg"), F.lit(0).alias("_i"), F.col("_e.p").alias("_xy")))
+    return (ranked(rows, route, ["leg", "_i"], out="ponto")
+            .select(*route, F.col("ponto").cast("long").alias("ponto"), F.col("_xy.lat").alias("lat"), F.col("_xy.lon").alias("lon")))
 
 
 def route_totals(costed: DataFrame, route: list[str], service_min: float) -> DataFrame:

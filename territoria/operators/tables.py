@@ -104,12 +104,37 @@ def with_ids(rows: DataFrame, current_max: int, order: list[str], id_col: str =
     return ranked(rows, [], order, out="_rk").withColumn(id_col, F.lit(int(current_max)) + F.col("_rk")).drop("_rk")
 
 
-def snapshot(rows: DataFrame, snapshot_id: str, name: str, tags: list[str] | None = None) -> DataFrame:
-    """K-14: frozen copy of routes under a name and tags."""
-    return (rows.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("nome", F.lit(name))
+def snapshot(rows: DataFrame, snapshot_id, name, tags: list[str] | None = None) -> DataFrame:
+    """K-14: frozen copy of routes under a name and tags.  The id and the name are one value
+    each, or columns of `rows` where several snapshots are taken at once."""
+    def value(v):
+        return v if isinstance(v, Column) else F.lit(v)
+    return (rows.withColumn("snapshot_id", value(snapshot_id)).withColumn("nome", value(name))
             .withColumn("tags", F.array(*[F.lit(t) for t in (tags or [])]).cast("array<string>")))
 
 
+def list_snapshots(headers: DataFrame, tenant_id: int, uf: str | None = None, cidade: str | None = None) -> DataFrame:
+    """K-14: a tenant's snapshots, of one state or city where given, newest first (ties by id)."""
+    h = headers.filter(F.col("tenant_id") == F.lit(tenant_id))
+    if uf:
+        h = h.filter(F.col("uf") == F.lit(uf))
+    if cidade:
+        h = h.filter(F.col("cidade") == F.lit(cidade))
+    return (h.select("snapshot_id", "nome", "descricao", "criado_em", "tags", "uf", "cidade")
+            .orderBy(F.col("criado_em").desc(), F.col("snapshot_id").desc()))
+
+
+def restore_snapshot(live: DataFrame, frozen: DataFrame, headers: DataFrame, tenant_id: int, name: str) -> DataFrame:
+    """K-14: the tenant's live rows replaced by those of its snapshot of that name, the newest
+    where several have it (ties by id).  Other tenants keep their rows.  Where the tenant has
+    no such snapshot, or the snapshot holds no rows, everything stays as it is."""
+    chosen = (headers.filter((F.col("tenant_id") == F.lit(tenant_id)) & (F.col("nome") == F.lit(name)))
+              .agg(F.max_by("snapshot_id", F.struct("criado_em", "snapshot_id")).alias("snapshot_id")))
+    back = frozen.join(chosen, "snapshot_id", "left_semi").withColumn("tenant_id", F.lit(tenant_id).cast(live.schema["tenant_id"].dataType))
+    emptied = back.select("tenant_id").distinct()  # no row where nothing comes back
+    return live.join(emptied, "tenant_id", "left_anti").select(*live.columns).unionByName(back.select(*live.columns))
+
+
 def write_slice(df: DataFrame, path: str, partition_cols: list[str]) -> None:
     """Idempotent write: dynamic partition overwrite of exactly the slices in `df`."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

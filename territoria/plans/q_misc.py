@@ -186,13 +186,14 @@ def q_radius_stats(spark, sf_dir):
                     (F.col("_p95") * 3.0 <= ROUTE_KM_MAX).alias("cabe_rota"))
 
 
-@register("zone_centroids", sql=fx.with_fixtures("points", "marketplace_cep").rstrip() + CEP_POINTS_SQL + """,
+@register("zone_centroids", sql=fx.with_fixtures("points", "marketplace_cep").rstrip() + CEP_POINTS_SQL + f""",
 w as (select c.zona, c.lat, c.lon, m.clientes_total as peso from cep_points c join marketplace_cep m on m.cep = c.cep),
 mx as (select zona, max(peso) as wmax from w group by zona)
 select w.zona,
        round(case when sum(peso) = 0 then avg(lat) else sum(peso * lat) / sum(peso) end, 6) as centro_lat,
        round(case when sum(peso) = 0 then avg(lon) else sum(peso * lon) / sum(peso) end, 6) as centro_lon,
        min(w.lat) as lat_min, max(w.lat) as lat_max, min(w.lon) as lon_min, max(w.lon) as lon_max,
+       round({haversine_sql('min(w.lat)', 'min(w.lon)', 'max(w.lat)', 'max(w.lon)')}, 3) as diametro_km,
        round(max(cast(peso as double) / mx.wmax), 6) as peso_norm_max,
        round(min(cast(peso as double) / mx.wmax), 6) as peso_norm_min
 from w join mx on mx.zona = w.zona group by w.zona
@@ -202,7 +203,7 @@ def q_zone_centroids(spark, sf_dir):
     m = fx.marketplace_cep(spark, sf_dir).select("cep", F.col("clientes_total").alias("peso"))
     w = _cep_points(spark, sf_dir).select("zona", "cep", "lat", "lon").join(m, "cep")
     c = weighted_centroid(w, ["zona"], "peso")
-    b = bbox_diameter(w, ["zona"]).drop("diametro_km")
+    b = bbox_diameter(w, ["zona"])
     nw = normalised_weight(w, "peso", ["zona"]).groupBy("zona").agg(
         F.round(F.max("peso_norm"), 6).alias("peso_norm_max"), F.round(F.min("peso_norm"), 6).alias("peso_norm_min"))
     return c.join(b, "zona").join(nw, "zona")

@@ -8,6 +8,7 @@ from ..functions.geo import haversine_sql
 from ..functions.ids import format_cnpj
 from ..operators import assign as A
 from ..operators.aggregates import cluster_metrics
+from ..operators.layers import density_layer
 from ..operators.spatial import nearest
 from ..sources import fixtures as fx
 from .q_assign import ASSIGN_SQL, _assigned
@@ -144,12 +145,7 @@ from points group by 1, 2, 4, 5
 """)
 def q_density_grid(spark, sf_dir):
     """X-10: map layer as data: point density per 0.25-degree cell with bubble size."""
-    p = fx.points(spark, sf_dir)
-    g = p.groupBy(F.floor(F.col("lat") / GRID).cast("long").alias("gy"),
-                  F.floor(F.col("lon") / GRID).cast("long").alias("gx")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("gy", "gx", "n", ((F.col("gy") + 0.5) * GRID).alias("cell_lat"),
-                    ((F.col("gx") + 0.5) * GRID).alias("cell_lon"),
-                    F.greatest(F.lit(3.0), F.least(F.lit(12.0), F.lit(3.0) + F.lit(0.6) * F.col("n"))).alias("tamanho"))
+    return density_layer(fx.points(spark, sf_dir), GRID)
 
 
 @register("point_search", sql=fx.with_fixtures("points") + """
@@ -175,10 +171,7 @@ def q_route_snapshots(spark, sf_dir):
     from ..operators.tables import snapshot
     a, _ = _assigned(spark, sf_dir)
     r = a.join(_route_city(spark, sf_dir), ROUTE).select(*ROUTE, "vendedor_id", "cidade")
-    snaps = None
-    for i in range(5):
-        s = snapshot(r.filter(F.col("cluster_id") % 5 == i), f"snap-{i}", "mensal", ["auto"])
-        snaps = s if snaps is None else snaps.unionByName(s)
+    snaps = snapshot(r, F.concat(F.lit("snap-"), (F.col("cluster_id") % 5).cast("string")), "mensal", ["auto"])
     return snaps.filter(F.col("cidade").ilike("%1%")).select("snapshot_id", "nome", *ROUTE, "vendedor_id", "cidade")
 
 

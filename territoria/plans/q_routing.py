@@ -166,18 +166,21 @@ legs as (select cluster_id, subcluster_seq, lag(lat) over w as a_lat, lag(lon) o
          from seq window w as (partition by cluster_id, subcluster_seq order by so)),
 c as (select cluster_id, subcluster_seq,
              sum(round(case when abs(a_lat - b_lat) < 1e-5 and abs(a_lon - b_lon) < 1e-5 then 0.0
-                            else {haversine_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} * {ALPHA} end, 3)) as km
+                            else {haversine_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} * {ALPHA} end, 3)) as km,
+             sum(round(case when abs(a_lat - b_lat) < 1e-5 and abs(a_lon - b_lon) < 1e-5 then 0.0
+                            else {haversine_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} * {ALPHA} / {KMH} * 60.0 end, 1)) as min
       from legs where a_lat is not null group by 1, 2),
 n as (select cluster_id, subcluster_seq, count(*) as n from route_stops group by 1, 2)
-select n.cluster_id, n.subcluster_seq, case when n.n < 2 then 0.0 else round(c.km, 3) end as distancia_km
+select n.cluster_id, n.subcluster_seq, case when n.n < 2 then 0.0 else round(c.km, 3) end as distancia_km,
+       case when n.n < 2 then 10.0 else round(c.min, 1) end as tempo_min
 from n left join c on c.cluster_id = n.cluster_id and c.subcluster_seq = n.subcluster_seq
 """)
 def q_multi_stop_cost(spark, sf_dir):
-    """R-05: route cost over the stops alone (no depot); short lists cost 0 km."""
+    """R-05: route cost over the stops alone (no depot); short lists cost 0 km and 10 minutes."""
     stops = fx.route_stops(fx.points(spark, sf_dir))
     w = Window.partitionBy(*ROUTE).orderBy("lon", "lat", "pdv_id")
     seq = stops.withColumn("so", F.row_number().over(w))
-    return R.multi_stop_cost(seq, ROUTE, "so", None, KMH, ALPHA).select(*ROUTE, "distancia_km")
+    return R.multi_stop_cost(seq, ROUTE, "so", None, KMH, ALPHA).select(*ROUTE, "distancia_km", "tempo_min")
 
 
 @register("sector_metric_rollup", sql=_cost_sql() + """,
