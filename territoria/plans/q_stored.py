@@ -210,3 +210,24 @@ def q_json_round_trip(spark, sf_dir):
     p = fx.points(spark, sf_dir).select("pdv_id", "cidade", "pdv_vendas")
     files.write_json(p, path)
     return spark.read.schema(p.schema).json(path)
+
+
+@register("geojson_cities", sql="with v as (" + fx.POLYGON_VERTICES_SQL + """)
+select upper(cidade) as cidade_key, 'XX' as uf_key, cast(0 as int) as ring, cast(seq as int) as seq, lon, lat from v
+""")
+def q_geojson_cities(spark, sf_dir):
+    """S-06 / N-05: city rings written as one GeoJSON document and read back feature by feature.
+    Names of other members hold braces and quotes, which are no structure."""
+    path = _folder(spark, "geojson")
+    odd = F.lit('a } "quoted" { name')
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda v: F.array(v["lon"], v["lat"]))
+    feat = fx.polygon_vertices(spark, sf_dir).groupBy("cidade").agg(ring.alias("r")).select(F.to_json(F.struct(
+        F.struct(odd.alias("nota"), F.col("cidade").alias("NM_MUN"), F.lit("XX").alias("SIGLA_UF")).alias("properties"),
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Polygon").alias("type"), F.array("r").alias("coordinates")).alias("geometry"))).alias("f"))
+    # one row a nation at most, so the document is small
+    doc = feat.agg(F.array_join(F.collect_list("f"), ", ").alias("f")).select(F.concat(
+        F.lit('{"type": "FeatureCollection", "name": "x { y", "crs": {"type": "name", "properties": {"name": "}"}}, "features": ['),
+        F.col("f"), F.lit("]}")).alias("value"))
+    doc.coalesce(1).write.text(path)
+    return files.scan_polygons(spark, path)
