@@ -395,14 +395,14 @@ def dbscan(points: DataFrame, eps_km: float | None = None, min_samples: int | No
 
 # ----------------------------------------------------------------- C-12
 def _cell_bounds(pts: DataFrame, group: list[str], side: int) -> DataFrame:
-    """Per point: lower/upper bound of its total distance to the group's points,
-    from cell summaries (count, centroid, radius) by the triangle inequality."""
+    """Per place: lower/upper bound of its total distance to the group's points (`_w` at each
+    place), from side x side cell summaries (count, centroid, radius) by the triangle inequality."""
     box = pts.groupBy(*group).agg(F.min("lat").alias("_la0"), F.max("lat").alias("_la1"),
                                   F.min("lon").alias("_lo0"), F.max("lon").alias("_lo1"))
     h = F.greatest((F.col("_la1") - F.col("_la0")) / side, (F.col("_lo1") - F.col("_lo0")) / side, F.lit(1e-9))
     p = pts.join(box, group).withColumn("_ci", F.floor((F.col("lat") - F.col("_la0")) / h).cast("int")) \
         .withColumn("_cj", F.floor((F.col("lon") - F.col("_lo0")) / h).cast("int"))
-    cen = p.groupBy(*group, "_ci", "_cj").agg(F.count(F.lit(1)).alias("cnt"), F.avg("lat").alias("clat"),
+    cen = p.groupBy(*group, "_ci", "_cj").agg(F.sum("_w").alias("cnt"), F.avg("lat").alias("clat"),
                                               F.avg("lon").alias("clon"))
     rad = (p.join(cen, [*group, "_ci", "_cj"]).groupBy(*group, "_ci", "_cj", "cnt", "clat", "clon")
            .agg(F.max(haversine_km("lat", "lon", "clat", "clon")).alias("r")))
@@ -415,33 +415,47 @@ def _cell_bounds(pts: DataFrame, group: list[str], side: int) -> DataFrame:
     return b.withColumn("_lu", lu).select(*pts.columns, F.col("_lu.lb").alias("_lb"), F.col("_lu.ub").alias("_ub"))
 
 
-def medoids(points: DataFrame, group: list[str], pid: str = "pdv_id", side: int = 32,
-            pair_budget: int = 200_000_000) -> DataFrame:
+def medoids(points: DataFrame, group: list[str], pid: str = "pdv_id", side: int = 32, batch: int = 64) -> DataFrame:
     """Exact medoid (smallest total haversine distance, ties by id) per group.
 
-    Bounds from a side x side grid of cell summaries prune the candidates; only
-    candidates get exact sums (candidates x group rows, aggregated per
-    candidate).  The grid is refined while candidates x points exceeds the
-    budget.  Never all pairs of a group.
+    Points at one place count as one place with their number.  Cell summaries give every
+    place a lower bound and leave out those that cannot win.  Then in rounds: the places
+    with the smallest bounds (`batch` a group, twice as many each round) get their exact
+    totals, and a total S at distance d from a place raises its bound to |S - n d|, again by
+    the triangle inequality.  The search ends when no bound is below the best total, after
+    about the square root of n totals on points that spread over an area; nothing is cut off.
+    Points without a coordinate and groups without any are left out.
     """
-    pts = points.select(*group, pid, "lat", "lon")
-    n = pts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    pts = points.select(*group, pid, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    loc = cut_lineage(pts.groupBy(*group, "lat", "lon").agg(F.count(F.lit(1)).alias("_w"), F.min(pid).alias("_id")))
+    n = loc.groupBy(*group).agg(F.sum("_w").alias("_n"))
+    b = _cell_bounds(loc, group, side)
+    t = b.groupBy(*group).agg(F.min("_ub").alias("_t"))
+    near = 1 + 1e-9  # totals of equal places differ by rounding
+    left = b.join(t, group).filter(F.col("_lb") <= F.col("_t") * near).select(*group, "_id", "lat", "lon", "_lb")
+    best = None
     while True:
-        b = cut_lineage(_cell_bounds(pts, group, side))
-        t = b.groupBy(*group).agg(F.min("_ub").alias("_t"))
-        cand = cut_lineage(b.join(t, group).filter(F.col("_lb") <= F.col("_t") * (1 + 1e-12))
-                           .select(*group, F.col(pid).alias("_cid"), F.col("lat").alias("_clat"), F.col("lon").alias("_clon")))
-        work = cand.groupBy(*group).agg(F.count(F.lit(1)).alias("_c")).join(n, group) \
-            .agg(F.sum(F.col("_c") * F.col("_n"))).first()[0] or 0
-        if work <= pair_budget or side >= 512:
+        left = ranked(left, group, ["_lb", "_id"], out="_rk")
+        pick = left.filter(F.col("_rk") <= batch).groupBy(*group).agg(
+            F.collect_list(F.struct("_id", "lat", "lon")).alias("_p"))  # at most `batch` a group
+        tried = loc.join(pick, group).select(*group, "_w", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.explode("_p").alias("p"))
+        tried = cut_lineage(tried.groupBy(*group, "p._id", "p.lat", "p.lon")
+                            .agg(F.sum(F.col("_w") * haversine_km("p.lat", "p.lon", "_la", "_lo")).alias("_s"))
+                            .toDF(*group, "_id", "lat", "lon", "_s"))
+        now = tried.groupBy(*group).agg(F.min(F.struct("_s", "_id", "lat", "lon")).alias("_m"))
+        if best is not None:
+            now = best.unionByName(now).groupBy(*group).agg(F.min("_m").alias("_m"))
+        best = cut_lineage(now)
+        known = tried.groupBy(*group).agg(F.collect_list(F.struct("lat", "lon", "_s")).alias("_p")).join(n, group).join(best, group)
+        bound = F.aggregate("_p", F.col("_lb"), lambda acc, y: F.greatest(acc, F.abs(
+            y["_s"] - F.col("_n") * haversine_km(F.col("lat"), F.col("lon"), y["lat"], y["lon"]))))
+        left = (left.filter(F.col("_rk") > batch).drop("_rk").join(known, group).withColumn("_lb", bound)
+                .filter(F.col("_lb") <= F.col("_m._s") * near).select(*group, "_id", "lat", "lon", "_lb"))
+        left = cut_lineage(left)
+        if left.isEmpty():
             break
-        side *= 2
-    sums = (cand.join(pts, group).groupBy(*group, "_cid")
-            .agg(F.sum(haversine_km("_clat", "_clon", "lat", "lon")).alias("_s")))
-    best = sums.groupBy(*group).agg(F.min(F.struct("_s", "_cid")).alias("_m"))
-    return (best.select(*group, F.col("_m._cid").alias("medoid_id"))
-            .join(pts.select(*group, F.col(pid).alias("medoid_id"), F.col("lat").alias("medoid_lat"),
-                             F.col("lon").alias("medoid_lon")), [*group, "medoid_id"]))
+        batch = min(2 * batch, 1024)
+    return best.select(*group, F.col("_m._id").alias("medoid_id"), F.col("_m.lat").alias("medoid_lat"), F.col("_m.lon").alias("medoid_lon"))
 
 
 def dense_subset(points: DataFrame, cap: int, group: list[str], pid: str = "pdv_id") -> DataFrame:
