@@ -643,7 +643,7 @@ def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min:
     sectors with centre and metrics.  Returns (sectors, point -> sector)."""
     from .aggregates import cluster_metrics
     from .quality import flag_outliers
-    from .windows import keep_first
+    from .windows import dense_relabel, keep_first
     d = keep_first(points.withColumn("_neg", -F.col(pid)), ["lat", "lon", "cnpj"], "_neg").drop("_neg")
     out = flag_outliers(d, z=z, pid=pid, by=tuple(group)).select(pid, "is_outlier")
     d = d.join(out, pid, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
@@ -652,6 +652,8 @@ def run_clustering(points: DataFrame, group: list[str], cap: int, tempo_max_min:
     d = cut_lineage(d)
     labeled = kmeans_capacity(d.select(*group, pid, "lat", "lon"), group, cap, tempo_max_min, kmh,
                               max_tries=max_tries, pid=pid)
+    # a cluster that Lloyd leaves without a point has no sector, so the labels are numbered anew
+    labeled = dense_relabel(labeled.withColumnRenamed("cluster_id", "_c"), "_c", group).drop("_c")
     cen = labeled.groupBy(*group, "cluster_id").agg(F.round(F.avg("lat"), 6).alias("centro_lat"),
                                                     F.round(F.avg("lon"), 6).alias("centro_lon"))
     j = labeled.join(cen, [*group, "cluster_id"]).withColumn(

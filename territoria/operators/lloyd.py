@@ -21,6 +21,8 @@ squared degrees, as in the reference's k-means on raw coordinates.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions.geo import haversine_km
 from ..session import cut_lineage
 from .windows import ranked
 
@@ -289,3 +292,16 @@ def k_for_capacity(points: DataFrame, group: list[str], cap: int, freq: float =
     return (points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
             .select(*group, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(cap) * max(freq, 1.0))))
                     .cast("int").alias("k")))
+
+
+def k_for_radius(points: DataFrame, group: list[str], radius_km: float, pid: str = "pdv_id") -> DataFrame:
+    """C-05, by density: the points spread over the circle of their 95th-percentile distance to
+    the mean point; k = ceil(n / (density * area of a circle of `radius_km`)), 1 at least."""
+    from .aggregates import exact_percentile
+    mean = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"))
+    d = points.select(*group, pid, "lat", "lon").join(mean, group).withColumn("_d", haversine_km("_clat", "_clon", "lat", "lon"))
+    far = exact_percentile(d, group, "_d", 0.95, pid, "raio_p95_km")
+    density = F.col("_n") / (F.lit(math.pi) * F.col("raio_p95_km") * F.col("raio_p95_km"))
+    k = F.ceil(F.col("_n") / (density * F.lit(math.pi * radius_km * radius_km)))
+    return mean.join(far, group, "left").select(
+        *group, F.when((F.col("_n") >= 2) & (F.col("raio_p95_km") > 0), F.greatest(F.lit(1), k)).otherwise(1).cast("int").alias("k"))

@@ -13,13 +13,16 @@ from .spatial import knn_distances
 REQUIRED = ["cnpj", "logradouro", "cidade", "uf"]
 
 
-def clean_points_raw(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
+def clean_points_raw(raw: DataFrame, row_id: str = "row_id", nfc: bool = False) -> DataFrame:
     """Clean a sheet of string cells into the point schema (projections only, no shuffle).
 
     Written as stages whose outputs are referenced by name, so every regular
     expression is evaluated once per row and the generated code stays small.
     A missing CNPJ gets a surrogate `X` + 13-digit row id with `cnpj_gerado`
     set, so it can never be mistaken for a real identifier.
+
+    `nfc` also composes letters that a sheet spells with combining marks (P-03); it
+    reads the sheet twice, once for the rows that have such letters.
     """
     cells = ["cnpj", "logradouro", "numero", "bairro", "cidade", "uf"]
     s1 = raw.select(F.col(row_id),
@@ -27,6 +30,8 @@ def clean_points_raw(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
                       for c in cells],
                     text.fix_encoding(F.coalesce(F.col("cep"), F.lit(""))).alias("_cep"),
                     text.fix_encoding(F.coalesce(F.col("pdv_vendas"), F.lit(""))).alias("_vendas"))
+    if nfc:
+        s1 = text.nfc_odd_rows(s1, *["_" + c for c in cells])
     s2 = s1.select(row_id,
                    ids.clean_cnpj("_cnpj").alias("_cnpj1"),
                    *[F.when(F.col("_" + c).isin("nan", "None"), F.lit("")).otherwise(F.col("_" + c)).alias("_" + c)

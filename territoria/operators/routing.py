@@ -109,7 +109,7 @@ def _schema_of(df: DataFrame, keys: list[str], pid: str) -> str:
     return f"{fields}, {pid} long, sequencia_ordem int"
 
 
-def _solver(keys: list[str], pid: str, improve: bool):
+def _solver(keys: list[str], pid: str, improve: bool, own=None):
     """Stop order of one group; from (depot_lat, depot_lon) back to it, or on to (end_lat, end_lon) where given."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf[pid].to_numpy(dtype=np.int64)
@@ -117,7 +117,12 @@ def _solver(keys: list[str], pid: str, improve: bool):
         lon = pdf["lon"].to_numpy(dtype=float)
         first = pdf.iloc[0]
         dlat, dlon = float(first["depot_lat"]), float(first["depot_lon"])
-        order = nearest_neighbour_order(dlat, dlon, ids, lat, lon)
+        if own is not None:
+            order = np.asarray(own((dlat, dlon), ids, np.column_stack([lat, lon])), dtype=np.int64)
+            if len(order) != len(ids) or not np.array_equal(np.sort(order), np.arange(len(ids))):
+                raise ValueError("a solver must return every position of its stops once")
+        else:
+            order = nearest_neighbour_order(dlat, dlon, ids, lat, lon)
         if improve and len(order) > 3:
             end = np.array([first["end_lat"], first["end_lon"]], float) if "end_lat" in pdf else None
             order = two_opt(np.array([dlat, dlon]), np.column_stack([lat, lon]), order, end=end)
@@ -131,9 +136,13 @@ def _solver(keys: list[str], pid: str, improve: bool):
 
 def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str],
                    pid: str = "pdv_id", improve: bool = False, limit: int = MAX_STOPS_PER_ROUTE,
-                   piece: int = PIECE_STOPS) -> DataFrame:
+                   piece: int = PIECE_STOPS, solver=None) -> DataFrame:
     """R-02 (+R-03): stop order 1..n of every route, all routes in parallel.
 
+    `solver` (N-03) replaces the nearest neighbour: a function of the depot (lat, lon), the
+    stops' ids and their (lat, lon) rows that returns the stops' positions in visiting order.
+    It sees one route of at most `limit` stops; longer routes keep the library's own order.
+
     One `applyInPandas` group per route of at most `limit` stops; sizes are counted
     first, so no group can exceed what a task may hold, and longer routes go through
     `sequence_long_routes`.
@@ -142,9 +151,9 @@ def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_
     s = stops.select(*route, *[k for k in depot_keys if k not in route], pid, "lat", "lon").join(d, depot_keys)
     long = cut_lineage(s.groupBy(*route).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
     if long.isEmpty():
-        return s.groupBy(*route).applyInPandas(_solver(route, pid, improve), schema=_schema_of(s, route, pid))
+        return s.groupBy(*route).applyInPandas(_solver(route, pid, improve, solver), schema=_schema_of(s, route, pid))
     short = s.join(long.select(*route), route, "left_anti")
-    done = short.groupBy(*route).applyInPandas(_solver(route, pid, improve), schema=_schema_of(s, route, pid))
+    done = short.groupBy(*route).applyInPandas(_solver(route, pid, improve, solver), schema=_schema_of(s, route, pid))
     return done.unionByName(sequence_long_routes(s.join(long, route), route, pid, improve, limit, piece))
 
 

@@ -54,6 +54,15 @@ def q_points_clean(spark, sf_dir):
     return clean_points_raw(fx.points_raw(spark, sf_dir))
 
 
+@register("points_clean_nfc", sql=CLEAN_SQL + "select * from clean")
+def q_points_clean_nfc(spark, sf_dir):
+    """P-03 / N-02: a sheet whose accents are combining marks is cleaned into the same points."""
+    raw = fx.points_raw(spark, sf_dir)
+    for composed, spelt in (("ã", "a\u0303"), ("ô", "o\u0302"), ("Ç", "C\u0327")):
+        raw = raw.withColumn("logradouro", F.replace("logradouro", F.lit(composed), F.lit(spelt)))
+    return clean_points_raw(raw, nfc=True)
+
+
 @register("address_forms", sql=CLEAN_SQL + f"""
 select row_id,
        {D.normalize_base('pdv_endereco_completo')} as endereco_base,
