@@ -89,13 +89,17 @@ def _spacing_chord(df: DataFrame, lat: str, lon: str, per_cell: float,
 def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str, ...] = (),
             lat: str = "lat", lon: str = "lon", c_lat: str = "lat", c_lon: str = "lon",
             out_id: str = "centro_id", out_km: str = "dist_km",
-            cell_km: float | None = None) -> DataFrame:
+            cell_km: float | None = None, within_km: float | None = None, allowed=None) -> DataFrame:
     """Append the nearest centre (haversine; ties -> smallest id) to every point.
 
     `by` restricts candidates to centres with equal key columns.  Points keep
     all their columns and are never grouped or shuffled by point: each point
     meets exactly one row of its cell, which holds the centres of the 27
     surrounding cells as an array, and the arg-min is an array expression.
+
+    With `within_km` only centres up to that far count and the search ends at cells of that
+    size; points without one get a null id.  `allowed(lat, lon)` is a condition on a point
+    and a centre's coordinates; centres that do not meet it are passed over.
     """
     by = tuple(by)
     c = centres.select(*[F.col(b) for b in by], F.col(centre_id).alias("_cid"),
@@ -112,6 +116,9 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
     cur = points
     results: list[DataFrame] = []
     levels = _levels(s0)
+    if within_km is not None:
+        reach = min(2.0, chord_for_km(within_km) * (2.0 - _SAFETY))
+        levels = [s for s in levels if s < reach / 2] + [reach]
     for i, s in enumerate(levels):
         cc = c.select(*by, "_cid", "_clat", "_clon", *_cell_cols(F.col("_clat"), F.col("_clon"), s, "_k"))
         cc = _neighbour_cells(cc, "_k")
@@ -119,21 +126,29 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
                  .agg(F.collect_list(F.struct("_cid", "_clat", "_clon")).alias("_cands")))
         p = cur.select("*", *_cell_cols(F.col(lat), F.col(lon), s, "_k"))
         j = p.join(cells, on=[*by, "_kx", "_ky", "_kz"], how="left")
+        cands = F.col("_cands")
+        if allowed is not None:
+            cands = F.filter(cands, lambda e: allowed(e["_clat"], e["_clon"]))
         scored = j.withColumn("_best", F.array_min(F.transform(
-            F.col("_cands"),
+            cands,
             lambda e: F.struct(haversine_km(F.col(lat), F.col(lon), e["_clat"], e["_clon"]).alias("d"),
                                e["_cid"].alias("id")))))
         final = i == len(levels) - 1
+        if within_km is not None and not final:  # read by three jobs
+            scored = cut_lineage(scored.select(*cols, "_best"))
         guard = km_for_chord(s) * _SAFETY
         ok = F.lit(True) if final else (F.col("_best.d") <= F.lit(guard))
-        done = scored.filter(ok).select(*cols, F.col("_best.id").alias(out_id), F.col("_best.d").alias(out_km))
+        best = F.col("_best")
+        if final and within_km is not None:
+            best = F.when(F.col("_best.d") <= F.lit(float(within_km)), best)
+        done = scored.filter(ok).select(*cols, best["id"].alias(out_id), best["d"].alias(out_km))
         results.append(done)
         if final:
             break
         rest = scored.filter(~F.coalesce(ok, F.lit(False))).select(*cols)
         if rest.isEmpty():
             break
-        cur = cut_lineage(rest)
+        cur = rest if within_km is not None else cut_lineage(rest)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
