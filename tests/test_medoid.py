@@ -51,3 +51,23 @@ def test_subset_of_small_and_large_groups(spark):
     near = np.argsort(_hav(xy[m][None, :], xy), kind="stable")[:20]
     assert sorted(r["pdv_id"] for r in out if r["g"] == "a") == sorted(near.tolist())
     assert sorted(r["pdv_id"] for r in out if r["g"] == "b") == [1000, 1001, 1002]
+
+
+@pytest.mark.parametrize("kind, n", [("area", 1500), ("ring", 300), ("copies", 400), ("dense", 1000)])
+def test_jobs_over_all_tasks_equal_the_search_in_a_task(spark, kind, n):
+    rows = [("g", i, float(a), float(b)) for i, (a, b) in enumerate(_points(kind, n))] + [("one", 10**6, 1.0, 1.0), (None, 5, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, pdv_id long, lat double, lon double")
+    in_task, by_jobs = ({r["g"]: r["medoid_id"] for r in medoids(df, ["g"], side=4, local=k).collect()} for k in (n, 1))
+    tot = _totals(_points(kind, n))
+    assert set(in_task) == set(by_jobs) == {"g", "one"}
+    assert tot[in_task["g"]] == pytest.approx(tot[by_jobs["g"]], rel=1e-12)
+
+
+def test_groups_that_a_task_holds_need_no_rounds_of_jobs(spark):
+    rows = [(g, 1000 * g + i, float(a), float(b)) for g in range(3) for i, (a, b) in enumerate(_points("ring", 900))]
+    df = spark.createDataFrame(rows, "g long, pdv_id long, lat double, lon double")
+    sc = spark.sparkContext
+    sc.setJobGroup("medoids-in-tasks", "")
+    medoids(df, ["g"]).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("medoids-in-tasks")) <= 14
