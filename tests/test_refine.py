@@ -10,7 +10,7 @@ from conftest import SF_MED
 
 import __spark_entry__ as E
 from territoria.operators import routing as R
-from territoria.operators.clustering import recluster_by_route, refine_macro
+from territoria.operators.clustering import recluster_by_route, recluster_recursive, refine_macro
 from territoria.operators.lloyd import k_for_capacity
 from territoria.plans.q_clustering import KMH, REFINE
 from territoria.sources import fixtures as fx
@@ -191,3 +191,37 @@ def test_registered_refinements(spark):
     assert subs.agg(F.sum("n_pdvs")).first()[0] == n
     assert subs.where("status = 'OK' and (tempo_min > 480 or dist_km > 200)").count() == 0
     assert E.queries()["recluster_by_route"](spark, SF_MED).count() == n
+
+
+def _jobs(spark, name, fn):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, "")
+    out = fn()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_splits_in_tasks_equal_splits_level_by_level(spark):
+    """Clusters larger than a task's share take jobs of a level first; one id twice, one key null."""
+    rng = np.random.default_rng(5)
+    rows = [(1, "a" if i % 3 else "b", i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1, 1, (150, 2)))]
+    rows += [(1, "a", 7, 0.25, 0.5), (None, "a", 900, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "t int, z string, pdv_id long, lat double, lon double")
+
+    def recursive(local):
+        return sorted(map(tuple, recluster_recursive(df, ["t"], "z", 12, 40.0, KMH, local=local).select("pdv_id", "cluster_label", "status").collect()))
+
+    def by_route(local):
+        members, clusters = recluster_by_route(df, ["t"], "z", 5, local=local, **REFINE)
+        ends = {r["cluster_label"]: (r["n_pdvs"], r["dist_km"], r["tempo_min"], r["status"]) for r in clusters.collect()}
+        return sorted((r["pdv_id"], r["cluster_label"], r["status"]) for r in members.collect()), ends
+
+    one, jobs = _jobs(spark, "recursive-in-tasks", lambda: recursive(None))
+    assert one == recursive(60) and jobs <= 10
+    (members, ends), jobs = _jobs(spark, "by-route-in-tasks", lambda: by_route(None))
+    levels = by_route(60)
+    assert members == levels[0] and jobs <= 14
+    assert ends.keys() == levels[1].keys()
+    for label, (n, dist, minutes, status) in ends.items():
+        assert levels[1][label][::3] == (n, status)
+        assert np.allclose(levels[1][label][1:3], (dist, minutes), atol=0.011)
