@@ -58,3 +58,25 @@ def test_until_feasible_goes_on_to_n(spark):
         F.max("k_final").alias("k"), F.min("status").alias("s"), F.sum("n_pdvs").alias("n")).collect()}
     assert got == {1: (15, "EXCEDIDO", 15), 2: (1, "OK", 1)}
     assert stops.count() == 16
+
+
+def test_search_in_tasks_finds_the_first_k_that_the_plans_find(spark):
+    """The routes and k of planning every k in turn; stops that no route can reach end the search at once."""
+    rng = np.random.default_rng(3)
+    rows = [("near", i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.4, 0.4, (70, 2)))]
+    rows += [("twice", 200 + i // 2, float(i // 2) / 50, 0.1) for i in range(24)] + [("far", 300 + i, 0.01 * i, 9.0 * (i % 2)) for i in range(6)]
+    df = spark.createDataFrame(rows, "cluster_id string, pdv_id long, lat double, lon double")
+    dep = spark.createDataFrame([("near", 0.0, 0.0), ("twice", 0.2, 0.0), ("far", 0.0, 0.0)], "cluster_id string, lat double, lon double")
+
+    def search(local):
+        totals, stops = R.split_until_feasible(df, dep, ["cluster_id"], 480.0, 300.0, 35.0, 10.0, 1.3, local=local)
+        cols = ["cluster_id", "k_final", "subcluster_seq", "n_pdvs", "dist_total_km", "tempo_total_min", "status"]
+        return sorted(map(tuple, totals.select(*cols).collect())), stops.count()
+
+    sc = spark.sparkContext
+    sc.setJobGroup("search-in-tasks", "")
+    in_tasks = search(None)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert in_tasks == search(0)
+    assert {(r[0], r[-1]) for r in in_tasks[0]} == {("near", "OK"), ("twice", "OK"), ("far", "EXCEDIDO")}
+    assert len(sc.statusTracker().getJobIdsForGroup("search-in-tasks")) < 90
