@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import chord_for_km, haversine_km, km_for_chord, unit_xyz
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 
 OFFSETS = list(product((-1, 0, 1), repeat=3))
 _SAFETY = 1.0 - 1e-9
@@ -113,7 +113,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
         s0, _ = _spacing_chord(c, "_clat", "_clon", per_cell=2.0, by=by)
 
     cols = points.columns
-    cur = points
+    cur = spread_rows(points)  # a distance a candidate costs far more than the bytes of a point
     results: list[DataFrame] = []
     levels = _levels(s0)
     if within_km is not None:
@@ -134,7 +134,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
             lambda e: F.struct(haversine_km(F.col(lat), F.col(lon), e["_clat"], e["_clon"]).alias("d"),
                                e["_cid"].alias("id")))))
         final = i == len(levels) - 1
-        if within_km is not None and not final:  # read by three jobs
+        if not final:  # read by three jobs
             scored = cut_lineage(scored.select(*cols, "_best"))
         guard = km_for_chord(s) * _SAFETY
         ok = F.lit(True) if final else (F.col("_best.d") <= F.lit(guard))
@@ -148,7 +148,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_id: str, by: tuple[str
         rest = scored.filter(~F.coalesce(ok, F.lit(False))).select(*cols)
         if rest.isEmpty():
             break
-        cur = rest if within_km is not None else cut_lineage(rest)
+        cur = rest
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

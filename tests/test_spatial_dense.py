@@ -60,3 +60,16 @@ def test_knn_of_little(spark):
     assert spatial.knn_distances(spark.createDataFrame([], schema), 5).count() == 0
     two = spatial.knn_distances(spark.createDataFrame([(1, -10.0, -40.0), (2, -10.0, -41.0), (3, None, None)], schema), 5).collect()
     assert {r["pdv_id"]: r["k_found"] for r in two if r["pdv_id"] < 3} == {1: 1, 2: 1}
+
+
+def test_work_on_one_file_split_is_spread(spark):
+    """A sheet that arrives as one partition is cleaned by many tasks; points of one partition find their centres."""
+    from territoria.operators.quality import clean_points_raw
+    from territoria.operators.spatial import nearest
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = spark.range(40).coalesce(1).selectExpr("id as row_id", *[f"'x' as {c}" for c in ("cnpj", "logradouro", "numero", "bairro", "cidade", "uf", "cep", "pdv_vendas")])
+    assert clean_points_raw(raw).rdd.getNumPartitions() == n
+    pts = spark.range(400).coalesce(1).selectExpr("id as pdv_id", "id / 100.0D as lat", "0.0D as lon")
+    cen = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 0.0)], "centro_id int, lat double, lon double")
+    found = nearest(pts, cen, "centro_id")
+    assert {r["pdv_id"]: r["centro_id"] for r in found.collect()} == {i: 1 if i <= 200 else 2 for i in range(400)}
