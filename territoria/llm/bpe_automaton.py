@@ -20,6 +20,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import regex
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from territoria.llm.common import TwoGenerationCache, text_udf, with_struct
 
 _NEVER = 1 << 60
-_INNER, _LAST = "inner", "last"  # keys of a trie node's tokens: inside a word, at its end
+_INNER, _LAST, _NEXT = 0, 1, 2  # parts of a trie node: its tokens inside a word and at its end, the nodes behind it
 
 
 def _byte_symbols() -> list[str]:
@@ -38,6 +39,14 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+_NO_NODES: dict = {}
+
+
+def _packed(after: dict) -> dict:
+    """The nodes as tuples, those without any behind them sharing one empty table: less memory to touch a step."""
+    return {ch: (node[_INNER], node[_LAST], _packed(node[_NEXT])) for ch, node in after.items()} or _NO_NODES
+
+
 class MergeAutomaton:
     """States after reading a token; arcs are tokens, labelled with their text."""
 
@@ -51,15 +60,22 @@ class MergeAutomaton:
         self.lineage: dict[int, tuple[tuple[int, int], ...]] = {}  # token -> (token whose state it continues, until when)
         for time, (left, right) in enumerate(merges):
             self._gadget(time, vocab[left], vocab[right], vocab[left + right])
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}
+        self.width: dict[int, int] = {}
         for label, token in vocab.items():
             if token in self.unreached:
                 continue
             last = label.endswith(word_end)
-            node = self.trie
-            for ch in label[:-len(word_end)] if last else label:
-                node = node.setdefault(ch, {})
+            spelt = label[:-len(word_end)] if last else label
+            if not spelt:
+                continue  # no part of a word
+            after, node = self.trie, None
+            for ch in spelt:
+                node = after.setdefault(ch, [None, None, {}])
+                after = node[_NEXT]
             node[_LAST if last else _INNER] = token
+            self.width[token] = len(spelt)
+        self.trie = _packed(self.trie)
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, time: int, a: int, b: int, c: int) -> None:
@@ -95,43 +111,48 @@ class MergeAutomaton:
                 return True
             before, sym = self.built_at[sym], self.first[sym]
 
-    def _tokens_from(self, word: str, start: int) -> list[tuple[int, int]]:
-        """(end, token) of every label that word has at start, shortest first."""
-        n, node, out = len(word), self.trie, []
-        for end in range(start + 1, n + 1):
-            node = node.get(word[end - 1])
-            if node is None:
-                break
-            t = node.get(_LAST if end == n else _INNER)
-            if t is not None:
-                out.append((end, t))
-        return out
-
     def encode(self, word: str) -> list[int]:
         """The one path that spells the word; word is in byte symbols.
 
         Longest arcs are tried first.  Any prefix is spelt by one path only, so a
         position from which no path goes on is dead whatever led there.
         """
-        n = len(word)
+        n, at, state, trie, known, width = len(word), 0, None, self.trie, self.arcs, self.width
         path: list[int] = []
-        open_arcs = [self._tokens_from(word, 0)]
-        at = [0]
+        open_arcs: list[tuple[int, list[int]]] = []  # (start, arcs not tried yet) of each place on the path
         dead = set()
-        while at[-1] < n:
-            arcs = open_arcs[-1]
-            state = path[-1] if path else None
-            while arcs:
-                end, t = arcs.pop()
-                if end not in dead and (state is None or self.has_arc(state, t)):
-                    path.append(t)
-                    at.append(end)
-                    open_arcs.append(self._tokens_from(word, end))
+        while at < n:
+            after, arcs = trie, []
+            for ch in word[at:-1] if at < n - 1 else "":
+                node = after.get(ch)
+                if node is None:
                     break
+                t, _, after = node
+                if t is not None:
+                    arcs.append(t)
             else:
-                dead.add(at.pop())
-                open_arcs.pop()
-                path.pop()
+                node = after.get(word[-1])
+                if node is not None and node[_LAST] is not None:
+                    arcs.append(node[_LAST])
+            while True:
+                while arcs:
+                    t = arcs.pop()
+                    end = at + width[t]
+                    if end in dead:
+                        continue
+                    ok = state is None or known.get(state << 20 | t)
+                    if ok or (ok is None and self.has_arc(state, t)):
+                        open_arcs.append((at, arcs))
+                        path.append(t)
+                        at, state = end, t
+                        break
+                else:
+                    dead.add(at)
+                    path.pop()
+                    at, arcs = open_arcs.pop()
+                    state = path[-1] if path else None
+                    continue
+                break
         return path
 
 
@@ -150,47 +171,55 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.bytes = _byte_symbols()
+        self.bytes = dict(enumerate(_byte_symbols()))
+        self.text = {i: str(i) for i in self.automaton.label}
         self.chunks, self.words = TwoGenerationCache(cache), TwoGenerationCache(cache)
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Tokens, ids and labels (joined by a space) of a run without white space."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        ids: list[int] = []
-        for word in self.split.findall(chunk.lower()):
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a run without white space."""
+        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+        core = low.rstrip(punctuation)
+        if core.isalpha() and max(core) < "\u0250":  # letters, then signs: nothing for the pattern to decide
+            return [core, low[len(core):]] if len(core) < len(low) else [core]
+        return self.split.findall(low)
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids and labels (joined by a space) of a run without white space."""
+        found = []
+        for word in self._words(chunk):
             got = self.words.get(word)
             if got is None:
-                got = self.automaton.encode("".join(map(self.bytes.__getitem__, word.encode())))
+                plain = word.isascii() and word.isprintable()  # then bytes are their own symbols
+                ids = self.automaton.encode(word if plain else word.encode().decode("latin-1").translate(self.bytes))
+                got = " ".join([self.text[i] for i in ids]), " ".join([self.automaton.label[i] for i in ids])
                 self.words.put(word, got)
-            ids += got
-        label = self.automaton.label
-        return len(ids), " ".join(map(str, ids)), " ".join([label[i] for i in ids])
+            found.append(got)
+        return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+
+    def _chunks(self, chunks: list[str]) -> list[tuple[str, str]]:
+        found = list(map(self.chunks.new.get, chunks))
+        if None in found:
+            for i, got in enumerate(found):
+                if got is None:
+                    got = self.chunks.get(chunks[i])
+                    if got is None:
+                        got = self._chunk(chunks[i])
+                        self.chunks.put(chunks[i], got)
+                    found[i] = got
+        return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of tokens, ids joined by a space, decoded text)."""
-        n, ids, labels = 0, [], []
+        found: list[tuple[str, str]] = []
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        new = self.chunks.new
         for part in parts:
             if part in self.special:
-                n += 1
-                ids.append(str(self.special[part]))
-                labels.append(part)
-                continue
-            for chunk in (x for x in self.SPACE.split(part) if x) if odd else part.split():
-                got = new.get(chunk)
-                if got is None:
-                    got = self.chunks.get(chunk)
-                    if got is None:
-                        got = self._chunk(chunk)
-                        self.chunks.put(chunk, got)
-                    new = self.chunks.new
-                n += got[0]
-                ids.append(got[1])
-                labels.append(got[2])
-        return n, " ".join(ids), " ".join(labels)
+                found.append((str(self.special[part]), part))
+            else:
+                found += self._chunks([x for x in self.SPACE.split(part) if x] if odd else part.split())
+        ids = " ".join([x[0] for x in found])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in found])
 
 
 @lru_cache(maxsize=2)
