@@ -53,15 +53,18 @@ def nearest_neighbour_order(depot_lat: float, depot_lon: float, ids: np.ndarray,
                             lon: np.ndarray) -> np.ndarray:
     """Greedy tour from the depot; ties (distance at 9 decimals) broken by id."""
     n = len(ids)
+    at = np.arange(n)  # positions of the stops looked at: all that are left, and up to as many that are not
     left = np.ones(n, dtype=bool)
     order = np.empty(n, dtype=np.int64)
     cl, co = depot_lat, depot_lon
     for step in range(n):
+        if len(at) > 64 and 2 * (n - step) <= len(at):
+            at, ids, lat, lon, left = at[left], ids[left], lat[left], lon[left], left[left]
         d = np.round(_hav_np(cl, co, lat, lon), 9)
         d = np.where(left, d, np.inf)
         best = np.flatnonzero(d == d.min())
         pick = best[np.argmin(ids[best])]
-        order[step] = pick
+        order[step] = at[pick]
         left[pick] = False
         cl, co = lat[pick], lon[pick]
     return order
@@ -109,13 +112,11 @@ def _schema_of(df: DataFrame, keys: list[str], pid: str) -> str:
     return f"{fields}, {pid} long, sequencia_ordem int"
 
 
-def _solver(keys: list[str], pid: str, improve: bool, own=None):
-    """Stop order of one group; from (depot_lat, depot_lon) back to it, or on to (end_lat, end_lon) where given."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf[pid].to_numpy(dtype=np.int64)
-        lat = pdf["lat"].to_numpy(dtype=float)
-        lon = pdf["lon"].to_numpy(dtype=float)
-        first = pdf.iloc[0]
+def _order_of(route: list[str], pid: str, improve: bool, own=None):
+    """Batches of stops sorted by route to their stop order, one route at a time; a route may go on in the next batch."""
+    def solve(pdf: pd.DataFrame, at: np.ndarray, ids: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        first = pdf.iloc[at[0]]
+        ids, lat, lon = ids[at], lat[at], lon[at]
         dlat, dlon = float(first["depot_lat"]), float(first["depot_lon"])
         if own is not None:
             order = np.asarray(own((dlat, dlon), ids, np.column_stack([lat, lon])), dtype=np.int64)
@@ -126,12 +127,43 @@ def _solver(keys: list[str], pid: str, improve: bool, own=None):
         if improve and len(order) > 3:
             end = np.array([first["end_lat"], first["end_lon"]], float) if "end_lat" in pdf else None
             order = two_opt(np.array([dlat, dlon]), np.column_stack([lat, lon]), order, end=end)
-        res = pdf.iloc[order][list(keys)].copy()
-        res[pid] = ids[order]
-        res["sequencia_ordem"] = np.arange(1, len(order) + 1, dtype=np.int32)
+        return at[order]
+
+    def ordered(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ids = pdf[pid].to_numpy(dtype=np.int64)
+        lat, lon = pdf["lat"].to_numpy(dtype=float), pdf["lon"].to_numpy(dtype=float)
+        runs = np.split(np.arange(len(pdf)), starts[1:])
+        way = np.concatenate([solve(pdf, at, ids, lat, lon) for at in runs])
+        res = pdf.iloc[way][list(route)].copy()
+        res[pid] = ids[way]
+        res["sequencia_ordem"] = np.concatenate([np.arange(1, len(at) + 1, dtype=np.int32) for at in runs])
         return res
 
-    return solve
+    def run(batches):
+        held = None  # stops of a route that may go on
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            number = pdf.groupby(route, sort=False, dropna=False).ngroup().to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])
+            done, held = pdf.iloc[:starts[-1]], pdf.iloc[starts[-1]:]
+            if len(done):
+                yield ordered(done, starts[:-1])
+        if held is not None:
+            yield ordered(held, np.array([0]))
+
+    return run
+
+
+def _in_order(stops: DataFrame, route: list[str], pid: str, improve: bool, own=None) -> DataFrame:
+    """Stop order of every route, each in one task; from (depot_lat, depot_lon) back to it, or on to (end_lat, end_lon) where given.
+
+    Many short routes share a task, without the cost of a group each."""
+    # by number, since adaptive coalescing by bytes would leave few tasks
+    parts = max(64, int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stops.repartition(parts, *route).sortWithinPartitions(*route)
+    return dealt.mapInPandas(_order_of(route, pid, improve, own), schema=_schema_of(stops, route, pid))
 
 
 def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_keys: list[str],
@@ -143,17 +175,17 @@ def sequence_stops(stops: DataFrame, depots: DataFrame, route: list[str], depot_
     stops' ids and their (lat, lon) rows that returns the stops' positions in visiting order.
     It sees one route of at most `limit` stops; longer routes keep the library's own order.
 
-    One `applyInPandas` group per route of at most `limit` stops; sizes are counted
-    first, so no group can exceed what a task may hold, and longer routes go through
+    A task holds one route of at most `limit` stops at a time; sizes are counted
+    first, so no route can exceed what a task may hold, and longer routes go through
     `sequence_long_routes`.
     """
     d = depots.select(*depot_keys, F.col("lat").alias("depot_lat"), F.col("lon").alias("depot_lon"))
     s = stops.select(*route, *[k for k in depot_keys if k not in route], pid, "lat", "lon").join(d, depot_keys)
     long = cut_lineage(s.groupBy(*route).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
     if long.isEmpty():
-        return s.groupBy(*route).applyInPandas(_solver(route, pid, improve, solver), schema=_schema_of(s, route, pid))
+        return _in_order(s, route, pid, improve, solver)
     short = s.join(long.select(*route), route, "left_anti")
-    done = short.groupBy(*route).applyInPandas(_solver(route, pid, improve, solver), schema=_schema_of(s, route, pid))
+    done = _in_order(short, route, pid, improve, solver)
     return done.unionByName(sequence_long_routes(s.join(long, route), route, pid, improve, limit, piece))
 
 
@@ -198,7 +230,7 @@ def sequence_long_routes(stops: DataFrame, route: list[str], pid: str, improve:
         F.coalesce(F.lead("lat").over(w), "_dlat").alias("end_lat"), F.coalesce(F.lead("lon").over(w), "_dlon").alias("end_lon")))
     paths = tiled.select(*route, "_t", pid, "lat", "lon").join(tour.select(*route, "_t", "depot_lat", "depot_lon", "end_lat", "end_lon"), [*route, "_t"])
     key = [*route, "_t"]
-    solved = paths.groupBy(*key).applyInPandas(_solver(key, pid, improve), schema=_schema_of(paths, key, pid))
+    solved = _in_order(paths, key, pid, improve)
     placed = solved.join(tour.select(*key, "_at", "_m", "_before"), key).join(tiled.select(*key, pid, "lat", "lon"), [*key, pid]) \
         .withColumn("_pos", F.col("_before") + F.col("sequencia_ordem"))
     placed = cut_lineage(placed)
