@@ -466,3 +466,11 @@ def test_five_million_spaces(spark):
     turns = spark.createDataFrame([(1, 0, "user", rows[0][1]), (1, 1, "assistant", " " * n)], "conv_id long, turn long, role string, text string")
     back = chat_format.read_back(chat_format.assemble(turns, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN).first()
     assert (back["n_turns"], back["loss_chars"], back["loss_sha256"]) == (2, n, hashlib.sha256(b" " * n).hexdigest())
+
+
+def test_bpe_words_as_the_pattern_cuts_them():
+    """Letters with signs behind them are cut without the pattern: the same words."""
+    tok = bpe_automaton.tokenizer(WORD_BPE)
+    for chunk in ("It's", "they'll,", "'s", "abc", "Abc...", "été!?", "a-b", "x1", "12", "--", "''", "é'd", "don't.", "µª", "ɐa,", "a\x7f,", "日本!"):
+        low = chunk.lower()
+        assert [w for w in tok._words(chunk) if w] == tok.split.findall(low) and all(tok._words(chunk))

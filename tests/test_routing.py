@@ -76,3 +76,31 @@ def test_search_in_tasks_finds_the_first_k_that_the_plans_find(spark):
     in_tasks = search(None)
     assert in_tasks == search(0)
     assert {(r[0], r[-1]) for r in in_tasks[0]} == {("near", "OK"), ("twice", "OK"), ("far", "EXCEDIDO")}
+
+
+def test_routes_share_tasks_and_go_on_over_batches(spark):
+    """Stop orders equal each route's own search, though routes share a task and end in another batch than they began in."""
+    rng = np.random.default_rng(4)
+    rows = [(int(r) if r < 40 else None, i, float(a), float(b)) for i, (r, a, b) in
+            enumerate(zip(rng.integers(0, 41, 900), np.round(rng.normal(-23, 0.3, 900), 2), np.round(rng.normal(-46, 0.3, 900), 2)))]
+    stops = spark.createDataFrame(rows, "c long, pdv_id long, lat double, lon double")
+    dep = spark.createDataFrame([(c, -23.0, -46.0) for c in range(40)], "c long, lat double, lon double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        plan = R.sequence_stops(stops, dep, ["c"], ["c"])
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = {(r["c"], r["sequencia_ordem"]): r["pdv_id"] for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for c in range(40):
+        own = [x for x in rows if x[0] == c]
+        ids, lat, lon = (np.array([x[i] for x in own]) for i in (1, 2, 3))
+        left, at = set(range(len(own))), (-23.0, -46.0)
+        for step in range(len(own)):
+            d = np.round(R._hav_np(at[0], at[1], lat, lon), 9)
+            pick = min(left, key=lambda i: (d[i], ids[i]))
+            left.discard(pick)
+            want[c, step + 1], at = ids[pick], (lat[pick], lon[pick])
+    assert got == want
