@@ -225,3 +225,23 @@ def test_splits_in_tasks_equal_splits_level_by_level(spark):
     for label, (n, dist, minutes, status) in ends.items():
         assert levels[1][label][::3] == (n, status)
         assert np.allclose(levels[1][label][1:3], (dist, minutes), atol=0.011)
+
+
+def test_macro_counts_ruled_out_in_tasks_give_the_same_plan(spark, monkeypatch):
+    """Small groups plan the first count that is not ruled out only; the sub-clusters are those of the search by plans."""
+    from territoria.operators import clustering as C
+    rng = np.random.default_rng(6)
+    rows = [(int(g), i, float(a), float(b)) for i, (g, a, b) in enumerate(zip(rng.integers(0, 2, 90), rng.normal(0, 0.2, 90), rng.normal(0, 0.2, 90)))]
+    pts = spark.createDataFrame(rows, "g long, pdv_id long, lat double, lon double")
+    k = spark.createDataFrame([(0, 1), (1, 1)], "g long, k int")
+    plans, plan = [], C._tour_status
+    monkeypatch.setattr(C, "_tour_status", lambda *a: plans.append(1) or plan(*a))
+
+    def result(local):
+        plans.clear()
+        subs, members = C.refine_macro(pts, ["g"], k, 2, 240.0, 200.0, 35.0, 20.0, local=local)
+        return sorted(map(tuple, subs.collect())), sorted(map(tuple, members.collect())), len(plans)
+
+    by_tasks, by_plans = result(10**6), result(0)
+    assert by_tasks[:2] == by_plans[:2] and {r[2] for r in by_tasks[1]} != {1}
+    assert by_tasks[2] == 1 < by_plans[2]
