@@ -131,7 +131,7 @@ def restore_snapshot(live: DataFrame, frozen: DataFrame, headers: DataFrame, ten
     chosen = (headers.filter((F.col("tenant_id") == F.lit(tenant_id)) & (F.col("nome") == F.lit(name)))
               .agg(F.max_by("snapshot_id", F.struct("criado_em", "snapshot_id")).alias("snapshot_id")))
     back = frozen.join(chosen, "snapshot_id", "left_semi").withColumn("tenant_id", F.lit(tenant_id).cast(live.schema["tenant_id"].dataType))
-    emptied = back.select("tenant_id").distinct()  # no row where nothing comes back
+    emptied = back.agg(F.max("tenant_id").alias("tenant_id"))  # null, which equals none, where nothing comes back
     return live.join(emptied, "tenant_id", "left_anti").select(*live.columns).unionByName(back.select(*live.columns))
 
 
