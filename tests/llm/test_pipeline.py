@@ -60,3 +60,25 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             out.collect()
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
     assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_stages_pass_texts_in_small_batches(spark):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(6).cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for given, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("300", 300)):
+                spark.conf.set(conf, given)
+                stage(spark, docs.limit(0), SF)
+                seen = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert sum(seen) == 2500 and max(seen) <= most, (name, given)
+    finally:
+        spark.conf.set(conf, before)
