@@ -411,6 +411,61 @@ def test_second_pass_holds_two_chunks_at_most(spark, monkeypatch, tmp_path):
     assert sizes and max(sizes) <= 100  # 270 texts in 14 chunks dealt by hash
 
 
+def _near(spark, rows, **bounds):
+    return {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), **bounds).collect()}
+
+
+def test_texts_with_a_phrase_in_common_by_chance_do_not_meet(spark, monkeypatch):
+    """Each pair of neighbours shares one or two shingles that no other text has; every ninth text has a near copy."""
+    rng, sizes = random.Random(31), {}
+    phrase = [[f"p{i}x{j}" for j in range(6)] for i in range(200)]
+    rows = [(i, " ".join(phrase[i - 1] + [f"w{i}x{rng.randrange(10**9)}" for _ in range(30)] + phrase[i]), 0) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more", 0) for i in range(0, 200, 9)]
+    real = ngram_jaccard.written
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", counted)
+    assert _near(spark, rows) == {i: i - 1000 if i >= 1000 else i for i, _, _ in rows}
+    assert sizes["block"] <= 2 * len(range(0, 200, 9))  # the texts and their copies, no others
+
+
+def test_jaccard_does_not_depend_on_the_sample(spark, monkeypatch):
+    """Pairs, groups of eight, nine and thirty near copies, short texts, whatever is taken for frequent."""
+    rng = random.Random(37)
+    rows = []
+    for family, size in enumerate((2, 2, 3, 8, 9, 30, 5)):
+        words = [f"f{family}x{rng.randrange(10**6)}" for _ in range(6 if family == 6 else 90)] + [f"common{i}" for i in range(12)]
+        for _ in range(size):
+            w = list(words)
+            for _ in range(rng.randint(0, 3) if len(w) > 50 else 0):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[:rng.randint(len(w) - 2, len(w))]), 0))
+    rows += [(1000 + i, " ".join(f"common{j}" for j in range(i)), 0) for i in range(1, 13)]
+    ids, sets = [r[0] for r in rows], [set(ngram_jaccard.shingles(r[1]).tolist()) for r in rows]
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in range(len(ids)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                p, q = sorted((find(ids[x]), find(ids[y])))
+                root[q] = p
+    expected = {i: find(i) for i in ids}
+    assert len(set(expected.values())) < len(ids) - 40
+    for sample_docs, every, most in ((20_000, 12, 1_000_000), (1, 12, 1_000_000), (1, 10**9, 1_000_000), (20_000, 12, 3)):
+        monkeypatch.setattr(ngram_jaccard, "SAMPLE_EVERY", every)
+        monkeypatch.setattr(ngram_jaccard, "MOST_FREQUENT", most)
+        assert _near(spark, rows, sample_docs=sample_docs) == expected
+
+
 def test_jaccard_of_rows_that_share_an_id(spark):
     """Random tables in which ids stand for several texts: rows of an id are of one class, links are all found."""
     rng = random.Random(11)
