@@ -33,3 +33,29 @@ def test_targets_are_not_paired_with_all_points_in_reach(spark, monkeypatch):
     """No radius join in the balancing: its pairs grow with points times centres."""
     from territoria.operators import clustering
     assert not hasattr(clustering, "pairs_within")
+
+
+def test_rounds_in_a_task_equal_the_rounds_as_jobs(spark, monkeypatch):
+    """Ids and centres that repeat or are null, points without coordinates; and only a few tables are kept on the way."""
+    from collections import Counter
+
+    from territoria.operators import clustering
+
+    rng = np.random.default_rng(9)
+    cen = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(-23, 0.3, 24), rng.normal(-46, 0.3, 24)))]
+    pts = [(i, float(a), float(b), int(s)) for i, (a, b, s) in
+           enumerate(zip(rng.normal(-23, 0.3, 260), rng.normal(-46, 0.3, 260), np.minimum(rng.integers(0, 24, 260), rng.integers(0, 24, 260))))]
+    odd = [pts[0], pts[7], (None, -23.1, -46.1, 1), (None, -23.2, -46.0, 1), (900, None, None, 0), (901, -23.0, -46.0, None), (902, -23.0, -46.0, 77)]
+    kept = []
+    real = clustering.cut_lineage
+    monkeypatch.setattr(clustering, "cut_lineage", lambda df: kept.append(1) or real(df))
+    few = [(i, a, b, s % 9) for i, a, b, s in pts[:130]]
+    for p, c in ((pts, cen), (few + odd, [*cen[:9], cen[2], (None, -23.0, -46.0), (50, None, -46.0)])):
+        P, C = spark.createDataFrame(p, "pdv_id long, lat double, lon double, label long"), spark.createDataFrame(c, "label long, lat double, lon double")
+        found = []
+        for local in (0, None):
+            kept.clear()
+            a, left = clustering.balance_points(P, C, 7, 14, 60.0, 35.0, 50.0, rounds=2, local=local)
+            found.append((Counter(map(tuple, a.collect())), Counter(map(tuple, left.collect())), a.columns, left.columns))
+        assert len(kept) <= 4
+        assert found[0] == found[1] and found[0][0] != Counter(p)
